@@ -183,7 +183,7 @@ categories AS (
   UNION ALL SELECT CAST(r_regionkey + 101 AS BIGINT), r_name, NULL FROM region),
 aliases AS (
   SELECT p_partkey + 1 AS id, p_partkey % 10 + 1 AS merchant_id,
-         array_to_string(list_transform(string_split(p_name, ' '), w -> upper(w[1]) || lower(w[2:])), ' ')
+         array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ')
            || ' Store ' || CAST(p_partkey AS VARCHAR) AS alias FROM part)"""
 
 
