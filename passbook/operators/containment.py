@@ -35,8 +35,7 @@ def contained(texts: DataFrame, patterns: DataFrame, by: list[str] | None = None
     pieces = (
         starts.join(heads, by + ["head"])
         .withColumn("size", F.explode("sizes"))
-        .filter((F.col("at") + F.col("size") - 1 <= F.length("text")))
-        # a head shorter than HEAD belongs to a pattern that is no longer than its head
+        .filter(F.col("at") + F.col("size") - 1 <= F.length("text"))
         .select(*by, "text", F.col("text").substr(F.col("at"), F.col("size")).alias("pattern"))
         .distinct()
     )

@@ -234,24 +234,29 @@ def reconcile_pairs(ledger: DataFrame, tolerance: int = 2, batch: int = 100_000)
     """One-to-one pairs; shared rows in id order take the first free bank row in id order.
 
     Rows only compete within an island: equal amount, and no gap between days wider than the
-    tolerance.  A round hands every island the next ``batch`` shared rows and, per day, no
-    more bank rows than these could use, so the size of a task is bounded however popular an
-    amount is.  The matching is exactly the sequential one, because shared rows are always
-    taken in id order; islands of up to ``batch`` shared rows, normally all, end in round one.
+    tolerance.  Islands of up to ``batch`` shared rows, normally all, are matched in one go.
+    The others advance in rounds of ``batch`` shared rows each.  A task never sees more bank
+    rows per day than its shared rows could use, so its size is bounded however popular an
+    amount is, and the result is the sequential one because ids are always taken in order.
     """
     shared, bank = _competing(shared_side(ledger), bank_side(ledger), tolerance)
-    shared, bank = cut(shared), cut(bank)
-    pairs = None
-    while True:
-        turn = cut(_next_batch(shared, batch))
-        offer = _usable_banks(turn, bank, tolerance)
-        found = cut(_greedy(turn, offer, tolerance))
-        pairs = found if pairs is None else pairs.unionByName(found)
-        rest = shared.join(turn.select("id"), "id", "left_anti")
-        if rest.isEmpty():
-            return pairs
-        shared = cut(rest)
+    shared = cut(shared)
+    wide = cut(
+        shared.groupBy("amount", "island").agg(F.count("*").alias("n")).filter(F.col("n") > batch).drop("n")
+    )
+    if wide.isEmpty():
+        return _greedy(shared, _usable_banks(shared, bank, tolerance), tolerance)
+    narrow = shared.join(wide, ["amount", "island"], "left_anti")
+    pairs = _greedy(narrow, _usable_banks(narrow, bank, tolerance), tolerance)
+    shared = shared.join(wide, ["amount", "island"], "left_semi")
+    bank = cut(bank.join(wide, ["amount", "island"], "left_semi"))
+    while not shared.isEmpty():
+        turn = cut(_lowest(shared.withColumn("quota", F.lit(batch)), ["amount", "island"]))
+        found = cut(_greedy(turn, _usable_banks(turn, bank, tolerance), tolerance))
+        pairs = pairs.unionByName(found)
+        shared = cut(shared.join(turn.select("id"), "id", "left_anti"))
         bank = cut(bank.join(found.select(F.col("bank_id").alias("id")), "id", "left_anti"))
+    return pairs
 
 
 def _competing(shared: DataFrame, bank: DataFrame, tolerance: int) -> tuple[DataFrame, DataFrame]:
@@ -280,12 +285,12 @@ def _competing(shared: DataFrame, bank: DataFrame, tolerance: int) -> tuple[Data
     )
 
 
-def _next_batch(shared: DataFrame, batch: int) -> DataFrame:
-    """The ``batch`` lowest ids of every island: first per slice of an island, then overall."""
-    sliced = Window.partitionBy("amount", "island", F.pmod(F.hash("id"), F.lit(64))).orderBy("id")
-    whole = Window.partitionBy("amount", "island").orderBy("id")
-    head = shared.withColumn("rank", F.row_number().over(sliced)).filter(F.col("rank") <= batch)
-    return head.withColumn("rank", F.row_number().over(whole)).filter(F.col("rank") <= batch).drop("rank")
+def _lowest(rows: DataFrame, key: list[str]) -> DataFrame:
+    """The ``quota`` lowest ids per key, found per slice of a key first and then overall."""
+    for part in (key + [F.pmod(F.hash("id"), F.lit(64))], key):
+        order = Window.partitionBy(*part).orderBy("id")
+        rows = rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= F.col("quota"))
+    return rows.drop("rank", "quota")
 
 
 def _usable_banks(turn: DataFrame, bank: DataFrame, tolerance: int) -> DataFrame:
@@ -293,11 +298,9 @@ def _usable_banks(turn: DataFrame, bank: DataFrame, tolerance: int) -> DataFrame
     demand = (
         _near(turn.groupBy("amount", "day").agg(F.count("*").alias("n")), tolerance)
         .groupBy("amount", F.col("near_day").alias("day"))
-        .agg(F.sum("n").alias("demand"))
+        .agg(F.sum("n").alias("quota"))
     )
-    order = Window.partitionBy("amount", "day").orderBy("id")
-    ranked = bank.join(demand, ["amount", "day"]).withColumn("rank", F.row_number().over(order))
-    return ranked.filter(F.col("rank") <= F.col("demand")).drop("rank", "demand")
+    return _lowest(bank.join(demand, ["amount", "day"]), ["amount", "day"])
 
 
 def _greedy(turn: DataFrame, offer: DataFrame, tolerance: int) -> DataFrame:
