@@ -184,48 +184,39 @@ def reversal_notes(pairs: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- reconciliation
 
 
-def shared_side(ledger: DataFrame) -> DataFrame:
-    """Shared-ledger rows that look for a bank row: settlements, and expenses the user paid."""
+def candidates(ledger: DataFrame) -> DataFrame:
+    """Rows that take part, in one pass: (id, amount, day, kind), ``kind`` null on bank rows.
+
+    The shared ledger offers settlements and expenses the user paid; the other side is every
+    bank or card row that is still free.
+    """
     paid = F.get_json_object("metadata_json", "$.raw.metadata.user_paid") == "true"
+    shared = F.col("source_type") == "splitwise"
+    kind = F.when(shared, F.when(F.col("is_payment"), "settlement").when(paid, "expense"))
     return (
-        ledger.filter(
-            (F.col("source_type") == "splitwise") & ~F.col("is_reconciled") & ~F.col("is_excluded")
-        )
-        .withColumn("kind", F.when(F.col("is_payment"), "settlement").when(paid, "expense"))
-        .filter(F.col("kind").isNotNull())
+        ledger.filter(~F.col("is_reconciled") & ~(shared & F.col("is_excluded")))
+        .withColumn("kind", kind)
+        .filter(~shared | F.col("kind").isNotNull())
         .select("id", "amount", epoch_day(F.col("transaction_date")).alias("day"), "kind")
     )
 
 
-def bank_side(ledger: DataFrame) -> DataFrame:
-    """Bank and card rows still free."""
-    return ledger.filter((F.col("source_type") != "splitwise") & ~F.col("is_reconciled")).select(
-        "id", "amount", epoch_day(F.col("transaction_date")).alias("day")
-    )
-
-
-def _near(cells: DataFrame, tolerance: int) -> DataFrame:
-    """Cells (amount, day) repeated for every day within the tolerance, as ``near_day``."""
-    return cells.withColumn(
-        "near_day", F.explode(F.sequence(F.col("day") - tolerance, F.col("day") + tolerance))
-    )
-
-
 def reconcile_preview(ledger: DataFrame, tolerance: int = 2) -> DataFrame:
     """The lowest bank id of the same amount within the tolerance, for every shared row.
 
     The dry run consumes no bank row, so one may serve many.  Banks are condensed to the
-    lowest id per amount and day before anything joins.
+    lowest id per amount and day, and a frame over the days of an amount finds the partner.
     """
-    shared, bank = shared_side(ledger), bank_side(ledger)
-    lowest = bank.groupBy("amount", F.col("day").alias("near_day")).agg(F.min("id").alias("bank_id"))
+    rows = candidates(ledger)
+    near = Window.partitionBy("amount").orderBy("day").rangeBetween(-tolerance, tolerance)
     partner = (
-        _near(shared.select("amount", "day").distinct(), tolerance)
-        .join(lowest, ["amount", "near_day"])
-        .groupBy("amount", "day")
-        .agg(F.min("bank_id").alias("bank_id"))
+        rows.groupBy("amount", "day")
+        .agg(F.min(F.when(F.col("kind").isNull(), F.col("id"))).alias("lowest"), F.count("kind").alias("n_shared"))
+        .withColumn("bank_id", F.min("lowest").over(near))
+        .filter((F.col("n_shared") > 0) & F.col("bank_id").isNotNull())
+        .select("amount", "day", "bank_id")
     )
-    return shared.join(partner, ["amount", "day"]).select(
+    return rows.filter(F.col("kind").isNotNull()).join(partner, ["amount", "day"]).select(
         F.col("kind").alias("type"), F.col("id").alias("shared_id"), "bank_id"
     )
 
@@ -239,52 +230,62 @@ def reconcile_pairs(ledger: DataFrame, tolerance: int = 2, batch: int = 100_000)
     rows per day than its shared rows could use, so its size is bounded however popular an
     amount is, and the result is the sequential one because ids are always taken in order.
     """
-    shared, bank = _competing(shared_side(ledger), bank_side(ledger), tolerance)
-    shared = cut(shared)
-    wide = cut(
-        shared.groupBy("amount", "island").agg(F.count("*").alias("n")).filter(F.col("n") > batch).drop("n")
-    )
+    rows = cut(candidates(ledger))
+    cells = _cells(rows, tolerance)
+    wide = cut(cells.filter(F.col("island_size") > batch).select("amount", "day", "island"))
     if wide.isEmpty():
-        return _greedy(shared, _usable_banks(shared, bank, tolerance), tolerance)
-    narrow = shared.join(wide, ["amount", "island"], "left_anti")
-    pairs = _greedy(narrow, _usable_banks(narrow, bank, tolerance), tolerance)
-    shared = shared.join(wide, ["amount", "island"], "left_semi")
-    bank = cut(bank.join(wide, ["amount", "island"], "left_semi"))
-    while not shared.isEmpty():
+        return _greedy(_offered(rows, cells), tolerance)
+    narrow = cells.filter(F.col("island_size") <= batch)
+    pairs = _greedy(_offered(rows, narrow), tolerance)
+    rest = cut(rows.join(wide, ["amount", "day"]))
+    while True:
+        shared = rest.filter(F.col("kind").isNotNull())
+        if shared.isEmpty():
+            return pairs
         turn = cut(_lowest(shared.withColumn("quota", F.lit(batch)), ["amount", "island"]))
-        found = cut(_greedy(turn, _usable_banks(turn, bank, tolerance), tolerance))
+        now = turn.unionByName(rest.filter(F.col("kind").isNull())).drop("island")
+        found = cut(_greedy(_offered(now, _cells(now, tolerance)), tolerance))
         pairs = pairs.unionByName(found)
-        shared = cut(shared.join(turn.select("id"), "id", "left_anti"))
-        bank = cut(bank.join(found.select(F.col("bank_id").alias("id")), "id", "left_anti"))
-    return pairs
+        done = turn.select("id").unionByName(found.select(F.col("bank_id").alias("id")))
+        rest = cut(rest.join(done, "id", "left_anti"))
 
 
-def _competing(shared: DataFrame, bank: DataFrame, tolerance: int) -> tuple[DataFrame, DataFrame]:
-    """Both sides with their island; rows without any possible partner are gone."""
-    s_cells = shared.select("amount", "day").distinct()
-    b_cells = bank.select("amount", "day").distinct()
-    other = {"s": b_cells, "b": s_cells}
+def _cells(rows: DataFrame, tolerance: int) -> DataFrame:
+    """Amount and day with the island they belong to and the rows around them.
 
-    def reachable(cells, side):
-        near = _near(cells, tolerance)
-        partner = other[side].withColumnRenamed("day", "near_day")
-        return near.join(partner, ["amount", "near_day"], "left_semi").select("amount", "day").distinct()
-
-    s_cells, b_cells = reachable(s_cells, "s"), reachable(b_cells, "b")
+    One row per amount and day, so the windows over the days of an amount stay small.  Cells
+    without a possible partner are left out.
+    """
     order = Window.partitionBy("amount").orderBy("day")
-    gap = F.col("day") - F.lag("day").over(order) > tolerance
-    islands = (
-        s_cells.unionByName(b_cells)
-        .distinct()
-        .withColumn("starts", F.coalesce(gap, F.lit(False)).cast("int"))
-        .withColumn("island", F.sum("starts").over(order))
-        .drop("starts")
+    near = order.rangeBetween(-tolerance, tolerance)
+    n_shared, n_bank = F.count("kind"), F.count("*") - F.count("kind")
+    cells = (
+        rows.groupBy("amount", "day")
+        .agg(n_shared.alias("n_shared"), n_bank.alias("n_bank"))
+        .withColumn("shared_near", F.sum("n_shared").over(near))
+        .withColumn("bank_near", F.sum("n_bank").over(near))
+        .filter(
+            ((F.col("n_shared") > 0) & (F.col("bank_near") > 0)) | ((F.col("n_bank") > 0) & (F.col("shared_near") > 0))
+        )
     )
-    return shared.join(islands.join(s_cells, ["amount", "day"]), ["amount", "day"]), bank.join(
-        islands.join(b_cells, ["amount", "day"]), ["amount", "day"]
+    starts = F.coalesce(F.col("day") - F.lag("day").over(order) > tolerance, F.lit(False)).cast("int")
+    numbered = cells.withColumn("starts", starts).withColumn("island", F.sum("starts").over(order))
+    size = F.sum("n_shared").over(Window.partitionBy("amount", "island"))
+    return numbered.select(
+        "amount", "day", "island", "shared_near", "bank_near", size.alias("island_size")
     )
 
 
+def _offered(rows: DataFrame, cells: DataFrame) -> DataFrame:
+    """Shared rows with a partner in reach, and the lowest bank rows they could use."""
+    placed = rows.join(cells, ["amount", "day"])
+    shared = placed.filter(F.col("kind").isNotNull() & (F.col("bank_near") > 0))
+    bank = placed.filter(F.col("kind").isNull() & (F.col("shared_near") > 0))
+    bank = _lowest(bank.withColumn("quota", F.col("shared_near")), ["amount", "day"])
+    columns = ["amount", "island", "day", "id", "kind"]
+    return shared.select(*columns).unionByName(bank.select(*columns))
+
+
 def _lowest(rows: DataFrame, key: list[str]) -> DataFrame:
     """The ``quota`` lowest ids per key, found per slice of a key first and then overall."""
     for part in (key + [F.pmod(F.hash("id"), F.lit(64))], key):
@@ -293,43 +294,41 @@ def _lowest(rows: DataFrame, key: list[str]) -> DataFrame:
     return rows.drop("rank", "quota")
 
 
-def _usable_banks(turn: DataFrame, bank: DataFrame, tolerance: int) -> DataFrame:
-    """Per amount and day, as many of the lowest bank ids as shared rows of this turn reach."""
-    demand = (
-        _near(turn.groupBy("amount", "day").agg(F.count("*").alias("n")), tolerance)
-        .groupBy("amount", F.col("near_day").alias("day"))
-        .agg(F.sum("n").alias("quota"))
-    )
-    return _lowest(bank.join(demand, ["amount", "day"]), ["amount", "day"])
-
+def _greedy(offered: DataFrame, tolerance: int) -> DataFrame:
+    """The id-ordered assignment inside each island.
 
-def _greedy(turn: DataFrame, offer: DataFrame, tolerance: int) -> DataFrame:
-    """The id-ordered assignment inside each island of one turn."""
-    rows = turn.withColumn("is_bank", F.lit(False)).unionByName(
-        offer.withColumn("is_bank", F.lit(True)).withColumn("kind", F.lit(None).cast("string"))
-    )
+    Islands are streamed: sorted partitions bring the bank rows of an island, then its
+    shared rows in id order.
+    """
+    side = F.col("kind").isNotNull().cast("int").alias("side")
+    rows = offered.select((F.col("amount") * 100).cast("long").alias("cents"), "island", "day", "id", "kind", side)
+
+    def assign(batches):
+        island, banks, used = None, {}, {}
+        for pdf in batches:
+            out = []
+            columns = [pdf[c].tolist() for c in ("cents", "island", "day", "id", "kind", "side")]
+            for cents, number, day, row_id, kind, side in zip(*columns):
+                if island != (cents, number):
+                    island, banks, used = (cents, number), {}, {}
+                if side == 0:
+                    banks.setdefault(day, []).append(row_id)
+                    continue
+                free = [
+                    (banks[d][used.get(d, 0)], d)
+                    for d in range(day - tolerance, day + tolerance + 1)
+                    if d in banks and used.get(d, 0) < len(banks[d])
+                ]
+                if free:
+                    bank_id, bank_day = min(free)
+                    used[bank_day] = used.get(bank_day, 0) + 1
+                    out.append((kind, row_id, bank_id))
+            yield pd.DataFrame(out, columns=["type", "shared_id", "bank_id"])
 
-    def assign(pdf: pd.DataFrame) -> pd.DataFrame:
-        banks = {day: sorted(ids) for day, ids in pdf[pdf.is_bank].groupby("day")["id"]}
-        used = dict.fromkeys(banks, 0)
-        out = []
-        for s in pdf[~pdf.is_bank].sort_values("id").itertuples():
-            free = [
-                (banks[d][used[d]], d)
-                for d in range(s.day - tolerance, s.day + tolerance + 1)
-                if d in banks and used[d] < len(banks[d])
-            ]
-            if free:
-                bank_id, day = min(free)
-                used[day] += 1
-                out.append((s.kind, s.id, bank_id))
-        return pd.DataFrame(out, columns=["type", "shared_id", "bank_id"])
-
-    columns = ["amount", "island", "day", "id", "kind", "is_bank"]
     return (
-        rows.select(*columns)
-        .groupBy("amount", "island")
-        .applyInPandas(assign, "type string, shared_id bigint, bank_id bigint")
+        rows.repartition("cents", "island")
+        .sortWithinPartitions("cents", "island", "side", "id")
+        .mapInPandas(assign, "type string, shared_id bigint, bank_id bigint")
     )
 
 
