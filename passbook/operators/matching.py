@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from passbook.functions.text import any_of, epoch_day, epoch_micros
 from passbook.operators.containment import contained
+from passbook.operators.ranking import lowest
 from passbook.storage import cut
 
 DAY_MICROS = 86400 * 1000000
@@ -242,7 +243,7 @@ def reconcile_pairs(ledger: DataFrame, tolerance: int = 2, batch: int = 100_000)
         shared = rest.filter(F.col("kind").isNotNull())
         if shared.isEmpty():
             return pairs
-        turn = cut(_lowest(shared.withColumn("quota", F.lit(batch)), ["amount", "island"]))
+        turn = cut(lowest(shared.withColumn("quota", F.lit(batch)), ["amount", "island"]))
         now = turn.unionByName(rest.filter(F.col("kind").isNull())).drop("island")
         found = cut(_greedy(_offered(now, _cells(now, tolerance)), tolerance))
         pairs = pairs.unionByName(found)
@@ -281,19 +282,11 @@ def _offered(rows: DataFrame, cells: DataFrame) -> DataFrame:
     placed = rows.join(cells, ["amount", "day"])
     shared = placed.filter(F.col("kind").isNotNull() & (F.col("bank_near") > 0))
     bank = placed.filter(F.col("kind").isNull() & (F.col("shared_near") > 0))
-    bank = _lowest(bank.withColumn("quota", F.col("shared_near")), ["amount", "day"])
+    bank = lowest(bank.withColumn("quota", F.col("shared_near")), ["amount", "day"])
     columns = ["amount", "island", "day", "id", "kind"]
     return shared.select(*columns).unionByName(bank.select(*columns))
 
 
-def _lowest(rows: DataFrame, key: list[str]) -> DataFrame:
-    """The ``quota`` lowest ids per key, found per slice of a key first and then overall."""
-    for part in (key + [F.pmod(F.hash("id"), F.lit(64))], key):
-        order = Window.partitionBy(*part).orderBy("id")
-        rows = rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= F.col("quota"))
-    return rows.drop("rank", "quota")
-
-
 def _greedy(offered: DataFrame, tolerance: int) -> DataFrame:
     """The id-ordered assignment inside each island.
 
