@@ -71,7 +71,7 @@ def _account_csv(text: Column) -> Column:
 
 
 # The order in which layouts are tried, and the file endings of each format.
-ORDER = ["hdfc_credit_card", "hdfc_credit_card_legacy", "icici_credit_card", "hdfc_bank_pdf", "hdfc_bank_csv"]
+ORDER = ["hdfc_bank_csv", "hdfc_bank_pdf", "icici_credit_card", "hdfc_credit_card_legacy", "hdfc_credit_card"]
 ENDINGS = {"pdf": r"(?i)\.pdf$", "csv": r"(?i)\.(csv|txt)$"}
 
 

@@ -17,12 +17,12 @@ def _positions(cells: Column, names: list[tuple[str, Column]]) -> Column:
     lowered = F.transform(cells, lambda c: F.lower(strip(F.coalesce(c, F.lit("")))))
     labels = F.transform(lowered, lambda c: _first_fit(c, names))
     numbered = F.transform(labels, lambda label, i: F.struct(label.alias("label"), i.alias("i")))
-    return F.struct(
-        *[
-            F.array_max(F.transform(F.filter(numbered, lambda n, name=name: n["label"] == name), lambda n: n["i"])).alias(name)
-            for name, _ in names
-        ]
-    )
+
+    def last(name):
+        hits = F.filter(numbered, lambda n: n["label"] == name)
+        return F.array_max(F.transform(hits, lambda n: n["i"])).alias(name)
+
+    return F.struct(*[last(name) for name, _ in names])
 
 
 def _first_fit(cell: Column, names) -> Column:

@@ -53,11 +53,9 @@ def description_above(before: Column) -> Column:
     Lines are taken upwards until another transaction, a heading or enough text; short lines
     and reference tails do not start a description.
     """
-    reached_end = F.lit("|".join(HEADINGS))
-
     def step(state: Column, raw: Column) -> Column:
         line = strip(raw)
-        ends = state["done"] | raw.isNull() | line.rlike(r"\d{2}/\d{2}/\d{4}[\|\s]") | F.upper(line).rlike(reached_end)
+        ends = state["done"] | raw.isNull() | line.rlike(r"\d{2}/\d{2}/\d{4}[\|\s]") | F.upper(line).rlike("|".join(HEADINGS))
         unfit = line.startswith("ST") | (F.size(words(line)) <= 2)
         passed = (line == "") | ((state["text"] == "") & unfit)
         joined = F.when(state["text"] == "", line).otherwise(F.concat(line, F.lit(" "), state["text"]))
