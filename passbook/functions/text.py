@@ -6,7 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # White space in the sense of the statements' text: Unicode, plus the ASCII separators.
-SPACE = r"[\s\x1c-\x1f]"
+WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(
+    chr(c) for c in range(0x2000, 0x200B)
+)
+SPACE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 # Transfer prefixes and filler words of bank descriptions.
 TRANSFER_PREFIXES = ["UPI-", "IMPS-", "NEFT-", "RTGS-", "ACH-"]
@@ -25,17 +28,17 @@ DAY_FIRST_LAYOUTS = [
 
 def strip(c: Column) -> Column:
     """Trim Unicode white space at both ends."""
-    return F.regexp_replace(c, rf"(?U)^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(c, F.lit(WHITE))
 
 
 def collapse(c: Column) -> Column:
     """Trim and turn every run of white space into one blank."""
-    return F.trim(F.regexp_replace(c, rf"(?U){SPACE}+", " "))
+    return F.trim(F.regexp_replace(c, f"{SPACE}+", " "))
 
 
 def squash_upper(c: Column) -> Column:
     """Upper-case with all white space removed; null counts as empty."""
-    return F.upper(F.regexp_replace(F.coalesce(c, F.lit("")), rf"(?U){SPACE}+", ""))
+    return F.upper(F.regexp_replace(F.coalesce(c, F.lit("")), f"{SPACE}+", ""))
 
 
 def words(c: Column) -> Column:

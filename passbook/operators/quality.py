@@ -5,26 +5,30 @@ from pyspark.sql import functions as F
 
 from passbook.functions.text import lines_of, strip
 
-# Labels and patterns of personal data, checked line by line.
+# Labels and patterns of personal data, checked line by line.  The last value
+# is a text that every hit contains; it spares most lines the pattern.
 PII_PATTERNS = [
-    ("Aadhaar number (NNNN NNNN NNNN)", r"(?U)\b\d{4}[\s-]\d{4}[\s-]\d{4}\b"),
-    ("PAN card number", r"(?U)\b[A-Z]{5}\d{4}[A-Z]\b"),
-    ("Indian phone number", r"(?U)(?:\+91[\s-]?|\b0)[6-9]\d{9}\b"),
+    ("Aadhaar number (NNNN NNNN NNNN)", r"(?U)\b\d{4}[\s-]\d{4}[\s-]\d{4}\b", ""),
+    ("PAN card number", r"(?U)\b[A-Z]{5}\d{4}[A-Z]\b", ""),
+    ("Indian phone number", r"(?U)(?:\+91[\s-]?|\b0)[6-9]\d{9}\b", ""),
     (
         "Possible hardcoded password (use env vars instead)",
         r"(?iuU)(?:password|passwd|pwd|secret|api_key)\s*=\s*['\"]"
         r"(?!test|TEST|changeme|YOUR_|your_|example|dummy|fake|placeholder|secret['\"])"
         r"[a-zA-Z0-9@#$%^&*!]{4,}['\"]",
+        "=",
     ),
     (
         "Hardcoded secret in os.environ assignment",
         r"(?U)os\.environ\[['\"][^'\"]+['\"]\]\s*=\s*['\"]"
         r"(?!test|TEST|changeme|YOUR_|your_|example|dummy|fake|placeholder)[^'\"]{4,}['\"]",
+        "os.environ[",
     ),
     (
         "Email address (use @example.com for tests)",
         r"(?U)\b[a-zA-Z0-9._%+-]+@(?!example\.com\b|example\.org\b|anthropic\.com\b|users\.noreply\.github\.com\b)"
         r"[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}\b",
+        "@",
     ),
 ]
 
@@ -32,8 +36,9 @@ PII_PATTERNS = [
 def pii_scan(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(document, line, label, excerpt) for every pattern found in a line."""
     lines = documents.select(key, F.posexplode(lines_of(F.col(text))).alias("pos", "line"))
-    found = F.array(*[F.when(F.col("line").rlike(p), F.lit(label)) for label, p in PII_PATTERNS])
-    hits = lines.withColumn("label", F.explode(F.filter(found, lambda x: x.isNotNull())))
+    line = F.col("line")
+    found = [F.when(line.contains(mark) & line.rlike(p), F.lit(label)) for label, p, mark in PII_PATTERNS]
+    hits = lines.withColumn("label", F.explode(F.array_compact(F.array(*found))))
     return hits.select(
         key,
         (F.col("pos") + 1).cast("long").alias("line_no"),

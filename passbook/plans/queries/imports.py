@@ -6,7 +6,7 @@ from passbook.operators import dedup as dd
 from passbook.operators import quality as ql
 from passbook.plans import imports as im
 from passbook.plans.registry import register
-from passbook.plans.testdata import categories, ledger, merchants, oracle, statement_ledger, statement_oracle, table
+from passbook.plans.testdata import categories, ledger, merchants, oracle, spread, statement_ledger, statement_oracle, table
 from passbook.sources import manifest as mf
 
 # A statement import: of the rows of the ledger on whole units, those of a card are stored
@@ -201,7 +201,7 @@ def file_union_dedupe(spark, sf_dir):
     SELECT doc_id, line_no, label, trim(line)[1:120] AS excerpt FROM hits WHERE label IS NOT NULL""",
 )
 def pii_scan(spark, sf_dir):
-    return ql.pii_scan(table(spark, sf_dir, "documents"))
+    return ql.pii_scan(spread(table(spark, sf_dir, "documents")))
 
 
 @register(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from passbook.functions import text as t
 from passbook.operators import quality as ql
 from passbook.plans.registry import register
-from passbook.plans.testdata import table
+from passbook.plans.testdata import spread, table
 from passbook.sources import csv_statements as cs
 from passbook.sources import detect as dt
 from passbook.sources import statement_tables as st
@@ -44,7 +44,7 @@ o AS (SELECT o_orderkey AS k, CAST(o_orderkey AS VARCHAR) AS key, CAST(o_custkey
 
 
 def _orders(spark, sf_dir):
-    return table(spark, sf_dir, "orders")
+    return spread(table(spark, sf_dir, "orders"))
 
 
 def _file(df, *lines):
@@ -363,7 +363,7 @@ MARKS = {
     FROM documents""",
 )
 def detect_source(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     mark = None
     for n, marks in MARKS.items():
         hit = F.col("doc_id") % 6 == n
@@ -422,7 +422,7 @@ csv AS (SELECT *, 'statement_' || CAST(CAST(cust AS BIGINT) % 97 AS VARCHAR) AS
     FROM csv WHERE k % 11 <> 10 AND k % 4 <> 3""",
 )
 def csv_profile_debit_credit(spark, sf_dir):
-    return _day(cs.debit_credit(cs.with_cells(_debit_credit_lines(spark, sf_dir)))).drop("reject")
+    return _day(cs.debit_credit(_debit_credit_lines(spark, sf_dir))).drop("reject")
 
 
 @register(
@@ -430,7 +430,7 @@ def csv_profile_debit_credit(spark, sf_dir):
     f"""WITH {DEBIT_CREDIT_SQL} SELECT file, k + 1 AS line_no, txt AS narration, coalesce(closing, '') AS closing, CAST(7 AS BIGINT) AS n_cells FROM csv""",
 )
 def csv_overflow_repair(spark, sf_dir):
-    rows = cs.with_cells(_debit_credit_lines(spark, sf_dir))
+    rows = cs.repaired(_debit_credit_lines(spark, sf_dir))
     return rows.select(
         "file", "line_no", F.get("cells", F.lit(1)).alias("narration"), F.get("cells", F.lit(6)).alias("closing"),
         F.size("cells").cast("long").alias("n_cells"),
@@ -448,7 +448,7 @@ def csv_profile_drcr(spark, sf_dir):
     mark = F.when(order_id() % 3 == 0, "cr.").when(order_id() % 3 == 1, "DR").otherwise("")
     line = F.concat(day, F.lit(",TEXT "), id_text(), F.lit(","), _quoted(price_text()), F.lit(","), mark)
     lines = _csv(_orders(spark, sf_dir), F.lit("Date,Description,Amount,DrCr"), line)
-    rows = _day(cs.generic_drcr(cs.with_cells(lines)))
+    rows = _day(cs.generic_drcr(lines))
     return rows.drop("reject", "external_id", "closing_balance")
 
 
@@ -469,7 +469,7 @@ def csv_generic_columns(spark, sf_dir):
     credit = F.when(order_id() % 2 == 1, value).otherwise("")
     line = F.concat(day, F.lit(",TEXT "), id_text(), F.lit(","), _quoted(debit), F.lit(","), _quoted(credit), F.lit(",1.00"))
     lines = _csv(_orders(spark, sf_dir), F.lit("Txn Date,Particulars,Withdrawal Amt,Deposit Amt,Balance"), line)
-    return _day(cs.generic_columns(cs.with_cells(lines))).drop("reject")
+    return _day(cs.generic_columns(lines)).drop("reject")
 
 
 # ---------------------------------------------------------------- scalar functions

@@ -15,6 +15,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt out to all cores where a scan has fewer splits than cores.
+
+    Parsing is work per row; a table in one row group would keep one core busy.  Scans with
+    enough splits, as on a cluster, are left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def ledger(spark: SparkSession, sf_dir: str, whole_units: bool = False) -> DataFrame:
     """Events as ledger rows; ``whole_units`` drops the cents so that amounts meet more often."""
     events = table(spark, sf_dir, "events")

@@ -53,28 +53,35 @@ def cells_of(line: Column) -> Column:
     return F.transform(raw, unquote)
 
 
-def with_cells(lines: DataFrame) -> DataFrame:
+def repaired(lines: DataFrame, positions: dict[str, Column] | None = None) -> DataFrame:
     """Data rows with the header of their file and exactly one cell per header.
 
     Surplus cells go back into the first Narration or Description column, joined with ', ';
-    missing ones are empty.
+    missing ones are empty.  ``positions`` are worked out once per header and come along as
+    the struct ``at``.
     """
     header = lines.filter("line_no = 0").select(
         "file", F.transform(cells_of(F.col("line")), strip).alias("header")
     )
+    at = [c.alias(n) for n, c in (positions or {}).items()]
+    if at:
+        header = header.withColumn("at", F.struct(*at))
     rows = lines.filter("line_no > 0").join(header, "file").withColumn("cells", cells_of(F.col("line")))
     rows = rows.withColumn("cells", csv_overflow_repair(F.col("header"), F.col("cells")))
-    return rows.select("file", "line_no", "header", "cells")
+    return rows.select("file", "line_no", "header", "cells", *(["at"] if at else []))
+
+
+def with_columns(lines: DataFrame, positions: dict[str, Column]) -> DataFrame:
+    """Data rows with the cell at each of the positions; null where the header lacks it."""
+    rows = repaired(lines, positions)
+    return rows.select("file", "line_no", *[F.get("cells", F.col(f"at.{n}")).alias(n) for n in positions])
 
 
 def csv_overflow_repair(header: Column, cells: Column) -> Column:
     """As many cells as the header has columns."""
     width, n = F.size(header), F.size(cells)
-    texty = F.filter(
-        F.transform(header, lambda h, i: F.when(h.contains("Narration") | h.contains("Description"), i)),
-        lambda i: i.isNotNull(),
-    )
-    at = F.get(texty, F.lit(0))
+    texty = F.transform(header, lambda h, i: F.when(h.contains("Narration") | h.contains("Description"), i))
+    at = F.array_min(texty)
     extra = n - width
     folded = F.concat(
         F.slice(cells, F.lit(1), at),
@@ -89,89 +96,95 @@ def csv_overflow_repair(header: Column, cells: Column) -> Column:
     )
 
 
-def column(fits: Callable[[Column], Column], last: bool = False) -> Column:
-    """The cell under the first (or last) header that fits; null if none does."""
-    both = F.arrays_zip(F.col("header").alias("header"), F.col("cells").alias("cells"))
-    hits = F.filter(both, lambda z: fits(z["header"]))
-    return F.get(hits, F.size(hits) - 1 if last else F.lit(0))["cells"]
+def position(fits: Callable[[Column], Column], last: bool = False) -> Column:
+    """Place of the first (or last) header that fits; null if none does."""
+    places = F.array_compact(F.transform("header", lambda h, i: F.when(fits(h), i)))
+    return F.array_max(places) if last else F.array_min(places)
 
 
 def named(name: str) -> Column:
-    return column(lambda h: h == name, last=True)
+    return position(lambda h: h == name, last=True)
 
 
 def _number(text: Column) -> Column:
     return F.replace(text, F.lit(","), F.lit(""))
 
 
-def generic_drcr(rows: DataFrame, has_indicator: bool = True) -> DataFrame:
+def generic_drcr(lines: DataFrame, has_indicator: bool = True) -> DataFrame:
     """S3 csv_profile_drcr: Date, Description, Amount and a DrCr column.
 
     CR marks income, anything else an expense.  Without indicator the sign decides and is
     dropped.
     """
-    date = nonempty(named("Date"))
-    text = F.coalesce(nonempty(_number(F.coalesce(named("Amount"), F.lit("0")))), F.lit("0"))
-    amount = strip(text).try_cast("decimal(12,2)")
+    rows = with_columns(
+        lines,
+        {"date": named("Date"), "text": named("Description"), "value": named("Amount"), "mark": named("DrCr")},
+    )
+    number = F.coalesce(nonempty(_number(F.coalesce("value", F.lit("0")))), F.lit("0"))
+    rows = rows.filter(F.col("date") != "").withColumn("number", strip(number).try_cast("decimal(12,2)"))
+    rows = rows.withColumn("day", parse_date(strip(F.col("date")), MONTH_FIRST_LAYOUTS))
     if has_indicator:
-        kind = F.when(F.upper(F.coalesce(named("DrCr"), F.lit(""))).startswith("CR"), "income").otherwise("expense")
-        value = amount
+        kind = F.when(F.upper(F.coalesce("mark", F.lit(""))).startswith("CR"), "income").otherwise("expense")
     else:
-        kind = F.when(amount < 0, "expense").otherwise("income")
-        value = F.abs(amount)
-    day = parse_date(strip(date), MONTH_FIRST_LAYOUTS)
-    return rows.filter(date.isNotNull()).select(
+        kind = F.when(F.col("number") < 0, "expense").otherwise("income")
+    return rows.select(
         "file",
         "line_no",
-        day.alias("day"),
-        value.alias("amount"),
-        F.coalesce(named("Description"), F.lit("")).alias("description"),
+        "day",
+        (F.col("number") if has_indicator else F.abs("number")).alias("amount"),
+        F.coalesce("text", F.lit("")).alias("description"),
         kind.alias("transaction_type"),
         F.lit(None).cast("string").alias("external_id"),
         F.lit(None).cast("string").alias("closing_balance"),
-        F.when(day.isNull(), "bad date").when(value.isNull(), "bad amount").alias("reject"),
+        F.when(F.col("day").isNull(), "bad date").when(F.col("number").isNull(), "bad amount").alias("reject"),
     )
 
 
-def debit_credit(rows: DataFrame) -> DataFrame:
+def debit_credit(lines: DataFrame) -> DataFrame:
     """S4 csv_profile_debit_credit: separate debit and credit columns found by header words.
 
     A negative debit is income and a negative credit an expense; rows without date,
     description or amount are left out.
     """
-    day = parse_date(strip(column(lambda h: h.contains("Date") & ~h.contains("Value"))), ["dd/MM/yy"])
-    text = strip(column(lambda h: h.contains("Narration")))
-    debit_text = _number(strip(column(lambda h: h.contains("Debit Amount"), last=True)))
-    credit_text = _number(
-        strip(column(lambda h: h.contains("Credit Amount") & ~h.contains("Debit Amount"), last=True))
+
+    def is_ref(h):
+        return h.contains("Ref Number") | h.contains("Chq")
+
+    rows = with_columns(
+        lines,
+        {
+            "date": position(lambda h: h.contains("Date") & ~h.contains("Value")),
+            "text": position(lambda h: h.contains("Narration")),
+            "debit": position(lambda h: h.contains("Debit Amount"), last=True),
+            "credit": position(lambda h: h.contains("Credit Amount") & ~h.contains("Debit Amount"), last=True),
+            "ref": position(is_ref, last=True),
+            "closing": position(
+                lambda h: h.contains("Closing Balance") & ~is_ref(h) & ~h.contains("Value Dat"), last=True
+            ),
+        },
     )
     zero = F.lit(0).cast("decimal(12,2)")
-    debit = F.when(F.coalesce(debit_text, F.lit("")) == "", zero).otherwise(debit_text.try_cast("decimal(12,2)"))
-    credit = F.when(F.coalesce(credit_text, F.lit("")) == "", zero).otherwise(credit_text.try_cast("decimal(12,2)"))
-    is_ref = lambda h: h.contains("Ref Number") | h.contains("Chq")
-    ref = strip(column(is_ref, last=True))
-    closing = strip(
-        column(lambda h: h.contains("Closing Balance") & ~is_ref(h) & ~h.contains("Value Dat"), last=True)
-    )
-    broken = debit.isNull() | credit.isNull()
-    signed = F.when(debit != 0, -debit).otherwise(credit)
-    return (
-        rows.withColumn("day", day)
-        .withColumn("description", text)
-        .withColumn("signed", signed)
-        .withColumn("reject", F.when(broken, "bad amount"))
-        .filter(F.col("day").isNotNull() & (F.col("description") != "") & (F.col("reject").isNotNull() | (F.col("signed") != 0)))
-        .select(
-            "file",
-            "line_no",
-            "day",
-            F.abs("signed").alias("amount"),
-            "description",
-            F.when(F.col("signed") > 0, "income").otherwise("expense").alias("transaction_type"),
-            nonempty(ref).alias("external_id"),
-            nonempty(closing).alias("closing_balance"),
-            "reject",
-        )
+
+    def money(name):
+        text = _number(strip(F.coalesce(name, F.lit(""))))
+        return F.when(text == "", zero).otherwise(text.try_cast("decimal(12,2)"))
+
+    rows = rows.withColumn("day", parse_date(strip(F.col("date")), ["dd/MM/yy"])).filter(F.col("day").isNotNull())
+    rows = rows.withColumn("text", strip(F.col("text"))).filter(F.col("text") != "")
+    rows = rows.withColumn("debit", money("debit")).withColumn("credit", money("credit"))
+    signed = F.when(F.col("debit") != 0, -F.col("debit")).otherwise(F.col("credit"))
+    broken = F.col("debit").isNull() | F.col("credit").isNull()
+    rows = rows.withColumn("signed", F.when(~broken, signed)).filter("signed is null or signed != 0")
+    return rows.select(
+        "file",
+        "line_no",
+        "day",
+        F.abs("signed").alias("amount"),
+        F.col("text").alias("description"),
+        F.when(F.col("signed") > 0, "income").otherwise("expense").alias("transaction_type"),
+        nonempty(strip(F.col("ref"))).alias("external_id"),
+        nonempty(strip(F.col("closing"))).alias("closing_balance"),
+        F.when(F.col("signed").isNull(), "bad amount").alias("reject"),
     )
 
 
@@ -209,41 +222,36 @@ def synonym_columns(header: Column) -> Column:
     return F.aggregate(numbered, empty, place)
 
 
-def generic_columns(rows: DataFrame) -> DataFrame:
+def generic_columns(lines: DataFrame) -> DataFrame:
     """S5 csv_generic_columns: any header with known synonyms, seven date layouts."""
-    headers = rows.select("file", "header").distinct().withColumn("at", synonym_columns(F.col("header"))).drop("header")
-    placed = rows.join(headers, "file")
-
-    def cell(name):
-        return strip(F.coalesce(F.get("cells", F.col(f"at.{name}")), F.lit("")))
-
-    two = F.col("at.debit").isNotNull() & F.col("at.credit").isNotNull()
+    rows = repaired(lines, {"by": synonym_columns(F.col("header"))})
+    places = {name: F.col(f"at.by.{name}") for name, _ in SYNONYMS}
+    two = places["debit"].isNotNull() & places["credit"].isNotNull()
+    cells = [strip(F.coalesce(F.get("cells", at), F.lit(""))).alias(name) for name, at in places.items()]
+    rows = rows.select("file", "line_no", two.alias("two"), *cells).filter("date != '' and description != ''")
     blank = ["", "-", "0", "0.00"]
-    debit, credit, single = cell("debit"), cell("credit"), cell("amount")
+    is_debit, is_credit, is_single = [~F.col(c).isin(blank) for c in ("debit", "credit", "amount")]
     text = (
-        F.when(two & ~debit.isin(blank), debit)
-        .when(two & ~credit.isin(blank), credit)
-        .when(~two & F.col("at.amount").isNotNull() & ~single.isin(blank), single)
+        F.when(F.col("two") & is_debit, F.col("debit"))
+        .when(F.col("two") & is_credit, F.col("credit"))
+        .when(~F.col("two") & is_single, F.col("amount"))
     )
     kind = (
-        F.when(two, F.when(~debit.isin(blank), "expense").otherwise("income"))
-        .when(single.startswith("-") | single.startswith("("), "expense")
+        F.when(F.col("two"), F.when(is_debit, "expense").otherwise("income"))
+        .when(F.col("amount").startswith("-") | F.col("amount").startswith("("), "expense")
         .otherwise("income")
     )
-    day = parse_date(cell("date"), DAY_FIRST_LAYOUTS)
-    amount = plain_amount(text)
-    return (
-        placed.filter((cell("date") != "") & (cell("description") != ""))
-        .filter(text.isNotNull() & (amount.isNull() | (amount != 0)) | day.isNull())
-        .select(
-            "file",
-            "line_no",
-            day.alias("day"),
-            amount.alias("amount"),
-            cell("description").alias("description"),
-            kind.alias("transaction_type"),
-            F.when(day.isNull(), "bad date").when(amount.isNull(), "bad amount").alias("reject"),
-        )
+    rows = rows.withColumn("text", text).withColumn("day", parse_date(F.col("date"), DAY_FIRST_LAYOUTS))
+    rows = rows.withColumn("value", plain_amount(F.col("text")))
+    keep = F.col("day").isNull() | (F.col("text").isNotNull() & (F.col("value").isNull() | (F.col("value") != 0)))
+    return rows.filter(keep).select(
+        "file",
+        "line_no",
+        "day",
+        F.col("value").alias("amount"),
+        "description",
+        kind.alias("transaction_type"),
+        F.when(F.col("day").isNull(), "bad date").when(F.col("value").isNull(), "bad amount").alias("reject"),
     )
 
 
@@ -258,6 +266,6 @@ def read_statements(spark: SparkSession, path: str, profile: str = "generic_drcr
     """(records, rejected rows) of CSV statements of one profile."""
     if profile not in PROFILES:
         raise ValueError(f"Unknown bank profile {profile}")
-    parsed = PROFILES[profile](with_cells(read_lines(spark, path)))
+    parsed = PROFILES[profile](read_lines(spark, path))
     records = parsed.filter(F.col("reject").isNull()).drop("reject")
     return records, parsed.filter(F.col("reject").isNotNull()).select("file", "line_no", "reject")

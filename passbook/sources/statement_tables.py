@@ -67,8 +67,8 @@ def card_table_rows(cells: DataFrame) -> DataFrame:
     headers = (
         cells.filter(is_header)
         .groupBy(*key)
-        .agg(F.min("row_no").alias("header_no"), F.min_by("cells", "row_no").alias("header"))
-        .select(*key, "header_no", _positions(F.col("header"), CARD_COLUMNS).alias("at"))
+        .agg(F.min(F.struct("row_no", "cells")).alias("header"))
+        .select(*key, F.col("header.row_no").alias("header_no"), _positions(F.col("header.cells"), CARD_COLUMNS).alias("at"))
         .filter(F.col("at.date").isNotNull() & F.col("at.amount").isNotNull())
     )
     rows = cells.join(headers, key).filter(F.col("row_no") > F.col("header_no"))
@@ -76,7 +76,8 @@ def card_table_rows(cells: DataFrame) -> DataFrame:
     def cell(name):
         return F.coalesce(_cell(F.col("cells"), F.col(f"at.{name}")), F.lit(""))
 
-    return _card_record(rows, cell("date"), cell("description"), cell("rewards"), cell("amount")).withColumn(
+    rows = rows.select(*key, "row_no", *[cell(name).alias(name) for name, _ in CARD_COLUMNS])
+    return _card_record(rows, *[F.col(name) for name, _ in CARD_COLUMNS]).withColumn(
         "description",
         F.when(F.length("description") >= 2, F.col("description")).otherwise(NO_DESCRIPTION),
     ).select(*key, "row_no", "day", "time", "description", "reward_points", "amount", "transaction_type")
@@ -109,45 +110,52 @@ def account_table_rows(cells: DataFrame) -> DataFrame:
     six columns without header is read by position.
     """
     key = ["file", "page", "table_no"]
+    joined = F.lower(F.array_join("cells", "\n"))
     lowered = F.transform("cells", lambda c: F.lower(strip(F.coalesce(c, F.lit("")))))
-    is_header = F.array_contains(lowered, "date") & F.array_contains(lowered, "narration")
-    by_place = F.struct(*[F.lit(i).alias(n) for n, i in (("date", 0), ("narration", 1), ("ref", 2), ("debit", 4), ("credit", 5))])
-    tables = cells.groupBy(*key).agg(
-        F.min(F.when(is_header, F.col("row_no"))).alias("header_no"),
-        F.min_by("cells", F.when(is_header, F.col("row_no"))).alias("header"),
-        F.min_by(F.size("cells"), "row_no").alias("width"),
+    headers = (
+        cells.filter(joined.contains("date") & joined.contains("narration"))
+        .filter(F.array_contains(lowered, "date") & F.array_contains(lowered, "narration"))
+        .groupBy(*key)
+        .agg(F.min(F.struct("row_no", "cells")).alias("header"))
+        .select(
+            *key, F.col("header.row_no").alias("header_no"),
+            _positions(F.col("header.cells"), ACCOUNT_COLUMNS).alias("found"),
+        )
     )
-    at = F.when(F.col("header_no").isNotNull(), _positions(F.col("header"), ACCOUNT_COLUMNS)).when(
-        F.col("width") >= 6, by_place
+    by_place = F.struct(*[F.lit(i).alias(n) for n, i in (("date", 0), ("narration", 1), ("ref", 2), ("debit", 4), ("credit", 5))])
+    tables = (
+        cells.filter("row_no = 0")
+        .select(*key, F.size("cells").alias("width"))
+        .join(headers, key, "left")
+        .select(
+            *key,
+            F.coalesce("header_no", F.lit(-1)).alias("header_no"),
+            F.coalesce("found", F.when(F.col("width") >= 6, by_place)).alias("at"),
+        )
+        .filter(F.col("at").isNotNull())
     )
-    tables = tables.select(*key, F.coalesce("header_no", F.lit(-1)).alias("header_no"), at.alias("at"))
-    rows = cells.join(tables.filter(F.col("at").isNotNull()), key)
-    rows = rows.filter((F.col("row_no") > F.col("header_no")) & (F.size("cells") >= 5))
+    rows = cells.filter(F.size("cells") >= 5).join(tables, key).filter(F.col("row_no") > F.col("header_no"))
 
     def cell(name):
         return F.coalesce(_cell(F.col("cells"), F.col(f"at.{name}")), F.lit(""))
 
-    def money(name):
-        text = strip(F.replace(cell(name), F.lit(","), F.lit("")))
-        return text, F.coalesce(text.try_cast("decimal(12,2)"), F.lit(0).cast("decimal(12,2)"))
-
-    (debit_text, debit), (credit_text, credit) = money("debit"), money("credit")
-    has_debit = ~debit_text.isin("", "0.00")
-    has_credit = ~has_debit & ~credit_text.isin("", "0.00")
-    signed = F.when(has_debit, -debit).when(has_credit, credit)
-    return (
-        rows.withColumn("day", parse_date(cell("date")))
-        .withColumn("signed", signed)
-        .filter(F.col("day").isNotNull() & (F.col("signed") != 0))
-        .select(
-            *key,
-            "row_no",
-            "day",
-            cell("narration").alias("description"),
-            cell("ref").alias("external_id"),
-            F.abs("signed").alias("amount"),
-            F.when(F.col("signed") > 0, "income").otherwise("expense").alias("transaction_type"),
-        )
+    rows = rows.select(*key, "row_no", *[cell(name).alias(name) for name, _ in ACCOUNT_COLUMNS])
+    rows = rows.withColumn("day", parse_date(F.col("date"))).filter(F.col("day").isNotNull())
+    for name in ("debit", "credit"):
+        rows = rows.withColumn(name, strip(F.replace(F.col(name), F.lit(","), F.lit(""))))
+    has_debit = ~F.col("debit").isin("", "0.00")
+    signed = F.when(has_debit, -F.col("debit").try_cast("decimal(12,2)")).otherwise(
+        F.col("credit").try_cast("decimal(12,2)")
+    )
+    rows = rows.withColumn("signed", signed).filter(F.col("signed") != 0)
+    return rows.select(
+        *key,
+        "row_no",
+        "day",
+        F.col("narration").alias("description"),
+        F.col("ref").alias("external_id"),
+        F.abs("signed").alias("amount"),
+        F.when(F.col("signed") > 0, "income").otherwise("expense").alias("transaction_type"),
     )
 
 

@@ -82,55 +82,63 @@ def _money(text: Column) -> Column:
     return F.replace(text, F.lit(","), F.lit("")).try_cast("decimal(12,2)")
 
 
+def _parts(line: Column, pattern: str, n: int) -> Column:
+    """All n groups of the first match as an array, from one pass of the pattern."""
+    groups = "\u0001".join(f"${i}" for i in range(1, n + 1))
+    tail = "" if pattern.endswith("$") else ".*$"
+    marked = F.regexp_replace(line, f"^.*?{pattern}{tail}", groups)
+    return F.split(marked, "\u0001")
+
+
 def card_a_lines(lines: DataFrame) -> DataFrame:
     """Transactions of the first card layout, whose description may stand above the line.
 
     Every matching line is returned; ``reject`` tells why a line gives no record.
     """
-    rows = with_previous_lines(lines)
     is_new = F.col("line").rlike(CARD_A_NEW)
-    rows = rows.filter(is_new | F.col("line").rlike(CARD_A_OLD)).withColumn("is_new", is_new)
-
-    def part(i):
-        return F.when(F.col("is_new"), F.regexp_extract("line", CARD_A_NEW, i)).otherwise(
-            F.regexp_extract("line", CARD_A_OLD, i)
-        )
-
-    inline = collapse(F.regexp_replace(strip(part(3)), r"\s*\+\s*\d+\s*$", ""))
-    above = description_above(F.col("before"))
-    description = F.when(F.length(inline) >= 3, inline).when(F.length(above) >= 3, above).otherwise(NO_DESCRIPTION)
-    day, amount = _day(part(1)), _money(part(4))
+    rows = with_previous_lines(lines).withColumn("is_new", is_new)
+    rows = rows.filter(F.col("is_new") | F.col("line").rlike(CARD_A_OLD))
+    parts = F.when(F.col("is_new"), _parts(F.col("line"), CARD_A_NEW, 4)).otherwise(
+        _parts(F.col("line"), CARD_A_OLD, 4)
+    )
+    rows = rows.withColumn("parts", parts)
+    part = [F.get("parts", F.lit(i)) for i in range(4)]
+    rows = rows.withColumn("inline", collapse(F.regexp_replace(strip(part[2]), r"\s*\+\s*\d+\s*$", "")))
+    above = F.when(F.length("inline") < 3, description_above(F.col("before"))).otherwise("")
+    rows = rows.withColumn("above", above).withColumn("day", _day(part[0])).withColumn("amount", _money(part[3]))
+    description = (
+        F.when(F.length("inline") >= 3, F.col("inline"))
+        .when(F.length("above") >= 3, F.col("above"))
+        .otherwise(NO_DESCRIPTION)
+    )
     return rows.select(
         "file",
         "line_no",
-        day.alias("day"),
-        amount.alias("amount"),
+        "day",
+        "amount",
         description.alias("description"),
         F.lit("expense").alias("transaction_type"),
-        F.left(part(2), F.lit(5)).alias("time"),
+        F.left(part[1], F.lit(5)).alias("time"),
         F.when(F.col("is_new"), "new").otherwise("old").alias("format"),
-        _reject(day, amount).alias("reject"),
+        _reject(F.col("day"), F.col("amount")).alias("reject"),
     )
 
 
 def card_b_lines(lines: DataFrame) -> DataFrame:
     """Transactions of the second card layout; a trailing CR marks income."""
-    rows = lines.filter(F.col("line").rlike(CARD_B))
-
-    def part(i):
-        return F.regexp_extract("line", CARD_B, i)
-
-    day, amount = _day(part(1)), _money(part(5))
+    rows = lines.filter(F.col("line").rlike(CARD_B)).withColumn("parts", _parts(F.col("line"), CARD_B, 6))
+    part = [F.get("parts", F.lit(i)) for i in range(6)]
+    rows = rows.withColumn("day", _day(part[0])).withColumn("amount", _money(part[4]))
     return rows.select(
         "file",
         "line_no",
-        day.alias("day"),
-        amount.alias("amount"),
-        collapse(part(3)).alias("description"),
-        F.when(part(6) == "CR", "income").otherwise("expense").alias("transaction_type"),
-        part(2).alias("external_id"),
-        part(4).alias("country_code"),
-        _reject(day, amount).alias("reject"),
+        "day",
+        "amount",
+        collapse(part[2]).alias("description"),
+        F.when(part[5] == "CR", "income").otherwise("expense").alias("transaction_type"),
+        part[1].alias("external_id"),
+        part[3].alias("country_code"),
+        _reject(F.col("day"), F.col("amount")).alias("reject"),
     )
 
 
