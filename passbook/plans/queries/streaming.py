@@ -49,5 +49,5 @@ def stream_exact_dedup(spark, sf_dir):
 def incremental_import(spark, sf_dir):
     path = scratch_path(spark, "stream-import")
     inc.incremental_import(_records(spark, sf_dir), f"{path}/ledger", "bank_csv", f"{path}/state").awaitTermination()
-    rows = spark.read.parquet(f"{path}/ledger")
-    return rows.select("seq", "original_description", F.col("amount").cast("double").alias("amount"))
+    rows = inc.read_store(spark, f"{path}/ledger")
+    return rows.select(F.col("id").alias("seq"), "original_description", F.col("amount").cast("double").alias("amount"))

@@ -1,13 +1,15 @@
 """Imports that run as files or rows arrive."""
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from passbook.functions.text import dedup_hash
-from passbook.operators.dedup import fuzzy_dedup
+from passbook.operators.dedup import apply_upgrades, fuzzy_dedup, source_upgrades
 from passbook.plans.imports import new_rows
+from passbook.storage import cut
 
 
 def read_records(spark: SparkSession, path: str, schema: StructType, pattern: str = "*", per_batch: int = 100) -> DataFrame:
@@ -38,35 +40,53 @@ def write_once(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     )
 
 
+STORED = (
+    "id bigint, transaction_date timestamp_ntz, amount decimal(12,2), transaction_type string, "
+    "original_description string, cleaned_description string, external_id string, source_type string, batch string"
+)
+UPGRADES = (
+    "id bigint, original_description string, cleaned_description string, source_type string, external_id string, "
+    "batch string"
+)
+
+
+def _read(spark: SparkSession, folder: str, schema: str, without: str | None) -> DataFrame:
+    try:
+        rows = spark.read.schema(schema).parquet(folder)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        rows = spark.createDataFrame([], schema)
+    return rows if without is None else rows.filter(F.col("batch") != without)
+
+
+def read_store(spark: SparkSession, store: str, without: str | None = None) -> DataFrame:
+    """The ledger the import keeps, with the upgrades later batches brought; optionally without one batch.
+
+    A row is upgraded once at most, because it then comes from the best source.
+    """
+    rows = _read(spark, f"{store}/rows", STORED, without)
+    upgrades = _read(spark, f"{store}/upgrades", UPGRADES, without)
+    return apply_upgrades(rows, upgrades)
+
+
 def incremental_import(
     records: DataFrame, store: str, source_type: str, checkpoint: str, parser_metadata: dict[str, str] | None = None
 ) -> StreamingQuery:
     """ST1: every micro-batch is checked against the stored ledger, and what is new is added.
 
-    Each batch writes its own folder below ``store``, so a batch that is run again after a
-    failure replaces its rows instead of adding them twice.
+    ``seq`` must be unique over all records; it becomes the id.  Each batch of a source writes
+    its own folders below ``store``, so a batch that runs again after a failure replaces its
+    rows instead of adding them twice.  One ``checkpoint`` belongs to one source.
     """
 
-    def load(spark: SparkSession, batch_id: int, like: DataFrame) -> DataFrame:
-        earlier = spark.read.schema(like.schema).option("basePath", store).parquet(store)
-        return earlier.filter(F.col("batch") < batch_id)
-
     def add(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        names = ["id", "transaction_date", "amount", "transaction_type", "original_description", "external_id", "source_type"]
-        like = batch.withColumn("id", F.col("seq")).withColumn("source_type", F.lit(source_type)).withColumn(
-            "batch", F.lit(0).cast("long")
-        ).select(*names, "batch").limit(0)
-        try:
-            stored = load(spark, batch_id, like)
-        except Exception as missing:
-            if "PATH_NOT_FOUND" not in str(missing):
-                raise
-            stored = like
-        decisions = fuzzy_dedup(stored, batch, source_type)
+        label = f"{source_type}-{batch_id}"
+        decisions = cut(fuzzy_dedup(read_store(batch.sparkSession, store, label), batch, source_type))
         rows = new_rows(batch, decisions, source_type, parser_metadata or {"source": source_type})
-        rows = rows.withColumn("id", F.col("seq"))
-        rows.write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
+        rows.withColumn("id", F.col("seq")).write.mode("overwrite").parquet(f"{store}/rows/batch={label}")
+        upgrades = source_upgrades(decisions, batch)
+        upgrades.write.mode("overwrite").parquet(f"{store}/upgrades/batch={label}")
 
     return (
         records.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
