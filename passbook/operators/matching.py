@@ -90,48 +90,62 @@ def match_merchants(ledger: DataFrame, aliases: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- reversals
 
 
-def reversal_pairs(ledger: DataFrame, days: int = 7) -> DataFrame:
+def reversal_pairs(ledger: DataFrame, days: int = 7, cells_per_day: int = 24) -> DataFrame:
     """Income after an expense (or the reverse) of the same merchant and amount.
 
     The original is the lowest id that is at most ``days`` older, not linked yet, and of the
     opposite type; it may serve several reversals.  A missing merchant equals a missing one.
 
-    The span of ``days`` before a row covers the end of one time cell of that width and the
-    start of the next, so a running minimum from each side finds the original without
-    forming pairs, and a busy merchant is spread over its cells.
+    No pairs are formed.  Time is cut into cells (hours); the span before a row is the end
+    of one cell, whole cells, and the start of the row's own cell.  Running minima inside
+    cells give the two ends, a frame over one row per cell the middle.  A busy merchant is
+    thus spread over all its hours.
     """
-    width = days * DAY_MICROS
-    micros = epoch_micros(F.col("transaction_date"))
+    width = DAY_MICROS // cells_per_day
+    reach = days * cells_per_day
     rows = (
         ledger.filter(F.col("reconciled_with_id").isNull() & F.col("transaction_type").isin("income", "expense"))
         .select(
             "id", "merchant_id", "amount", "transaction_type", "transaction_date",
-            micros.alias("at"),
+            epoch_micros(F.col("transaction_date")).alias("at"),
             _says_reversal(F.col("original_description"), F.col("cleaned_description")).alias("says"),
         )
         .withColumn("cell", F.floor(F.col("at") / width))
         .withColumn("offset", F.col("at") - F.col("cell") * width)
     )
-    key = ["merchant_id", "amount", "cell"]
+    spender = ["merchant_id", "amount"]
     me = F.struct("id", F.col("transaction_date").alias("date"))
-
-    def running(frame, order, source=None):
-        w = Window.partitionBy(*key).orderBy(order).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-        allowed = F.lit(True) if source is None else source
-        return [
-            F.min(F.when(allowed & (F.col("transaction_type") == kind), me)).over(w).alias(f"{frame}_{kind}")
-            for kind in ("expense", "income")
-        ]
-
-    # the same cell, up to the row itself
-    own = rows.select("*", *running("own", F.asc("offset")))
-    # the cell before, from the same offset on: its rows move one cell up and are read backwards
-    moved = rows.withColumn("cell", F.col("cell") + 1).withColumn("is_moved", F.lit(True))
+    kinds = ("expense", "income")
+
+    def lowest(name, window=None, allowed=None):
+        out = []
+        for kind in kinds:
+            hit = F.col("transaction_type") == kind
+            value = F.min(F.when(hit if allowed is None else hit & allowed, me))
+            out.append((value.over(window) if window is not None else value).alias(f"{name}_{kind}"))
+        return out
+
+    def inside(order):
+        w = Window.partitionBy(*spender, "cell").orderBy(order)
+        return w.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+
+    # the row's own cell, up to the row itself
+    own = rows.select("*", *lowest("own", inside(F.asc("offset"))))
+    # the cell where the span begins: its rows move up to the row's cell and are read backwards
+    moved = rows.withColumn("cell", F.col("cell") + reach).withColumn("is_moved", F.lit(True))
     both = own.withColumn("is_moved", F.lit(False)).unionByName(moved, allowMissingColumns=True)
-    seen = both.select("*", *running("prior", F.desc("offset"), F.col("is_moved"))).filter(~F.col("is_moved"))
-    opposite = F.when(
-        F.col("transaction_type") == "income", F.least("own_expense", "prior_expense")
-    ).otherwise(F.least("own_income", "prior_income"))
+    ends = both.select("*", *lowest("begin", inside(F.desc("offset")), F.col("is_moved"))).filter(~F.col("is_moved"))
+    # the whole cells in between
+    between = Window.partitionBy(*spender).orderBy("cell").rangeBetween(1 - reach, -1)
+    cells = rows.groupBy(*spender, "cell").agg(*lowest("cell"))
+    cells = cells.select(*spender, "cell", *[F.min(f"cell_{k}").over(between).alias(f"mid_{k}") for k in kinds])
+    same = [ends[c].eqNullSafe(cells[c]) for c in spender + ["cell"]]
+    seen = ends.join(cells, same).select(ends["*"], *[f"mid_{k}" for k in kinds])
+
+    def first(kind):
+        return F.least(*[f"{part}_{kind}" for part in ("begin", "mid", "own")])
+
+    opposite = F.when(F.col("transaction_type") == "income", first("expense")).otherwise(first("income"))
     hits = seen.withColumn("original", opposite).filter(F.col("original").isNotNull())
     reason = (
         F.when(~F.col("says"), "amount_match")

@@ -9,6 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from passbook.functions.compute import settled
 from passbook.functions.text import DAY_FIRST_LAYOUTS, any_of, nonempty, parse_date, plain_amount, strip
 
 # A quoted cell with what follows its closing quote, or an unquoted one.
@@ -60,14 +61,13 @@ def repaired(lines: DataFrame, positions: dict[str, Column] | None = None) -> Da
     missing ones are empty.  ``positions`` are worked out once per header and come along as
     the struct ``at``.
     """
-    header = lines.filter("line_no = 0").select(
-        "file", F.transform(cells_of(F.col("line")), strip).alias("header")
-    )
+    header = settled(lines.filter("line_no = 0").select("file", "line"), line=cells_of(F.col("line")))
+    header = settled(header, header=F.transform("line", strip)).drop("line")
     at = [c.alias(n) for n, c in (positions or {}).items()]
     if at:
-        header = header.withColumn("at", F.struct(*at))
-    rows = lines.filter("line_no > 0").join(header, "file").withColumn("cells", cells_of(F.col("line")))
-    rows = rows.withColumn("cells", csv_overflow_repair(F.col("header"), F.col("cells")))
+        header = settled(header, at=F.struct(*at))
+    rows = settled(lines.filter("line_no > 0").join(header, "file"), cells=cells_of(F.col("line")))
+    rows = settled(rows, cells=csv_overflow_repair(F.col("header"), F.col("cells")))
     return rows.select("file", "line_no", "header", "cells", *(["at"] if at else []))
 
 
@@ -121,8 +121,8 @@ def generic_drcr(lines: DataFrame, has_indicator: bool = True) -> DataFrame:
         {"date": named("Date"), "text": named("Description"), "value": named("Amount"), "mark": named("DrCr")},
     )
     number = F.coalesce(nonempty(_number(F.coalesce("value", F.lit("0")))), F.lit("0"))
-    rows = rows.filter(F.col("date") != "").withColumn("number", strip(number).try_cast("decimal(12,2)"))
-    rows = rows.withColumn("day", parse_date(strip(F.col("date")), MONTH_FIRST_LAYOUTS))
+    rows = settled(rows.filter(F.col("date") != ""), number=strip(number).try_cast("decimal(12,2)"), date=strip(F.col("date")))
+    rows = settled(rows, day=parse_date(F.col("date"), MONTH_FIRST_LAYOUTS))
     if has_indicator:
         kind = F.when(F.upper(F.coalesce("mark", F.lit(""))).startswith("CR"), "income").otherwise("expense")
     else:
@@ -166,12 +166,12 @@ def debit_credit(lines: DataFrame) -> DataFrame:
     zero = F.lit(0).cast("decimal(12,2)")
 
     def money(name):
-        text = _number(strip(F.coalesce(name, F.lit(""))))
-        return F.when(text == "", zero).otherwise(text.try_cast("decimal(12,2)"))
+        return F.when(F.col(name) == "", zero).otherwise(F.col(name).try_cast("decimal(12,2)"))
 
-    rows = rows.withColumn("day", parse_date(strip(F.col("date")), ["dd/MM/yy"])).filter(F.col("day").isNotNull())
-    rows = rows.withColumn("text", strip(F.col("text"))).filter(F.col("text") != "")
-    rows = rows.withColumn("debit", money("debit")).withColumn("credit", money("credit"))
+    trimmed = {n: strip(F.coalesce(n, F.lit(""))) for n in ("date", "text", "ref", "closing")}
+    rows = settled(rows, **trimmed, **{n: _number(strip(F.coalesce(n, F.lit("")))) for n in ("debit", "credit")})
+    rows = settled(rows, day=parse_date(F.col("date"), ["dd/MM/yy"]), debit=money("debit"), credit=money("credit"))
+    rows = rows.filter(F.col("day").isNotNull() & (F.col("text") != ""))
     signed = F.when(F.col("debit") != 0, -F.col("debit")).otherwise(F.col("credit"))
     broken = F.col("debit").isNull() | F.col("credit").isNull()
     rows = rows.withColumn("signed", F.when(~broken, signed)).filter("signed is null or signed != 0")
@@ -182,8 +182,8 @@ def debit_credit(lines: DataFrame) -> DataFrame:
         F.abs("signed").alias("amount"),
         F.col("text").alias("description"),
         F.when(F.col("signed") > 0, "income").otherwise("expense").alias("transaction_type"),
-        nonempty(strip(F.col("ref"))).alias("external_id"),
-        nonempty(strip(F.col("closing"))).alias("closing_balance"),
+        nonempty(F.col("ref")).alias("external_id"),
+        nonempty(F.col("closing")).alias("closing_balance"),
         F.when(F.col("signed").isNull(), "bad amount").alias("reject"),
     )
 
@@ -227,8 +227,8 @@ def generic_columns(lines: DataFrame) -> DataFrame:
     rows = repaired(lines, {"by": synonym_columns(F.col("header"))})
     places = {name: F.col(f"at.by.{name}") for name, _ in SYNONYMS}
     two = places["debit"].isNotNull() & places["credit"].isNotNull()
-    cells = [strip(F.coalesce(F.get("cells", at), F.lit(""))).alias(name) for name, at in places.items()]
-    rows = rows.select("file", "line_no", two.alias("two"), *cells).filter("date != '' and description != ''")
+    cells = {name: strip(F.coalesce(F.get("cells", at), F.lit(""))) for name, at in places.items()}
+    rows = settled(rows, two=two, **cells).filter("date != '' and description != ''")
     blank = ["", "-", "0", "0.00"]
     is_debit, is_credit, is_single = [~F.col(c).isin(blank) for c in ("debit", "credit", "amount")]
     text = (
@@ -241,8 +241,8 @@ def generic_columns(lines: DataFrame) -> DataFrame:
         .when(F.col("amount").startswith("-") | F.col("amount").startswith("("), "expense")
         .otherwise("income")
     )
-    rows = rows.withColumn("text", text).withColumn("day", parse_date(F.col("date"), DAY_FIRST_LAYOUTS))
-    rows = rows.withColumn("value", plain_amount(F.col("text")))
+    rows = settled(rows, text=text, day=parse_date(F.col("date"), DAY_FIRST_LAYOUTS))
+    rows = settled(rows, value=plain_amount(F.col("text")))
     keep = F.col("day").isNull() | (F.col("text").isNotNull() & (F.col("value").isNull() | (F.col("value") != 0)))
     return rows.filter(keep).select(
         "file",

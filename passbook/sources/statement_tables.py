@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from passbook.functions.compute import settled
 from passbook.functions.text import collapse, group1, nonempty, parse_date, strip
 from passbook.sources.statement_text import NO_DESCRIPTION
 
@@ -12,17 +13,15 @@ HEADER_ROWS = 3
 # ---------------------------------------------------------------- table cells
 
 
-def _positions(cells: Column, names: list[tuple[str, Column]]) -> Column:
-    """Struct of column positions: each cell takes the first name that fits, the last cell wins."""
-    lowered = F.transform(cells, lambda c: F.lower(strip(F.coalesce(c, F.lit("")))))
-    labels = F.transform(lowered, lambda c: _first_fit(c, names))
-    numbered = F.transform(labels, lambda label, i: F.struct(label.alias("label"), i.alias("i")))
-
-    def last(name):
-        hits = F.filter(numbered, lambda n: n["label"] == name)
-        return F.array_max(F.transform(hits, lambda n: n["i"])).alias(name)
-
-    return F.struct(*[last(name) for name, _ in names])
+def with_positions(rows: DataFrame, cells: str, names: list[tuple[str, Column]]) -> DataFrame:
+    """Adds ``at``, the place of every column: each cell takes the first name that fits, the last cell wins."""
+    rows = settled(rows, lowered=F.transform(cells, lambda c: F.lower(strip(F.coalesce(c, F.lit(""))))))
+    rows = settled(rows, labels=F.transform("lowered", lambda c: _first_fit(c, names)))
+    places = []
+    for name, _ in names:
+        last = F.size("labels") - F.array_position(F.reverse("labels"), name)
+        places.append(F.when(F.array_contains("labels", name), last).cast("int").alias(name))
+    return settled(rows, at=F.struct(*places)).drop("lowered", "labels")
 
 
 def _first_fit(cell: Column, names) -> Column:
@@ -68,15 +67,17 @@ def card_table_rows(cells: DataFrame) -> DataFrame:
         cells.filter(is_header)
         .groupBy(*key)
         .agg(F.min(F.struct("row_no", "cells")).alias("header"))
-        .select(*key, F.col("header.row_no").alias("header_no"), _positions(F.col("header.cells"), CARD_COLUMNS).alias("at"))
-        .filter(F.col("at.date").isNotNull() & F.col("at.amount").isNotNull())
+    )
+    headers = with_positions(headers, "header.cells", CARD_COLUMNS)
+    headers = headers.filter(F.col("at.date").isNotNull() & F.col("at.amount").isNotNull()).select(
+        *key, F.col("header.row_no").alias("header_no"), "at"
     )
     rows = cells.join(headers, key).filter(F.col("row_no") > F.col("header_no"))
 
     def cell(name):
         return F.coalesce(_cell(F.col("cells"), F.col(f"at.{name}")), F.lit(""))
 
-    rows = rows.select(*key, "row_no", *[cell(name).alias(name) for name, _ in CARD_COLUMNS])
+    rows = settled(rows, **{name: cell(name) for name, _ in CARD_COLUMNS})
     return _card_record(rows, *[F.col(name) for name, _ in CARD_COLUMNS]).withColumn(
         "description",
         F.when(F.length("description") >= 2, F.col("description")).otherwise(NO_DESCRIPTION),
@@ -88,15 +89,16 @@ def _card_record(rows: DataFrame, date: Column, description: Column, rewards: Co
     digits = F.replace(F.regexp_replace(amount, r"[^\d.,]", ""), F.lit(","), F.lit(""))
     value = nonempty(digits).try_cast("decimal(12,2)")
     day = F.to_date(F.try_to_timestamp(group1(date, r"(\d{2}/\d{2}/\d{4})"), F.lit("dd/MM/yyyy")))
-    return (
-        rows.withColumn("day", day)
-        .withColumn("time", group1(date, r"(\d{2}:\d{2})"))
-        .withColumn("description", clean_description(description))
-        .withColumn("reward_points", group1(rewards, r"(\d+)").try_cast("bigint"))
-        .withColumn("transaction_type", F.when(F.lower(amount).contains("cr"), "income").otherwise("expense"))
-        .withColumn("amount", value)
-        .filter(F.col("day").isNotNull() & (F.col("amount") > 0))
+    done = settled(
+        rows,
+        day=day,
+        time=group1(date, r"(\d{2}:\d{2})"),
+        description=clean_description(description),
+        reward_points=group1(rewards, r"(\d+)").try_cast("bigint"),
+        transaction_type=F.when(F.lower(amount).contains("cr"), "income").otherwise("expense"),
+        amount=value,
     )
+    return done.filter(F.col("day").isNotNull() & (F.col("amount") > 0))
 
 
 def clean_description(c: Column) -> Column:
@@ -117,10 +119,9 @@ def account_table_rows(cells: DataFrame) -> DataFrame:
         .filter(F.array_contains(lowered, "date") & F.array_contains(lowered, "narration"))
         .groupBy(*key)
         .agg(F.min(F.struct("row_no", "cells")).alias("header"))
-        .select(
-            *key, F.col("header.row_no").alias("header_no"),
-            _positions(F.col("header.cells"), ACCOUNT_COLUMNS).alias("found"),
-        )
+    )
+    headers = with_positions(headers, "header.cells", ACCOUNT_COLUMNS).select(
+        *key, F.col("header.row_no").alias("header_no"), F.col("at").alias("found")
     )
     by_place = F.struct(*[F.lit(i).alias(n) for n, i in (("date", 0), ("narration", 1), ("ref", 2), ("debit", 4), ("credit", 5))])
     tables = (
@@ -139,15 +140,14 @@ def account_table_rows(cells: DataFrame) -> DataFrame:
     def cell(name):
         return F.coalesce(_cell(F.col("cells"), F.col(f"at.{name}")), F.lit(""))
 
-    rows = rows.select(*key, "row_no", *[cell(name).alias(name) for name, _ in ACCOUNT_COLUMNS])
-    rows = rows.withColumn("day", parse_date(F.col("date"))).filter(F.col("day").isNotNull())
-    for name in ("debit", "credit"):
-        rows = rows.withColumn(name, strip(F.replace(F.col(name), F.lit(","), F.lit(""))))
+    rows = settled(rows, **{name: cell(name) for name, _ in ACCOUNT_COLUMNS})
+    money = {n: strip(F.replace(F.col(n), F.lit(","), F.lit(""))) for n in ("debit", "credit")}
+    rows = settled(rows, day=parse_date(F.col("date")), **money).filter(F.col("day").isNotNull())
     has_debit = ~F.col("debit").isin("", "0.00")
     signed = F.when(has_debit, -F.col("debit").try_cast("decimal(12,2)")).otherwise(
         F.col("credit").try_cast("decimal(12,2)")
     )
-    rows = rows.withColumn("signed", signed).filter(F.col("signed") != 0)
+    rows = settled(rows, signed=signed).filter(F.col("signed") != 0)
     return rows.select(
         *key,
         "row_no",
@@ -171,7 +171,7 @@ def word_rows(words: DataFrame) -> DataFrame:
     """
     key = ["file", "page"]
     placed = words.select(*key, "x0", "text", (F.bround(F.col("top") / 6) * 6).alias("y"))
-    lines = placed.groupBy(*key, "y").agg(F.array_sort(F.collect_list(F.struct("x0", "text"))).alias("words"))
+    lines = placed.groupBy(*key, "y").agg(F.sort_array(F.collect_list(F.struct("x0", "text"))).alias("words"))
     header = _column_edges(lines)
     rows = lines.join(header, key).filter(F.col("y") > F.col("header_y"))
 
@@ -183,11 +183,12 @@ def word_rows(words: DataFrame) -> DataFrame:
         )
         return F.array_join(F.transform(inside, lambda w: strip(w["text"])), " ")
 
-    rows = (
-        rows.withColumn("date_text", part(None, "desc_start"))
-        .withColumn("desc_text", clean_description(part("desc_start", "rewards_start")))
-        .withColumn("reward_text", part("rewards_start", "amount_start"))
-        .withColumn("amount_text", part("amount_start", None))
+    rows = settled(
+        rows,
+        date_text=part(None, "desc_start"),
+        desc_text=clean_description(part("desc_start", "rewards_start")),
+        reward_text=part("rewards_start", "amount_start"),
+        amount_text=part("amount_start", None),
     )
     above = F.lag("desc_text").over(Window.partitionBy(*key).orderBy("y"))
 
@@ -214,13 +215,12 @@ def _column_edges(lines: DataFrame) -> DataFrame:
         hits = F.filter("named", lambda n: n["name"] == name)
         return F.get(hits, F.size(hits) - 1)["x0"]
 
-    candidates = (
-        lines.filter(text.contains("DATE") & text.contains("AMOUNT"))
-        .withColumn("named", named)
-        .select("file", "page", "y", x("date").alias("date_x"), x("description").alias("found_x"),
-                x("rewards").alias("rewards_x"), x("amount").alias("amount_x"))
-        .filter(F.col("date_x").isNotNull() & F.col("amount_x").isNotNull())
-        .withColumn("desc_x", F.coalesce("found_x", F.col("date_x") + 100))
+    heads = settled(lines.filter(text.contains("DATE") & text.contains("AMOUNT")), named=named)
+    heads = settled(
+        heads, date_x=x("date"), found_x=x("description"), rewards_x=x("rewards"), amount_x=x("amount")
+    )
+    candidates = heads.filter(F.col("date_x").isNotNull() & F.col("amount_x").isNotNull()).withColumn(
+        "desc_x", F.coalesce("found_x", F.col("date_x") + 100)
     )
     edges = F.struct("date_x", "desc_x", "rewards_x", "amount_x")
     first = candidates.groupBy("file", "page").agg(F.min("y").alias("header_y"), F.min_by(edges, "y").alias("e"))

@@ -1,17 +1,20 @@
 """Card statements given as extracted text: line records, header fields, printed totals.
 
-``lines`` frames have (file, line_no, line) with line numbers from 1 without gaps;
+``lines`` frames have (file, line_no, line) with line numbers from 1 without gaps, and
+``before`` where the lines above are at hand;
 ``statements`` frames have (file, text) with the whole text of a file.
 """
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from passbook.functions.compute import settled
 from passbook.functions.text import collapse, group1, mask_identifier, nonempty, strip, words
 
 # Shapes of the transaction lines of the two card layouts.
 CARD_A_NEW = r"(\d{2}/\d{2}/\d{4})\|\s*(\d{2}:\d{2})\s+(.+?)\s+C\s+([\d,]+\.?\d*)\s+[lI]"
 CARD_A_OLD = r"(\d{2}/\d{2}/\d{4})\s+(\d{2}:\d{2}:\d{2})\s+(.+?)\s+([\d,]+\.?\d*)$"
+DATED = r"\d{2}/\d{2}/\d{4}"
 CARD_B = r"(\d{2}/\d{2}/\d{4})\s+(\d+)\s+(.+?)\s+(IN|US|UK|[A-Z]{2})\s+([\d,]+\.?\d*)\s*(CR)?"
 
 # Headings that end the look back for a description.
@@ -25,15 +28,29 @@ SPAN = 10_000
 
 
 def statement_lines(statements: DataFrame) -> DataFrame:
-    """Every line of every statement."""
-    split = F.split("text", "\n")
-    return statements.select("file", F.posexplode(split).alias("pos", "line")).select(
-        "file", (F.col("pos") + 1).cast("long").alias("line_no"), "line"
+    """Every line of every statement, with ``before``, the lines just above, nearest first.
+
+    The text of a file is one value, so its lines meet those above them without a shuffle.
+    """
+    shifted = [
+        F.concat(F.array_repeat(F.lit(None).cast("string"), i), F.slice("lines", F.lit(1), F.size("lines") - i)).alias(f"up{i}")
+        for i in range(1, LOOK_BACK + 1)
+    ]
+    padded = F.when(F.size("lines") > LOOK_BACK, F.col("lines")).otherwise(
+        F.concat("lines", F.array_repeat(F.lit(None).cast("string"), LOOK_BACK + 1))
+    )
+    rows = statements.select("file", F.split("text", "\n").alias("lines")).withColumn("lines", padded)
+    rows = rows.select("file", F.posexplode(F.arrays_zip(F.col("lines").alias("line"), *shifted)).alias("pos", "z"))
+    return rows.filter(F.col("z.line").isNotNull()).select(
+        "file",
+        (F.col("pos") + 1).cast("long").alias("line_no"),
+        F.col("z.line").alias("line"),
+        F.array(*[F.col(f"z.up{i}") for i in range(1, LOOK_BACK + 1)]).alias("before"),
     )
 
 
 def with_previous_lines(lines: DataFrame) -> DataFrame:
-    """W9 previous_line_lookback: adds ``before``, the lines just above, nearest first.
+    """W9 previous_line_lookback: adds ``before`` to lines that come one by one.
 
     A file is cut into spans, each repeating the last lines of the span above, so that one
     long file is worked on by many tasks.
@@ -96,16 +113,16 @@ def card_a_lines(lines: DataFrame) -> DataFrame:
     Every matching line is returned; ``reject`` tells why a line gives no record.
     """
     is_new = F.col("line").rlike(CARD_A_NEW)
-    rows = with_previous_lines(lines).withColumn("is_new", is_new)
-    rows = rows.filter(F.col("is_new") | F.col("line").rlike(CARD_A_OLD))
+    rows = lines if "before" in lines.columns else with_previous_lines(lines)
+    rows = rows.filter(F.col("line").rlike(DATED) & (is_new | F.col("line").rlike(CARD_A_OLD)))
+    rows = settled(rows, is_new=is_new)
     parts = F.when(F.col("is_new"), _parts(F.col("line"), CARD_A_NEW, 4)).otherwise(
         _parts(F.col("line"), CARD_A_OLD, 4)
     )
-    rows = rows.withColumn("parts", parts)
     part = [F.get("parts", F.lit(i)) for i in range(4)]
-    rows = rows.withColumn("inline", collapse(F.regexp_replace(strip(part[2]), r"\s*\+\s*\d+\s*$", "")))
-    above = F.when(F.length("inline") < 3, description_above(F.col("before"))).otherwise("")
-    rows = rows.withColumn("above", above).withColumn("day", _day(part[0])).withColumn("amount", _money(part[3]))
+    inline = collapse(F.regexp_replace(strip(part[2]), r"\s*\+\s*\d+\s*$", ""))
+    rows = settled(settled(rows, parts=parts), inline=inline, day=_day(part[0]), amount=_money(part[3]))
+    rows = settled(rows, above=F.when(F.length("inline") < 3, description_above(F.col("before"))).otherwise(""))
     description = (
         F.when(F.length("inline") >= 3, F.col("inline"))
         .when(F.length("above") >= 3, F.col("above"))
@@ -126,9 +143,9 @@ def card_a_lines(lines: DataFrame) -> DataFrame:
 
 def card_b_lines(lines: DataFrame) -> DataFrame:
     """Transactions of the second card layout; a trailing CR marks income."""
-    rows = lines.filter(F.col("line").rlike(CARD_B)).withColumn("parts", _parts(F.col("line"), CARD_B, 6))
+    rows = settled(lines.filter(F.col("line").rlike(CARD_B)), parts=_parts(F.col("line"), CARD_B, 6))
     part = [F.get("parts", F.lit(i)) for i in range(6)]
-    rows = rows.withColumn("day", _day(part[0])).withColumn("amount", _money(part[4]))
+    rows = settled(rows, day=_day(part[0]), amount=_money(part[4]))
     return rows.select(
         "file",
         "line_no",

@@ -43,11 +43,15 @@ def test_card_a(spark):
 
 
 def test_look_back_across_spans(spark, monkeypatch):
-    lines = tx.statement_lines(statements(spark, SAMPLE))
-    whole = {tuple(r) for r in tx.with_previous_lines(lines).select("line_no", F.to_json("before")).collect()}
+    def shown(rows):
+        return {tuple(r) for r in rows.select("file", "line_no", F.to_json("before")).collect()}
+
+    lines = tx.statement_lines(statements(spark, SAMPLE, "one", "one\ntwo\nthree"))
+    bare = lines.drop("before")
+    assert lines.count() == 14
+    assert shown(tx.with_previous_lines(bare)) == shown(lines)
     monkeypatch.setattr(tx, "SPAN", 4)
-    cut = {tuple(r) for r in tx.with_previous_lines(lines).select("line_no", F.to_json("before")).collect()}
-    assert cut == whole
+    assert shown(tx.with_previous_lines(bare)) == shown(lines)
 
 
 def test_card_b_and_net_total(spark):
