@@ -14,9 +14,9 @@ def _json(**fields: Column) -> Column:
     return F.to_json(packed, {"ignoreNullFields": "false"})
 
 
-def _rule_targets(ledger: DataFrame, merchants: DataFrame, rules: list[dict]) -> DataFrame:
+def rule_targets(merchants: DataFrame, rules: list[dict]) -> DataFrame:
     """J10 rule_merchant_default: rule id, its merchant and that merchant's default category."""
-    spark = ledger.sparkSession
+    spark = merchants.sparkSession
     rows = [(r["id"], r["name"], r["merchant_id"]) for r in evaluation_order(rules) if r.get("merchant_id")]
     listed = spark.createDataFrame(rows, "matched_rule_id bigint, matched_rule string, rule_merchant_id bigint")
     known = merchants.select(
@@ -40,7 +40,7 @@ def categorize(ledger: DataFrame, merchants: DataFrame, rules: list[dict]) -> Da
     decided = decided.withColumn(
         "matched_rule_id", F.when(~F.col("is_manual") & ~F.col("by_default"), first_rule(rules))
     )
-    decided = decided.join(_rule_targets(ledger, merchants, rules), "matched_rule_id", "left")
+    decided = decided.join(rule_targets(merchants, rules), "matched_rule_id", "left")
     hit = F.col("matched_rule_id").isNotNull()
     category = (
         F.when(F.col("by_default"), F.col("merchant_default"))

@@ -7,7 +7,8 @@ from passbook.operators import categorize as c
 from passbook.operators import matching as m
 from passbook.operators import rules as ru
 from passbook.plans.registry import register
-from passbook.plans.rulebook import RULE_ROWS_SQL, RULE_SQL, RULES, _one
+from passbook.plans.rulebook import RULE_ROWS_SQL, RULE_SQL, RULES, rules_values_sql
+from passbook.plans.rulebook import one_condition as _one
 from passbook.plans.testdata import aliases, categories, ledger, merchants, oracle
 
 BY_ID = {r["id"]: r for r in RULES}
@@ -135,6 +136,22 @@ decided AS (
 DECIDED = RULE_ROWS_SQL + "," + decided_sql("rule_rows")
 
 
+@register(
+    "rule_merchant_default",
+    oracle(
+        """SELECT r.id AS rule_id, r.merchant_id, m.default_category_id AS category_id FROM rules r
+    LEFT JOIN merchants m ON m.id = r.merchant_id WHERE r.is_active AND r.merchant_id IS NOT NULL""",
+        more=rules_values_sql(),
+    ),
+)
+def rule_merchant_default(spark, sf_dir):
+    targets = c.rule_targets(merchants(spark, sf_dir), RULES)
+    return targets.select(
+        F.col("matched_rule_id").alias("rule_id"), F.col("rule_merchant_id").alias("merchant_id"),
+        F.col("rule_category_id").alias("category_id"),
+    )
+
+
 @register(
     "categorize",
     oracle(

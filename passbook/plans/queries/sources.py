@@ -6,6 +6,7 @@ lines, and read back; the SQL twins state what must come out of it.
 
 from pyspark.sql import functions as F
 
+from passbook.functions import similarity
 from passbook.functions import text as t
 from passbook.operators import quality as ql
 from passbook.plans.registry import register
@@ -14,6 +15,7 @@ from passbook.sources import csv_statements as cs
 from passbook.sources import detect as dt
 from passbook.sources import statement_tables as st
 from passbook.sources import statement_text as tx
+from passbook.storage import scratch_path
 
 
 
@@ -426,6 +428,25 @@ def csv_profile_debit_credit(spark, sf_dir):
     return _day(cs.debit_credit(_debit_credit_lines(spark, sf_dir))).drop("reject")
 
 
+@register(
+    "csv_statement_scan",
+    f"""WITH {ORDERS_SQL} SELECT day, 'TEXT, "' || key || '"' AS description, CAST(price AS DOUBLE) AS amount,
+      CASE WHEN k % 3 = 0 THEN 'income' ELSE 'expense' END AS transaction_type FROM o""",
+)
+def csv_statement_scan(spark, sf_dir):
+    """Writes the orders as CSV files, each with its header, and reads the files back."""
+    path = scratch_path(spark, "csv")
+    rows = _orders(spark, sf_dir).select(
+        F.date_format("o_orderdate", "yyyy-MM-dd").alias("Date"),
+        F.concat(F.lit('TEXT, "'), id_text(), F.lit('"')).alias("Description"),
+        price_text().alias("Amount"),
+        F.when(order_id() % 3 == 0, "CR").otherwise("DR").alias("DrCr"),
+    )
+    rows.write.option("header", True).option("escape", '"').csv(path)
+    records, _ = cs.read_statements(spark, path, "generic_drcr")
+    return _day(records).select("day", "description", "amount", "transaction_type")
+
+
 @register(
     "csv_overflow_repair",
     f"""WITH {DEBIT_CREDIT_SQL} SELECT file, k + 1 AS line_no, txt AS narration, coalesce(closing, '') AS closing, CAST(7 AS BIGINT) AS n_cells FROM csv""",
@@ -476,6 +497,23 @@ def csv_generic_columns(spark, sf_dir):
 # ---------------------------------------------------------------- scalar functions
 
 
+@register(
+    "indel_ratio",
+    """WITH RECURSIVE p AS (SELECT p_partkey AS id, p_name AS a, lower(p_type) || ' ' || p_name[1:4] AS b FROM part),
+    lcs(id, a, b, i, r) AS (
+      SELECT id, a, b, 0, list_transform(range(0, length(b) + 1), lambda j: 0) FROM p
+      UNION ALL
+      SELECT id, a, b, i + 1, list_transform(range(1, length(b) + 2), lambda j: greatest(r[j],
+        coalesce(list_max([r[q] + 1 for q in range(1, j) if b[q] = a[i + 1]]), 0)))
+      FROM lcs WHERE i < length(a))
+    SELECT id, CAST(r[length(b) + 1] AS DOUBLE) * 200.0::DOUBLE / (length(a) + length(b)) AS ratio FROM lcs WHERE i = length(a)""",
+)
+def indel_ratio(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    other = F.concat(F.lower("p_type"), F.lit(" "), F.substring("p_name", 1, 4))
+    return p.select(F.col("p_partkey").alias("id"), similarity.indel_ratio(F.col("p_name"), other).alias("ratio"))
+
+
 @register(
     "mask_identifier",
     f"""WITH {ORDERS_SQL} SELECT k AS id, CASE WHEN k % 2 = 0 THEN left(key, 8) ELSE '9876XXXXXXXX' || lpad(CAST(k % 10000 AS VARCHAR), 4, '0') END AS masked FROM o""",

@@ -5,7 +5,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 
 
-def _one(field, operator, value, **more):
+def one_condition(field, operator, value, **more):
     return {"field": field, "operator": operator, "value": value, **more}
 
 
@@ -17,29 +17,29 @@ def _rule(id, name, priority, merchant_id, conditions, is_active=True):
 
 
 RULES = [
-    _rule(1, "Rings", 10, 3, {"rules": [_one("description", "contains", "ring")]}),
-    _rule(2, "Hot transfers", 10, 4, {"rules": [_one("description", "regex", r"^(upi|neft)-hot\b")]}),
+    _rule(1, "Rings", 10, 3, {"rules": [one_condition("description", "contains", "ring")]}),
+    _rule(2, "Hot transfers", 10, 4, {"rules": [one_condition("description", "regex", r"^(upi|neft)-hot\b")]}),
     _rule(3, "Middle amounts", 5, 7, {
-        "rules": [_one("amount", "between", [50, 80]), _one("description", "not_contains", "RED")],
+        "rules": [one_condition("amount", "between", [50, 80]), one_condition("description", "not_contains", "RED")],
         "logic": "AND",
     }),
     _rule(4, "Small or plate", 20, 1, {
         "rules": [
-            _one("description", "starts_with", "UPI-SMALL"),
-            _one("original_description", "ends_with", "PLATE", case_sensitive=True),
+            one_condition("description", "starts_with", "UPI-SMALL"),
+            one_condition("original_description", "ends_with", "PLATE", case_sensitive=True),
         ],
         "logic": "OR",
     }),
     _rule(5, "Legacy widgets", 30, 6, {"pattern": "widget", "min_amount": 20, "max_amount": 60}),
-    _rule(6, "Switched off", 1, 2, {"rules": [_one("description", "contains", "E")]}, is_active=False),
-    _rule(7, "No merchant", 1, None, {"rules": [_one("description", "contains", "E")]}),
-    _rule(8, "By merchant", 40, 5, {"rules": [_one("merchant_name", "equals", "supplier#000000003")]}),
-    _rule(9, "Broken pattern", 2, 8, {"rules": [_one("description", "regex", "(")]}),
+    _rule(6, "Switched off", 1, 2, {"rules": [one_condition("description", "contains", "E")]}, is_active=False),
+    _rule(7, "No merchant", 1, None, {"rules": [one_condition("description", "contains", "E")]}),
+    _rule(8, "By merchant", 40, 5, {"rules": [one_condition("merchant_name", "equals", "supplier#000000003")]}),
+    _rule(9, "Broken pattern", 2, 8, {"rules": [one_condition("description", "regex", "(")]}),
     _rule(10, "Card rows", 50, 9, {
-        "rules": [_one("source_type", "equals", "credit_card_pdf"), _one("amount", "greater_than", 100)],
+        "rules": [one_condition("source_type", "equals", "credit_card_pdf"), one_condition("amount", "greater_than", 100)],
     }),
-    _rule(11, "Exact amount", 45, 10, {"rules": [_one("amount", "equals_number", "25.5")]}),
-    _rule(12, "Tiny", 60, 2, {"rules": [_one("amount", "less_than", 1.5), _one("currency", "equals", "inr")]}),
+    _rule(11, "Exact amount", 45, 10, {"rules": [one_condition("amount", "equals_number", "25.5")]}),
+    _rule(12, "Tiny", 60, 2, {"rules": [one_condition("amount", "less_than", 1.5), one_condition("currency", "equals", "inr")]}),
 ]
 
 # The same predicates in SQL over a row with columns d (stripped description), o (stripped
