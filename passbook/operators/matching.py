@@ -236,7 +236,7 @@ def reconcile_preview(ledger: DataFrame, tolerance: int = 2) -> DataFrame:
     )
 
 
-def reconcile_pairs(ledger: DataFrame, tolerance: int = 2, batch: int = 100_000) -> DataFrame:
+def reconcile_pairs(ledger: DataFrame, tolerance: int = 2, batch: int = 500_000) -> DataFrame:
     """One-to-one pairs; shared rows in id order take the first free bank row in id order.
 
     Rows only compete within an island: equal amount, and no gap between days wider than the

@@ -34,7 +34,9 @@ def dashboard_totals(ledger: DataFrame, merchants: DataFrame) -> DataFrame:
         F.coalesce(F.sum(F.when(in_scope("income"), amount)), zero).alias("total_income"),
         F.count_if(F.col("category_id").isNull()).alias("uncategorized_count"),
     )
-    return totals.join(merchants.agg(F.count("*").alias("merchant_count"))).select(
+    counted = totals.unionByName(merchants.agg(F.count("*").alias("merchant_count")), allowMissingColumns=True)
+    row = counted.agg(*[F.max(c).alias(c) for c in counted.columns])
+    return row.select(
         "total_count",
         F.col("total_expense").cast("double").alias("total_expense"),
         F.col("total_income").cast("double").alias("total_income"),
@@ -44,10 +46,15 @@ def dashboard_totals(ledger: DataFrame, merchants: DataFrame) -> DataFrame:
     )
 
 
+def _month() -> Column:
+    """First day of the month; cheaper to group by than its text."""
+    return F.trunc(F.to_date("transaction_date"), "month").alias("month")
+
+
 def monthly_totals(ledger: DataFrame, kind: str) -> DataFrame:
     """A2: own spending (or income) per month."""
-    month = F.date_format("transaction_date", "yyyy-MM").alias("month")
-    return ledger.filter(in_scope(kind)).groupBy(month).agg(F.sum(spend_amount()).cast("double").alias("total"))
+    months = ledger.filter(in_scope(kind)).groupBy(_month()).agg(F.sum(spend_amount()).cast("double").alias("total"))
+    return months.withColumn("month", F.date_format("month", "yyyy-MM"))
 
 
 def monthly_income_vs_expense(ledger: DataFrame) -> DataFrame:
@@ -56,8 +63,9 @@ def monthly_income_vs_expense(ledger: DataFrame) -> DataFrame:
     side = {k: F.sum(F.when(F.col("transaction_type") == k, spend_amount())) for k in ("expense", "income")}
     return (
         ledger.filter(in_scope("expense") | in_scope("income"))
-        .groupBy(F.date_format("transaction_date", "yyyy-MM").alias("month"))
+        .groupBy(_month())
         .agg(*[F.coalesce(v, zero).cast("double").alias(k) for k, v in side.items()])
+        .withColumn("month", F.date_format("month", "yyyy-MM"))
         .orderBy("month")
     )
 
@@ -152,6 +160,12 @@ def pattern_top(ledger: DataFrame, n: int = 20) -> DataFrame:
     )
 
 
+def _holds(column: str, q: str) -> Column:
+    """Whether the column holds ``q`` in any case, with its ``%`` and ``_`` as wildcards."""
+    pattern = q.lower().replace("\\", "\\\\")
+    return F.lower(column).like(f"%{pattern}%")
+
+
 def ledger_search(
     ledger: DataFrame,
     q: str | None = None,
@@ -174,7 +188,7 @@ def ledger_search(
 
     out = ledger
     if q:
-        out = out.filter(F.lower("cleaned_description").like(f"%{q.lower()}%"))
+        out = out.filter(_holds("cleaned_description", q))
     if as_int(category_id) is not None:
         out = out.filter(F.col("category_id") == as_int(category_id))
     if no_merchant:
@@ -240,7 +254,7 @@ def page_after(ledger: DataFrame, last_date: str, last_id: int, page_size: int =
 def merchant_sort(counted: DataFrame, sort: str = "name", order: str = "asc", q: str = "") -> DataFrame:
     """O3: merchants by name, category, type or count, nulls last both ways."""
     key = {"category": "default_category_id", "type": "type", "transactions": "txn_count"}.get(sort, "name")
-    out = counted.filter(F.lower("name").like(f"%{q.lower()}%")) if q else counted
+    out = counted.filter(_holds("name", q)) if q else counted
     value = F.nullif(F.col(key), F.lit(0)) if key == "txn_count" else F.col(key)
     return out.orderBy(F.desc_nulls_last(value) if order == "desc" else F.asc_nulls_last(value), "id")
 

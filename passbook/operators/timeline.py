@@ -151,9 +151,10 @@ def day_activity(rows: DataFrame) -> DataFrame:
     zero = F.lit(0).cast("decimal(12,2)")
     total_in = F.coalesce(F.sum(F.when(income, F.col("amount"))), zero)
     total_out = F.coalesce(F.sum(F.when(~income, F.col("amount"))), zero)
-    return rows.groupBy(F.date_format("transaction_date", "yyyy-MM-dd").alias("day")).agg(
+    days = rows.groupBy(F.to_date("transaction_date").alias("day")).agg(
         F.count("*").alias("n"),
         total_in.cast("double").alias("total_in"),
         total_out.cast("double").alias("total_out"),
         F.when(total_in > total_out, "up").otherwise("down").alias("direction"),
     )
+    return days.withColumn("day", F.date_format("day", "yyyy-MM-dd"))

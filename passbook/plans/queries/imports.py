@@ -63,15 +63,49 @@ def fuzzy_dedup(spark, sf_dir):
     return dd.fuzzy_dedup(*_sides(spark, sf_dir), "bank_pdf").select("seq", "status")
 
 
-# The csv import that upgrades stored rows has no SQL twin: stored rows change while rows are
-# taken in order.  tests/test_dedup.py compares it with a loop.
-@register("source_upgrade")
+# The csv import changes stored rows while rows are taken in order, so its SQL twin walks
+# through every block row by row, with the candidates of the block as a list.
+WALK_SQL = f"""
+side AS (SELECT *, CAST(transaction_date AS DATE) AS day, {STORED} AS is_stored,
+    CASE WHEN external_id <> '' THEN coalesce(nullif(ltrim(external_id, '0'), ''), '0') END AS e,
+    upper(regexp_replace(original_description, '\\s+', '', 'g')) AS d FROM ledger),
+blocks AS (
+  SELECT day, amount, transaction_type,
+    coalesce(list({{'e': e, 'd': d, 'kind': 'stored', 'id': id, 'up': TRUE}} ORDER BY id) FILTER (is_stored), []) AS known,
+    list({{'e': e, 'd': d, 'id': id}} ORDER BY id) FILTER (NOT is_stored) AS fresh
+  FROM side GROUP BY ALL HAVING count(*) FILTER (NOT is_stored) > 0),
+walk(i, fresh, cands, hit, seq) AS (
+  SELECT 0, fresh, known, CAST(NULL AS STRUCT(e VARCHAR, d VARCHAR, kind VARCHAR, id BIGINT, up BOOLEAN)), CAST(NULL AS BIGINT) FROM blocks
+  UNION ALL
+  SELECT i + 1, fresh, CASE WHEN place = 0 THEN list_append(cands, {{'e': cur.e, 'd': cur.d, 'kind': 'staged', 'id': cur.id, 'up': FALSE}})
+      WHEN cands[place].up THEN list_concat(list_concat(cands[1:place - 1],
+        [{{'e': coalesce(cur.e, cands[place].e), 'd': cur.d, 'kind': cands[place].kind, 'id': cands[place].id, 'up': FALSE}}]), cands[place + 1:])
+      ELSE cands END, CASE WHEN place > 0 THEN cands[place] END, cur.id
+  FROM (SELECT *, fresh[i + 1] AS cur, coalesce(list_position(list_transform(cands, lambda c:
+      CASE WHEN c.e IS NOT NULL AND fresh[i + 1].e IS NOT NULL THEN c.e = fresh[i + 1].e ELSE c.d = fresh[i + 1].d
+        OR (length(c.d) > 10 AND length(fresh[i + 1].d) > 10 AND (contains(c.d, fresh[i + 1].d) OR contains(fresh[i + 1].d, c.d))) END), TRUE), 0) AS place
+    FROM walk WHERE i < len(fresh))),
+decisions AS (SELECT seq, CASE WHEN hit IS NULL THEN 'new' ELSE 'duplicate' END AS status, hit.kind AS matched_kind, hit.id AS matched_id,
+    coalesce(hit.up, FALSE) AS upgrades FROM walk WHERE i > 0)"""
+
+
+@register(
+    "source_upgrade",
+    oracle(
+        """SELECT matched_id AS id, original_description, trim(regexp_replace(original_description, '\\s+', ' ', 'g')) AS cleaned_description,
+      'bank_csv' AS source_type, nullif(external_id, '') AS external_id, sha256(strftime(transaction_date, '%Y-%m-%d') || '|'
+      || CAST(amount AS VARCHAR) || '|' || trim(regexp_replace(original_description, '\\s+', ' ', 'g'))[1:50] || '|' || transaction_type) AS dedup_hash
+    FROM decisions JOIN ledger ON ledger.id = seq WHERE upgrades""",
+        whole_units=True,
+        more=WALK_SQL,
+    ),
+)
 def source_upgrade(spark, sf_dir):
     stored, incoming = _sides(spark, sf_dir)
     return dd.source_upgrades(dd.fuzzy_dedup(stored, incoming, "bank_csv"), incoming)
 
 
-@register("candidate_union")
+@register("candidate_union", oracle("SELECT * FROM decisions", whole_units=True, more=WALK_SQL))
 def candidate_union(spark, sf_dir):
     stored, incoming = _sides(spark, sf_dir)
     return dd.fuzzy_dedup(stored, incoming, "bank_csv")

@@ -251,12 +251,12 @@ def source_label(spark, sf_dir):
 @register(
     "ledger_sort",
     oracle(
-        """SELECT id, CAST(amount AS DOUBLE) AS amount FROM ledger ORDER BY amount DESC, id LIMIT 100"""
+        """SELECT id, CAST(amount AS DOUBLE) AS amount FROM ledger ORDER BY ledger.amount DESC, id"""
     ),
 )
 def ledger_sort(spark, sf_dir):
-    top = r.ledger_sort(ledger(spark, sf_dir), "amount", "desc").limit(100)
-    return top.select("id", F.col("amount").cast("double").alias("amount"))
+    rows = r.ledger_sort(ledger(spark, sf_dir), "amount", "desc")
+    return rows.select("id", F.col("amount").cast("double").alias("amount"))
 
 
 @register(
