@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from passbook.functions.text import collapse, dedup_hash, first_nonempty, payment_handle
-from passbook.operators.rules import evaluation_order, first_rule, predicate, with_merchant
+from passbook.operators.rules import deciding_rules, first_place, listed, predicate, with_merchant
 
 STATE = ["merchant_id", "category_id", "is_category_auto", "applied_rule_id"]
 
@@ -14,50 +14,59 @@ def _json(**fields: Column) -> Column:
     return F.to_json(packed, {"ignoreNullFields": "false"})
 
 
-def rule_targets(merchants: DataFrame, rules: list[dict]) -> DataFrame:
-    """J10 rule_merchant_default: rule id, its merchant and that merchant's default category."""
-    spark = merchants.sparkSession
-    rows = [(r["id"], r["name"], r["merchant_id"]) for r in evaluation_order(rules) if r.get("merchant_id")]
-    listed = spark.createDataFrame(rows, "matched_rule_id bigint, matched_rule string, rule_merchant_id bigint")
-    known = merchants.select(
-        F.col("id").alias("rule_merchant_id"),
-        F.lit(True).alias("rule_merchant_known"),
-        F.col("default_category_id").alias("rule_category_id"),
-    )
-    return listed.join(known, "rule_merchant_id", "left")
+def rule_targets(rules: DataFrame, merchants: DataFrame) -> DataFrame:
+    """J10 rule_merchant_default: every deciding rule with its merchant and that one's default category."""
+    m = merchants.select(F.col("id").alias("merchant_id"), F.col("default_category_id").alias("category_id"))
+    deciding = rules.filter(F.col("is_active") & F.col("merchant_id").isNotNull())
+    return deciding.select(F.col("id").alias("rule_id"), "merchant_id").join(m, "merchant_id", "left")
+
+
+def _default_categories(merchants: DataFrame, rules: list[dict]) -> dict[int, int | None]:
+    """Default category per merchant the rules name; there are no more of them than rules."""
+    wanted = sorted({r["merchant_id"] for r in rules})
+    rows = merchants.filter(F.col("id").isin(wanted)).select("id", "default_category_id").limit(len(wanted))
+    return {r["id"]: r["default_category_id"] for r in rows.collect()}
 
 
 def categorize(ledger: DataFrame, merchants: DataFrame, rules: list[dict]) -> DataFrame:
     """Manual choice, else merchant default, else first matching rule, else unchanged.
 
     A rule sets the category to its merchant's default even where that is null.  The state
-    before is kept in ``before_*``; ``rule`` says what decided.
+    before is kept in ``before_*``; ``rule`` says what decided.  What the rules lead to is
+    looked up by their place in a literal list: a join by rule would gather all rows that no
+    rule matches under one key.
     """
+    deciding = deciding_rules(rules)
+    defaults = _default_categories(merchants, deciding)
     rows = with_merchant(ledger, merchants)
     manual = F.col("category_id").isNotNull() & ~F.coalesce("is_category_auto", F.lit(False))
     has_default = (F.coalesce("merchant_id", F.lit(0)) != 0) & (F.coalesce("merchant_default", F.lit(0)) != 0)
-    decided = rows.withColumn("is_manual", manual).withColumn("by_default", ~manual & has_default)
-    decided = decided.withColumn(
-        "matched_rule_id", F.when(~F.col("is_manual") & ~F.col("by_default"), first_rule(rules))
-    )
-    decided = decided.join(rule_targets(merchants, rules), "matched_rule_id", "left")
-    hit = F.col("matched_rule_id").isNotNull()
+    rows = rows.withColumn("is_manual", manual).withColumn("by_default", ~manual & has_default)
+    rows = rows.withColumn("place", F.when(~F.col("is_manual") & ~F.col("by_default"), first_place(rules)))
+
+    def of_rule(values, kind):
+        return listed(values, F.col("place"), kind)
+
+    targets = [r["merchant_id"] for r in deciding]
+    hit = F.col("place").isNotNull()
+    known = of_rule([m in defaults for m in targets], "boolean")
     category = (
         F.when(F.col("by_default"), F.col("merchant_default"))
-        .when(hit & F.col("rule_merchant_known"), F.col("rule_category_id"))
+        .when(hit & known, of_rule([defaults.get(m) for m in targets], "bigint"))
         .otherwise(F.col("category_id"))
     )
+    rule_id = of_rule([r["id"] for r in deciding], "bigint")
     after = {
-        "merchant_id": F.when(hit, F.col("rule_merchant_id")).otherwise(F.col("merchant_id")),
+        "merchant_id": F.when(hit, of_rule(targets, "bigint")).otherwise(F.col("merchant_id")),
         "category_id": category,
         "is_category_auto": F.when(F.col("by_default") | hit, True).otherwise(F.col("is_category_auto")),
-        "applied_rule_id": F.when(F.col("is_manual"), F.col("applied_rule_id")).otherwise(F.col("matched_rule_id")),
+        "applied_rule_id": F.when(F.col("is_manual"), F.col("applied_rule_id")).otherwise(rule_id),
     }
     rule = F.when(F.col("by_default"), F.concat(F.lit("merchant_default:"), "merchant_name")).when(
-        hit, F.col("matched_rule")
+        hit, of_rule([r["name"] for r in deciding], "string")
     )
     keep = [c for c in ledger.columns if c not in STATE]
-    return decided.select(
+    return rows.select(
         *keep,
         *[F.col(c).alias(f"before_{c}") for c in STATE],
         *[after[c].alias(c) for c in STATE],

@@ -138,17 +138,35 @@ def with_merchant(ledger: DataFrame, merchants: DataFrame) -> DataFrame:
     return ledger.join(m, "merchant_id", "left")
 
 
-def first_rule(rules: list[dict]) -> Column:
-    """W5 first_rule_wins: id of the first matching rule that names a merchant, else null."""
-    usable = [r for r in evaluation_order(rules) if r.get("merchant_id")]
-    steps = [usable[i : i + RULES_PER_STEP] for i in range(0, len(usable), RULES_PER_STEP)]
+def deciding_rules(rules: list[dict]) -> list[dict]:
+    """Active rules that name a merchant, in evaluation order."""
+    return [r for r in evaluation_order(rules) if r.get("merchant_id")]
+
+
+def first_place(rules: list[dict]) -> Column:
+    """W5 first_rule_wins: place of the first match among the deciding rules, else null.
+
+    Long rule sets are cut into chains, so that no single expression grows without bound.
+    """
+    numbered = list(enumerate(deciding_rules(rules)))
     chains = []
-    for step in steps:
-        chain = F.when(predicate(step[0]["conditions"]), F.lit(step[0]["id"]).cast("long"))
-        for r in step[1:]:
-            chain = chain.when(predicate(r["conditions"]), F.lit(r["id"]).cast("long"))
+    for start in range(0, len(numbered), RULES_PER_STEP):
+        chain = None
+        for place, rule in numbered[start : start + RULES_PER_STEP]:
+            hit = predicate(rule["conditions"])
+            chain = F.when(hit, F.lit(place)) if chain is None else chain.when(hit, F.lit(place))
         chains.append(chain)
-    return F.coalesce(*chains) if chains else F.lit(None).cast("long")
+    return F.coalesce(*chains) if chains else F.lit(None).cast("int")
+
+
+def listed(values: list, place: Column, kind: str) -> Column:
+    """The value at a place of a short list known on the driver."""
+    return F.get(F.array(*[F.lit(v) for v in values]).cast(f"array<{kind}>"), place)
+
+
+def first_rule(rules: list[dict]) -> Column:
+    """Id of the rule at ``first_place``."""
+    return listed([r["id"] for r in deciding_rules(rules)], first_place(rules), "bigint")
 
 
 def matching_rules(rules: list[dict]) -> Column:

@@ -7,7 +7,7 @@ from passbook.operators import categorize as c
 from passbook.operators import matching as m
 from passbook.operators import rules as ru
 from passbook.plans.registry import register
-from passbook.plans.rulebook import RULE_ROWS_SQL, RULE_SQL, RULES, rules_values_sql
+from passbook.plans.rulebook import RULE_ROWS_SQL, RULE_SQL, RULES, rules_frame, rules_values_sql
 from passbook.plans.rulebook import one_condition as _one
 from passbook.plans.testdata import aliases, categories, ledger, merchants, oracle
 
@@ -145,11 +145,7 @@ DECIDED = RULE_ROWS_SQL + "," + decided_sql("rule_rows")
     ),
 )
 def rule_merchant_default(spark, sf_dir):
-    targets = c.rule_targets(merchants(spark, sf_dir), RULES)
-    return targets.select(
-        F.col("matched_rule_id").alias("rule_id"), F.col("rule_merchant_id").alias("merchant_id"),
-        F.col("rule_category_id").alias("category_id"),
-    )
+    return c.rule_targets(rules_frame(spark, RULES), merchants(spark, sf_dir))
 
 
 @register(
