@@ -66,20 +66,23 @@ def card_payment_exclude(ledger: DataFrame, merchants: DataFrame, category_id: i
     """
     hit = (F.col("transaction_type") == "expense") & ~F.col("is_excluded") & is_card_payment(CARD_PAYMENT_V2)
     names = [name for _, name in CARD_TYPES] + [OTHER_CARD]
-    cards = merchants.filter(F.col("name").isin(names)).groupBy(F.col("name").alias("card")).agg(F.min("id").alias("card_merchant"))
-    rows = ledger.withColumn("card", F.when(hit, card_type(F.col("original_description")))).join(cards, "card", "left")
-    done = _changed(
-        rows,
-        F.col("card").isNotNull(),
+    # one row per card at most, so the ids can stand in the expression
+    known = merchants.filter(F.col("name").isin(names)).groupBy("name").agg(F.min("id").alias("id")).collect()
+    card = card_type(F.col("original_description"))
+    merchant = F.lit(None).cast("long")
+    for row in known:
+        merchant = F.when(card == row["name"], F.lit(row["id"])).otherwise(merchant)
+    return _changed(
+        ledger,
+        hit,
         {
             "is_excluded": F.lit(True),
-            "merchant_id": F.col("card_merchant"),
+            "merchant_id": merchant,
             "category_id": F.lit(category_id).cast("long"),
             "is_category_auto": F.lit(False),
             "notes": add_note(EXCLUDE_NOTE),
         },
     )
-    return done.select(*ledger.columns)
 
 
 def missing_card_merchants(ledger: DataFrame, merchants: DataFrame) -> DataFrame:

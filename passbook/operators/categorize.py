@@ -213,7 +213,7 @@ def apply_edits(ledger: DataFrame, merchants: DataFrame, edits: DataFrame) -> Da
         F.lit(True).alias("edited"),
     )
     m = merchants.select(F.col("id").alias("edit_merchant"), F.col("default_category_id").alias("edit_category"))
-    rows = ledger.join(e, "id", "left").join(m, "edit_merchant", "left")
+    rows = ledger.join(e.join(m, "edit_merchant", "left"), "id", "left")
     takes = F.coalesce("edit_category", F.lit(0)) != 0
     after = {
         "merchant_id": F.when(F.col("edit_text") == "", F.lit(None).cast("long")).otherwise(

@@ -55,7 +55,9 @@ def first_match(rows: DataFrame, others: DataFrame, near: DataFrame, value: str)
     Others are condensed to one value per external id and per description before they meet
     the rows, so a block's pairs are never formed.
     """
-    per_id = others.filter(F.col("e").isNotNull()).groupBy(*BLOCK, "e").agg(F.min(value).alias("same_id"))
+    per_id = others.filter(F.col("e").isNotNull()).groupBy(*BLOCK, F.col("e").alias("id_key")).agg(
+        F.min(value).alias("same_id")
+    )
     per_text = others.groupBy(*BLOCK, F.col("d").alias("near")).agg(
         F.min(value).alias("any_text"), F.min(F.when(F.col("e").isNull(), F.col(value))).alias("open_text")
     )
@@ -65,11 +67,14 @@ def first_match(rows: DataFrame, others: DataFrame, near: DataFrame, value: str)
         .agg(F.min("any_text").alias("any_text"), F.min("open_text").alias("open_text"))
     )
     by_text = F.when(F.col("e").isNull(), F.col("any_text")).otherwise(F.col("open_text"))
+    # rows without external id are spread by their text; the mark keeps them from any id
+    id_key = F.coalesce("e", F.concat(F.lit("\u0001"), "d"))
     return (
-        rows.join(per_id, BLOCK + ["e"], "left")
+        rows.withColumn("id_key", id_key)
+        .join(per_id, BLOCK + ["id_key"], "left")
         .join(around, BLOCK + ["d"], "left")
         .withColumn("first", F.least("same_id", by_text))
-        .drop("same_id", "any_text", "open_text")
+        .drop("id_key", "same_id", "any_text", "open_text")
     )
 
 

@@ -82,7 +82,9 @@ def match_merchants(ledger: DataFrame, aliases: DataFrame) -> DataFrame:
         .when(F.col("alias_id").isNotNull(), F.concat(F.lit("alias:"), "alias"))
         .otherwise("no-match")
     )
-    return rows.join(found, "hint", "left").select(
+    # rows without a hint get a key of their own, or they would all meet in one task
+    rows = rows.withColumn("key", F.coalesce("hint", F.concat(F.lit("\u0001"), F.col("id").cast("string"))))
+    return rows.join(found.withColumnRenamed("hint", "key"), "key", "left").select(
         "id", F.coalesce("merchant_id", "alias_merchant_id").alias("new_merchant_id"), rule.alias("match_rule")
     )
 

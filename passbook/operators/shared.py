@@ -35,24 +35,21 @@ def existing_expense(scenarios: DataFrame, stored: DataFrame) -> DataFrame:
     """What becomes of every record: 'created', 'updated' or 'unchanged'.
 
     An expense known by its id only takes over a changed own part; ``stored`` has
-    (expense_id, effective_amount).  Within one import the same id counts in order.
+    (expense_id, effective_amount).  Within one import the same id counts in order; ``key``
+    tells the records that are the same expense.
     """
-    known = F.when(F.coalesce("expense_id", F.lit(0)) != 0, F.col("expense_id"))
-    rows = scenarios.withColumn("expense_key", known)
+    # records without id never meet another one, so each gets a key of its own
+    own = F.concat(F.lit("line "), F.col("line_no").cast("string"))
+    rows = scenarios.withColumn("key", F.coalesce(F.nullif("expense_id", F.lit(0)).cast("string"), own))
     old = stored.select(
-        F.col("expense_id").alias("expense_key"), F.col("effective_amount").alias("old_part"), F.lit(True).alias("is_old")
+        F.col("expense_id").cast("string").alias("key"), F.col("effective_amount").alias("old_part"), F.lit(True).alias("is_old")
     )
-    rows = rows.join(old, "expense_key", "left")
-    # records without id never meet another one
-    single = F.coalesce(F.col("expense_key").cast("string"), F.concat(F.lit("line "), F.col("line_no").cast("string")))
     order = Window.partitionBy("key").orderBy("line_no")
-    rows = rows.withColumn("key", single).withColumn("place", F.row_number().over(order))
+    rows = rows.join(old, "key", "left").withColumn("place", F.row_number().over(order))
     before = F.when(F.col("place") == 1, F.col("old_part")).otherwise(F.lag("effective_amount").over(order))
     is_first = (F.col("place") == 1) & F.col("is_old").isNull()
     action = F.when(is_first, "created").when(~before.eqNullSafe(F.col("effective_amount")), "updated")
-    return rows.withColumn("action", F.coalesce(action, F.lit("unchanged"))).drop(
-        "key", "expense_key", "old_part", "is_old", "place"
-    )
+    return rows.withColumn("action", F.coalesce(action, F.lit("unchanged"))).drop("old_part", "is_old", "place")
 
 
 def import_counts(actions: DataFrame) -> DataFrame:
@@ -67,12 +64,11 @@ def import_counts(actions: DataFrame) -> DataFrame:
 
 def created_rows(actions: DataFrame) -> DataFrame:
     """Ledger rows of the created records, with the last own part the import gave them."""
-    last = actions.groupBy("expense_id").agg(F.max_by("effective_amount", "line_no").alias("last_part"))
-    rows = actions.filter("action = 'created'").join(last, "expense_id", "left")
-    part = F.when(F.coalesce("expense_id", F.lit(0)) != 0, F.col("last_part")).otherwise(F.col("effective_amount"))
+    last = actions.groupBy("key").agg(F.max_by("effective_amount", "line_no").alias("last_part"))
+    rows = actions.filter("action = 'created'").join(last, "key")
     return rows.select(
         "expense_id", "line_no", F.lit("splitwise").alias("source_type"), "transaction_date", "amount",
-        part.alias("effective_amount"), "currency", "transaction_type", "original_description", "cleaned_description",
+        F.col("last_part").alias("effective_amount"), "currency", "transaction_type", "original_description", "cleaned_description",
         "shared_group_id", "is_payment", "is_provisional",
         dedup_hash(
             F.col("transaction_date"), F.col("amount"), F.col("original_description"), F.col("transaction_type")
