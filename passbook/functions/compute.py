@@ -4,6 +4,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def spread_key(key: str, by: str = "id") -> Column:
+    """A numeric key for a left join in which missing keys do not all meet in one task.
+
+    Keys are positive ids; a missing one becomes some negative number that nothing matches.
+    """
+    return F.coalesce(F.col(key), -1 - F.pmod(F.hash(by), F.lit(4096)))
+
+
 def settled(df: DataFrame, **columns: Column) -> DataFrame:
     """``df`` with further (or replaced) columns that are worked out once per row.
 

@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from passbook.functions.compute import spread_key
 from passbook.functions.text import first_nonempty, iso_text, source_label
 from passbook.schemas import TRANSACTION_TYPES
 
@@ -19,9 +20,10 @@ def in_scope(kind: str) -> Column:
 
 def with_names(ledger: DataFrame, merchants: DataFrame, categories: DataFrame) -> DataFrame:
     """J1 enrich_names: merchant and category names; Spark broadcasts a dimension it measures as small."""
-    m = merchants.select(F.col("id").alias("merchant_id"), F.col("name").alias("merchant_name"))
-    c = categories.select(F.col("id").alias("category_id"), F.col("name").alias("category_name"))
-    return ledger.join(m, "merchant_id", "left").join(c, "category_id", "left")
+    m = merchants.select(F.col("id").alias("m_key"), F.col("name").alias("merchant_name"))
+    c = categories.select(F.col("id").alias("c_key"), F.col("name").alias("category_name"))
+    rows = ledger.withColumn("m_key", spread_key("merchant_id")).withColumn("c_key", spread_key("category_id"))
+    return rows.join(m, "m_key", "left").join(c, "c_key", "left").drop("m_key", "c_key")
 
 
 def dashboard_totals(ledger: DataFrame, merchants: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from passbook.functions.compute import spread_key
 from passbook.functions.text import all_of, any_of, first_nonempty, strip
 
 MAX_RULES = 2000
@@ -131,11 +132,11 @@ def evaluation_order(rules: list[dict]) -> list[dict]:
 def with_merchant(ledger: DataFrame, merchants: DataFrame) -> DataFrame:
     """Adds merchant_name and merchant_default for the rules to read."""
     m = merchants.select(
-        F.col("id").alias("merchant_id"),
+        F.col("id").alias("m_key"),
         F.col("name").alias("merchant_name"),
         F.col("default_category_id").alias("merchant_default"),
     )
-    return ledger.join(m, "merchant_id", "left")
+    return ledger.withColumn("m_key", spread_key("merchant_id")).join(m, "m_key", "left").drop("m_key")
 
 
 def deciding_rules(rules: list[dict]) -> list[dict]:
