@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from passbook.functions.text import lines_of, strip
+from passbook.schemas import SOURCE_TYPES, TRANSACTION_TYPES
 
 # Labels and patterns of personal data, checked line by line.  The last value
 # is a text that every hit contains; it spares most lines the pattern.
@@ -95,3 +96,9 @@ def repeated(rows: DataFrame, *key: str) -> DataFrame:
     for k in key:
         present = present.filter(F.col(k).isNotNull())
     return present.groupBy(*key).agg(F.count("*").alias("n")).filter("n > 1")
+
+
+def unknown_values(ledger: DataFrame) -> DataFrame:
+    """Rows whose source or transaction type is none of the declared values."""
+    known = F.col("source_type").isin(SOURCE_TYPES) & F.col("transaction_type").isin(TRANSACTION_TYPES)
+    return ledger.filter(~F.coalesce(known, F.lit(False)))

@@ -245,6 +245,8 @@ def pii_scan(spark, sf_dir):
     UNION ALL SELECT 'category', count(*) FROM ledger WHERE category_id NOT IN (SELECT id FROM categories)
     UNION ALL SELECT 'reconciled_with', count(*) FROM ledger WHERE reconciled_with_id NOT IN (SELECT id FROM ledger)
     UNION ALL SELECT 'category_name', count(*) FROM (SELECT name, parent_id FROM categories GROUP BY ALL HAVING count(*) > 1)
+    UNION ALL SELECT 'unknown_value', count(*) FROM ledger WHERE source_type NOT IN ('splitwise', 'bank_csv', 'bank_pdf', 'credit_card_pdf', 'manual')
+      OR transaction_type NOT IN ('expense', 'income', 'transfer', 'payment')
     UNION ALL SELECT 'transaction_id', count(*) FROM (SELECT id FROM ledger GROUP BY ALL HAVING count(*) > 1)"""
     ),
 )
@@ -255,6 +257,7 @@ def referential_checks(spark, sf_dir):
         "category": ql.orphans(rows, "category_id", cats),
         "reconciled_with": ql.orphans(rows, "reconciled_with_id", rows),
         "category_name": ql.repeated(cats, "name", "parent_id"),
+        "unknown_value": ql.unknown_values(rows),
         "transaction_id": ql.repeated(rows, "id"),
     }
     out = None

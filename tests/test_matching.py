@@ -5,7 +5,6 @@ import json
 import random
 from decimal import Decimal
 
-from pyspark.sql import functions as F
 
 from passbook.operators import matching as m
 from passbook.operators.containment import contained

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from passbook.functions import text as t
 from passbook.operators import quality as ql
 from passbook.sources import csv_statements as cs
-from passbook.sources import detect, export, manifest, shared_backup
+from passbook.sources import detect, manifest, shared_backup
 from passbook.sources import statement_tables as st
 from passbook.sources import statement_text as tx
 
