@@ -75,7 +75,7 @@ def monthly_income_vs_expense(ledger: DataFrame) -> DataFrame:
 def category_spend(ledger: DataFrame, categories: DataFrame, by: str = "id") -> DataFrame:
     """Spending per category; rows are added up per category id before the dimension joins.
 
-    ``by='name'`` merges categories that share a name, as the reference report does.
+    ``by='name'`` merges categories that share a name.
     """
     spent = (
         ledger.filter(in_scope("expense") & F.col("category_id").isNotNull())

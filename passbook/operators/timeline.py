@@ -20,8 +20,8 @@ def running_balance(
 
     From each known balance forward income adds and everything else subtracts, until the
     next known one.  Rows before the first known balance count back from it; with
-    ``backward='compat'`` they undo their own amount instead of the next row's, as the
-    reference does.  Accounts without a known balance get null.
+    ``backward='compat'`` they undo their own amount instead of the next row's.  Accounts
+    without a known balance get null.
     """
     if backward not in ("correct", "compat"):
         raise ValueError("backward is 'correct' or 'compat'")
