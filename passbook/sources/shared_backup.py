@@ -24,6 +24,13 @@ def _money(c: Column) -> Column:
     return F.coalesce(c, F.lit("0")).try_cast("decimal(12,2)")
 
 
+def _utc(text: Column) -> Column:
+    """Zone-less time of an ISO text, in UTC where it names an offset, whatever the session zone."""
+    at = F.try_to_timestamp(text)
+    has_offset = text.rlike(r"(Z|[+-]\d{2}:?\d{2})$")
+    return F.when(has_offset, F.to_utc_timestamp(at, F.current_timezone())).otherwise(at).cast("timestamp_ntz")
+
+
 def _sum(items: Column) -> Column:
     zero = F.lit(0).cast("decimal(12,2)")
     return F.aggregate(items, zero, lambda s, x: (s + _money(x["amount"])).cast("decimal(12,2)"))
@@ -67,7 +74,7 @@ def shared_records(expenses: DataFrame) -> DataFrame:
         "me",
         "line_no",
         F.col("id").alias("expense_id"),
-        F.try_to_timestamp(F.col("date")).cast("timestamp_ntz").alias("transaction_date"),
+        _utc(F.col("date")).alias("transaction_date"),
         F.when(~F.col("is_payment"), F.abs("value")).otherwise(F.col("value")).alias("amount"),
         F.when(F.col("is_payment"), "payment").when(F.col("value") < 0, "income").otherwise("expense")
         .alias("transaction_type"),

@@ -197,6 +197,18 @@ def test_shared_backup_file(spark, tmp_path):
     }
 
 
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York", "Asia/Kolkata"])
+def test_backup_dates_in_any_session_zone(spark, zone):
+    texts = ["2026-01-05T23:30:00Z", "2026-01-05T10:00:00", "2026-01-05T02:00:00+05:30", "2026-01-05"]
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        df = spark.createDataFrame([(x,) for x in texts], "d string").select(shared_backup._utc(F.col("d")).cast("string"))
+        got = [r[0] for r in df.collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert got == ["2026-01-05 23:30:00", "2026-01-05 10:00:00", "2026-01-04 20:30:00", "2026-01-05 00:00:00"]
+
+
 def test_manifest(spark, tmp_path):
     (tmp_path / "a.csv").write_text("one")
     (tmp_path / "a (1).csv").write_text("one")
