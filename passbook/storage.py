@@ -4,28 +4,23 @@ Iterative operators write their state to the reliable folder the cluster
 names in ``spark.checkpoint.dir``; executor-local copies are never used.
 """
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The shared folder named by the session; a fresh local one only in local mode."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    folder = folder or spark.sparkContext.getCheckpointDir()
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder every executor can read")
-    folder = tempfile.mkdtemp(prefix="passbook-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    """The shared folder the session names; without one, a folder inside the warehouse."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path nobody else uses below the shared folder."""
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A path nobody else uses below the shared folder; removed when the application ends."""
+    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jvm_path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(jvm_path)
+    return path
 
 
 def cut(df: DataFrame) -> DataFrame:
