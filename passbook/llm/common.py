@@ -5,7 +5,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The white space of the text contracts: space and \t \n \x0b \f \r.
@@ -23,6 +23,17 @@ def ascii_lower(column):
     return F.translate(column, UPPER, LOWER)
 
 
+def hidden(docs: DataFrame, text: str) -> DataFrame:
+    """``docs`` with its columns out of the way as __0, __1, ..., and ``text`` once more as __in."""
+    df = docs.toDF(*[f"__{i}" for i in range(len(docs.columns))])
+    return df.withColumn("__in", F.col(f"__{docs.columns.index(text)}"))
+
+
+def shown(df: DataFrame, names: list[str], **replaced: Column) -> DataFrame:
+    """The columns that ``hidden`` put away, under their own names; some with new values."""
+    return df.select(*[replaced.get(c, F.col(f"__{i}")).alias(c) for i, c in enumerate(names)])
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str, most: int) -> Iterator[pa.RecordBatch]:
     """Arrow batches cut into slices of about ``most`` bytes of ``text``, one row at least.
 

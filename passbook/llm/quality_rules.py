@@ -6,13 +6,11 @@ and on bad documents, and a document is kept if its posterior probability of bei
 high enough.  There are at most 3 ** rules patterns, however many documents.
 """
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from passbook.functions.compute import settled
-from passbook.llm.common import SPACE, WORD
+from passbook.llm.common import SPACE, WORD, hidden, shown
 from passbook.storage import cut
 
 #: Name, score (Column over the features), bad from this on, good up to this.  Where good is
@@ -156,8 +154,8 @@ def quality(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
 
     Null keys and equal rows are judged like others; columns besides key and text are left out.
     """
-    return judged(cut(votes(features(docs.select(F.col(key).alias("__key"), F.col(text).alias("__text")), "__text")).drop("__text"))
-                  ).withColumnRenamed("__key", key)
+    own = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text"))
+    return judged(cut(votes(features(own, "__text")).drop("__text"))).withColumnRenamed("__key", key)
 
 
 def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -166,7 +164,5 @@ def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
     The texts are read twice, once for the vote patterns and once for the verdicts; they are
     neither shuffled nor copied.
     """
-    own = docs.columns
-    packed = docs.select(F.struct(*own).alias("__row"), F.col(text).alias("__text"))
-    voted = votes(features(packed, "__text"))
-    return judged(voted).filter("kept").select("__row.*")
+    voted = votes(features(hidden(docs, text), "__in"))
+    return shown(judged(voted).filter("kept"), docs.columns)

@@ -35,6 +35,8 @@ def test_counts_against_plain_python(spark):
     assert qr.quality(docs.limit(0)).count() == 0
     kept = qr.keep_good(docs)
     assert kept.columns == docs.columns
+    want = sorted((r.doc_id or 0, r.n_words) for r in qr.quality(docs).filter("kept").collect())
+    assert sorted((r.doc_id or 0, len(BLANK.findall(r.text))) for r in kept.collect()) == want
 
 
 def test_verdicts_against_labels(spark):
