@@ -9,7 +9,11 @@ from test_quality_rules import plain
 def test_stages_take_effect(spark, tmp_path):
     """Junk, copies, benchmark passages and secrets planted among clean prose; brute force per stage."""
     rng = random.Random(4)
-    prose = lambda n: " ".join("".join(rng.choices("abcdefghijklm", k=rng.randint(3, 8))) for _ in range(n)).capitalize() + "."
+
+    def prose(n):
+        words = ["".join(rng.choices("abcdefghijklm", k=rng.randint(3, 8))) for _ in range(n)]
+        return " ".join(w.capitalize() if i % 9 == 0 else w + "." * (i % 9 == 8) for i, w in enumerate(words)) + "."
+
     clean = [prose(rng.randint(40, 200)) for _ in range(60)]
     item = prose(40)
     junk = [" ".join(w + rng.choice(["###", "&&&", "%%%"]) for w in prose(60).split()) for _ in range(12)]

@@ -59,7 +59,7 @@ def test_estimates_against_plain_loop(spark):
         rows[v] = rows.get(v, 0) + 1
     df = spark.createDataFrame([(*v, n) for v, n in rows.items()], [*(f"vote_{n}" for n in names), "n"])
     prior, rates = qr.estimate(df, rounds=3)
-    p, q = qr.PRIOR, [{1: (0.5, 0.13), -1: (0.1, 0.4), 0: (0.4, 0.47)}] * len(names)
+    p, q = qr.PRIOR, [qr.START] * len(names)
     for _ in range(3):
         post = {}
         for v in rows:
