@@ -231,11 +231,12 @@ def split(rows: DataFrame, bucket: str) -> tuple[DataFrame, DataFrame]:
     The latter are the others, and one of each kind of the former whose ``bucket`` some other
     shares: what is left open may be equal to a part of it.
     """
-    both = shared(rows, "c1", "c2")
-    settled = cut(rows.join(both, ["c1", "c2"], "left_semi").select(rows.columns))
-    others = cut(rows.join(both, ["c1", "c2"], "left_anti").select(rows.columns))
+    both = shared(rows, "c1", "c2").withColumn("again", F.lit(True))
+    known = cut(rows.join(both, ["c1", "c2"], "left"))
+    settled = known.filter("again").drop("again")
+    others = known.filter("again IS NULL").drop("again")
     kinds = ["c1", "c2", "k", F.expr("s - a").alias("before"), F.expr("e - a").alias("behind")]
-    one = settled.groupBy(*kinds).agg(F.min(F.struct(*rows.columns)).alias("one")).select("one.*")
+    one = settled.groupBy(*kinds).agg(F.min(F.struct(*settled.columns)).alias("one")).select("one.*")
     open_buckets = cut(others.select(bucket).distinct())
     wanted = ["t1", "t2", "a", "s", "e", "k"]
     return settled, cut(others.select(wanted).union(cut(one).join(open_buckets, bucket, "left_semi").select(wanted)))
