@@ -76,9 +76,9 @@ class Templates:
         if len(self.index) > MEMO:
             self.clear()
         tokens, index = TOKEN.findall(text), self.index
-        at = np.array([i if (i := index.get(t)) is not None else self.add(t) for t in tokens], dtype=np.int64)
-        kinds = np.array(self.kinds, dtype=np.int8)[at] if len(at) else np.zeros(0, np.int8)
-        hashes = np.array(self.hashes, dtype=np.uint64)[at] if len(at) else np.zeros(0, np.uint64)
+        at = [i if (i := index.get(t)) is not None else self.add(t) for t in tokens]
+        kinds = np.array([self.kinds[i] for i in at], dtype=np.int8)
+        hashes = np.array([self.hashes[i] for i in at], dtype=np.uint64)
         first = np.ones(len(at), dtype=bool)
         first[1:] = kinds[:-1] == MARK
         name = (kinds == CAPITAL) & ~first
