@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 def spread_key(key: str, by: str = "id") -> Column:
     """A numeric key for a left join in which missing keys do not all meet in one task.
 
-    Keys are positive ids; a missing one becomes some negative number that nothing matches.
+    Keys are compared as text; a missing one becomes a text that no number has.
     """
-    return F.coalesce(F.col(key), -1 - F.pmod(F.hash(by), F.lit(4096)))
+    return F.coalesce(F.col(key).cast("string"), F.concat(F.lit("~"), F.hash(by).cast("string")))
 
 
 def settled(df: DataFrame, **columns: Column) -> DataFrame:

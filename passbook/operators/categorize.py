@@ -24,8 +24,9 @@ def rule_targets(rules: DataFrame, merchants: DataFrame) -> DataFrame:
 def _default_categories(merchants: DataFrame, rules: list[dict]) -> dict[int, int | None]:
     """Default category per merchant the rules name; there are no more of them than rules."""
     wanted = sorted({r["merchant_id"] for r in rules})
-    rows = merchants.filter(F.col("id").isin(wanted)).select("id", "default_category_id").limit(len(wanted))
-    return {r["id"]: r["default_category_id"] for r in rows.collect()}
+    named = merchants.filter(F.col("id").isin(wanted)).groupBy("id")
+    rows = named.agg(F.max("default_category_id").alias("default_category_id")).collect()
+    return {r["id"]: r["default_category_id"] for r in rows}
 
 
 def categorize(ledger: DataFrame, merchants: DataFrame, rules: list[dict]) -> DataFrame:

@@ -20,8 +20,8 @@ def in_scope(kind: str) -> Column:
 
 def with_names(ledger: DataFrame, merchants: DataFrame, categories: DataFrame) -> DataFrame:
     """J1 enrich_names: merchant and category names; Spark broadcasts a dimension it measures as small."""
-    m = merchants.select(F.col("id").alias("m_key"), F.col("name").alias("merchant_name"))
-    c = categories.select(F.col("id").alias("c_key"), F.col("name").alias("category_name"))
+    m = merchants.select(F.col("id").cast("string").alias("m_key"), F.col("name").alias("merchant_name"))
+    c = categories.select(F.col("id").cast("string").alias("c_key"), F.col("name").alias("category_name"))
     rows = ledger.withColumn("m_key", spread_key("merchant_id")).withColumn("c_key", spread_key("category_id"))
     return rows.join(m, "m_key", "left").join(c, "c_key", "left").drop("m_key", "c_key")
 

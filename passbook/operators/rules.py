@@ -8,22 +8,19 @@ they read are those of the ledger plus ``merchant_name``.
 import json
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passbook.functions.compute import spread_key
 from passbook.functions.text import all_of, any_of, first_nonempty, strip
 
-MAX_RULES = 2000
 RULES_PER_STEP = 100
 
 
 def load_rules(rules: DataFrame) -> list[dict]:
-    """Rules table as a list; refuses tables that no person can have written."""
-    rows = rules.limit(MAX_RULES + 1).collect()
-    if len(rows) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules")
-    return [{**r.asDict(), "conditions": json.loads(r["conditions"])} for r in rows]
+    """Rules table as a list: rules are written by hand, and all of them count."""
+    return [{**r.asDict(), "conditions": json.loads(r["conditions"])} for r in rules.collect()]
 
 
 def rule_field(field: str) -> Column:
@@ -62,7 +59,30 @@ def regex_condition(field: Column, pattern: str, case_sensitive: bool) -> Column
         return F.lit(False)
     java = re.sub(r"\(\?P<", "(?<", pattern)
     java = re.sub(r"\(\?P=(\w+)\)", r"\\k<\1>", java)
-    return field.rlike(("(?U)" if case_sensitive else "(?iuU)") + java)
+    java = ("(?U)" if case_sensitive else "(?iuU)") + java
+    try:
+        SparkSession.active()._jvm.java.util.regex.Pattern.compile(java)
+    except IllegalArgumentException:
+        return F.lit(False)
+    return field.rlike(java)
+
+
+#: Ledger amounts are smaller than this.
+LARGEST = 10**12
+
+
+def at_least(field: Column, value) -> Column:
+    """Whether an amount is ``value`` or more, for any size of ``value``."""
+    if abs(float(value)) >= LARGEST:
+        return field.isNotNull() & F.lit(float(value) < 0)
+    return field >= F.lit(str(value)).cast("decimal(18,6)")
+
+
+def at_most(field: Column, value) -> Column:
+    """Whether an amount is ``value`` or less, for any size of ``value``."""
+    if abs(float(value)) >= LARGEST:
+        return field.isNotNull() & F.lit(float(value) > 0)
+    return field <= F.lit(str(value)).cast("decimal(18,6)")
 
 
 def number_condition(field: Column, operator: str, value) -> Column:
@@ -108,9 +128,9 @@ def flat_condition(spec: dict) -> Column:
         text = F.upper(first_nonempty(F.col("cleaned_description"), F.col("original_description")))
         parts.append(text.contains(F.upper(F.lit(spec["pattern"]))))
     if spec.get("min_amount") is not None:
-        parts.append(F.col("amount") >= F.lit(str(spec["min_amount"])).cast("decimal(18,6)"))
+        parts.append(at_least(F.col("amount"), spec["min_amount"]))
     if spec.get("max_amount") is not None:
-        parts.append(F.col("amount") <= F.lit(str(spec["max_amount"])).cast("decimal(18,6)"))
+        parts.append(at_most(F.col("amount"), spec["max_amount"]))
     return all_of(parts)
 
 
@@ -132,7 +152,7 @@ def evaluation_order(rules: list[dict]) -> list[dict]:
 def with_merchant(ledger: DataFrame, merchants: DataFrame) -> DataFrame:
     """Adds merchant_name and merchant_default for the rules to read."""
     m = merchants.select(
-        F.col("id").alias("m_key"),
+        F.col("id").cast("string").alias("m_key"),
         F.col("name").alias("merchant_name"),
         F.col("default_category_id").alias("merchant_default"),
     )

@@ -13,7 +13,9 @@ from passbook.functions.compute import settled
 from passbook.functions.text import DAY_FIRST_LAYOUTS, any_of, nonempty, parse_date, plain_amount, strip
 
 # A quoted cell with what follows its closing quote, or an unquoted one.
-CELL = r',("(?:[^"]|"")*"[^,]*|[^,]*)'
+# The quantifiers give nothing back, so a cell may have any length.
+QUOTED = r'"[^"]*+(?:""[^"]*+)*+"'
+CELL = rf',({QUOTED}[^,]*|[^,]*)'
 
 # Date layouts of the generic profile.
 MONTH_FIRST_LAYOUTS = ["yyyy-MM-dd", "MM/dd/yyyy", "MM-dd-yyyy", "MM/dd/yy", "dd-MMM-yyyy", "dd MMM yyyy"]
@@ -47,8 +49,8 @@ def cells_of(line: Column) -> Column:
     raw = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(CELL), F.lit(1))
 
     def unquote(cell):
-        inner = F.replace(F.regexp_extract(cell, r'^"((?:[^"]|"")*)"', 1), F.lit('""'), F.lit('"'))
-        rest = F.regexp_replace(cell, r'^"(?:[^"]|"")*"', "")
+        inner = F.replace(F.regexp_extract(cell, r'^"([^"]*+(?:""[^"]*+)*+)"', 1), F.lit('""'), F.lit('"'))
+        rest = F.regexp_replace(cell, f"^{QUOTED}", "")
         return F.when(cell.startswith('"'), F.concat(inner, rest)).otherwise(cell)
 
     return F.transform(raw, unquote)

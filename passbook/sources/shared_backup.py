@@ -98,10 +98,11 @@ def persons(records: DataFrame, user: DataFrame | None = None, friends: DataFram
     ``shared_records``.
     """
 
-    def ranked(df, place, order, sub, who):
+    def ranked(df, place, order, pos, sub, who):
         return df.select(
             F.struct(
-                F.lit(place).alias("place"), order.cast("long").alias("order"), F.lit(sub).alias("sub"),
+                F.lit(place).alias("place"), order.cast("long").alias("order"), pos.cast("long").alias("pos"),
+                F.lit(sub).alias("sub"),
                 F.coalesce(who["first_name"], F.lit("")).alias("first_name"),
                 F.coalesce(who["last_name"], F.lit("")).alias("last_name"),
                 F.coalesce(who["email"], F.lit("")).alias("email"),
@@ -112,16 +113,16 @@ def persons(records: DataFrame, user: DataFrame | None = None, friends: DataFram
 
     who = F.struct("id", "first_name", "last_name", "email")
     parts = [
-        ranked(records, 2, F.col("line_no") * 1000000, 0, F.col("created_by")),
+        ranked(records, 2, F.col("line_no"), F.lit(-1), 0, F.col("created_by")),
         ranked(
             records.select("line_no", F.posexplode("users").alias("pos", "entry")),
-            2, F.col("line_no") * 1000000 + F.col("pos") + 1, 1, F.col("entry")["user"],
+            2, F.col("line_no"), F.col("pos"), 1, F.col("entry")["user"],
         ),
     ]
     if user is not None:
-        parts.append(ranked(user, 0, F.lit(0), 0, who))
+        parts.append(ranked(user, 0, F.lit(0), F.lit(0), 0, who))
     if friends is not None:
-        parts.append(ranked(friends, 1, F.col("pos"), 0, who))
+        parts.append(ranked(friends, 1, F.col("pos"), F.lit(0), 0, who))
     every = parts[0]
     for more in parts[1:]:
         every = every.unionByName(more)

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from passbook.operators import categorize, quality, reports, rules
-from passbook.sources import detect, export, seed
+from passbook.sources import csv_statements, detect, export, seed
 from passbook.sources import statement_text as tx
 
 LEDGER = (
@@ -58,12 +58,37 @@ def test_pages(spark):
         reports.paginate(ledger, 1, 500)
 
 
-def test_load_rules(spark, monkeypatch):
-    table = spark.createDataFrame([(1, "a", json.dumps({"rules": []}))], "id long, name string, conditions string")
-    assert rules.load_rules(table) == [{"id": 1, "name": "a", "conditions": {"rules": []}}]
-    monkeypatch.setattr(rules, "MAX_RULES", 0)
-    with pytest.raises(ValueError):
-        rules.load_rules(table)
+def test_load_rules(spark):
+    rows = [(i, "a", json.dumps({"rules": []})) for i in range(5000)]
+    table = spark.createDataFrame(rows, "id long, name string, conditions string")
+    assert sorted(r["id"] for r in rules.load_rules(table)) == list(range(5000))
+
+
+def test_odd_rule_values(spark):
+    """Patterns only Python knows match nothing; bounds of any size compare."""
+    df = spark.createDataFrame([("ab", 5)], "t string, n int").withColumn("n", F.col("n").cast("decimal(12,2)"))
+    row = df.select(
+        rules.regex_condition(F.col("t"), "(a)?(?(1)b|c)", True).alias("odd"),
+        rules.regex_condition(F.col("t"), "^a", True).alias("plain"),
+        rules.at_least(F.col("n"), 1e30).alias("huge"),
+        rules.at_most(F.col("n"), 1e30).alias("below"),
+        rules.at_least(F.col("n"), 5).alias("same"),
+    ).first()
+    assert tuple(row) == (False, True, False, True, True)
+
+
+def test_rows_without_merchant_meet_nobody(spark):
+    ledger = spark.createDataFrame([(i, None if i else -5, None) for i in range(50)], "id long, merchant_id long, category_id long")
+    merchants = spark.createDataFrame([(i, f"m{i}") for i in range(-60, 0)], "id long, name string")
+    named = reports.with_names(ledger, merchants, merchants).collect()
+    assert {r["id"]: r["merchant_name"] for r in named if r["merchant_name"]} == {0: "m-5"}
+
+
+def test_quoted_cell_of_any_length(spark):
+    cell = "x," * 50_000 + '""y'
+    line = spark.createDataFrame([(f'1,"{cell}",2',)], "line string")
+    got = line.select(csv_statements.cells_of(F.col("line")).alias("c")).first()["c"]
+    assert got == ["1", cell.replace('""', '"'), "2"]
 
 
 def test_seed_twice(spark):
