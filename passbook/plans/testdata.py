@@ -29,7 +29,8 @@ def ledger(spark: SparkSession, sf_dir: str, whole_units: bool = False) -> DataF
     """Events as ledger rows; ``whole_units`` drops the cents so that amounts meet more often."""
     events = table(spark, sf_dir, "events")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name")
-    e = events.join(part, F.col("p_partkey") == F.col("event_id") % 200)
+    # every part is some row's text; the count comes from the file's footer
+    e = events.join(part, F.col("p_partkey") == F.col("event_id") % max(part.count(), 1))
     n = F.col("event_id")
     k = F.regexp_extract("props", r"(\d+)", 1).cast("int")
     value = F.floor("value") if whole_units else F.col("value")
@@ -146,7 +147,7 @@ def _ledger_sql(value: str) -> str:
 ledger0 AS (
   SELECT e.event_id AS n, e.user_id, e.ts, e.value, e.event_type, upper(p.p_name) AS nm,
          CAST(regexp_extract(e.props, '([0-9]+)', 1) AS INT) AS k
-  FROM events e JOIN part p ON p.p_partkey = e.event_id % 200),
+  FROM events e JOIN part p ON p.p_partkey = e.event_id % (SELECT count(*) FROM part)),
 ledger1 AS (
   SELECT *,
     CASE WHEN n % 31 = 0 THEN 'Neft Credit  Card ' || nm
