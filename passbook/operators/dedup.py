@@ -274,6 +274,7 @@ def source_upgrades(decisions: DataFrame, incoming: DataFrame) -> DataFrame:
 def apply_upgrades(stored: DataFrame, upgrades: DataFrame) -> DataFrame:
     """The stored rows with their upgrades; a missing external id keeps the old one."""
     changed = ["original_description", "cleaned_description", "source_type", "external_id", "dedup_hash"]
+    changed = [c for c in changed if c in stored.columns and c in upgrades.columns]
     u = upgrades.select("id", *[F.col(c).alias(f"new_{c}") for c in changed])
     rows = stored.join(u, "id", "left")
     return rows.select(
