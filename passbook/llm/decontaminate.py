@@ -51,7 +51,7 @@ class Templates:
 
     def clear(self):
         self.index: dict[str, int] = {}
-        self.kinds, self.hashes = [], []
+        self.kinds, self.hashes = np.zeros(1024, np.int8), np.zeros(1024, np.uint64)
 
     def add(self, token: str) -> int:
         low = token.lower()
@@ -64,29 +64,33 @@ class Templates:
         else:
             kind = CAPITAL if token[0].isupper() else PLAIN
         name = "\x00" + NAMES[kind] if kind in (NUMBER, UNIT) else low
-        self.index[token] = len(self.kinds)
-        self.kinds.append(kind)
-        self.hashes.append(xxhash.xxh3_64_intdigest(name.encode("utf-8", "surrogatepass")))
-        return len(self.kinds) - 1
+        at = self.index[token] = len(self.index)
+        if at == len(self.kinds):
+            self.kinds = np.concatenate([self.kinds, np.zeros_like(self.kinds)])
+            self.hashes = np.concatenate([self.hashes, np.zeros_like(self.hashes)])
+        self.kinds[at] = kind
+        self.hashes[at] = xxhash.xxh3_64_intdigest(name.encode("utf-8", "surrogatepass"))
+        return at
 
     NAME_HASH = np.uint64(0xA5B3_5705_0F0E_1F2D)
 
-    def of(self, text: str) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """(words, whether a slot, hash) without sentence marks."""
+    def of(self, text: str) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """Tokens, and of the words among them: place, kind, hash."""
         if len(self.index) > MEMO:
             self.clear()
         tokens, index = TOKEN.findall(text), self.index
-        at = [i if (i := index.get(t)) is not None else self.add(t) for t in tokens]
-        kinds = np.array([self.kinds[i] for i in at], dtype=np.int8)
-        hashes = np.array([self.hashes[i] for i in at], dtype=np.uint64)
+        at = list(map(index.get, tokens))
+        if None in at:
+            at = [i if i is not None else index[t] if t in index else self.add(t) for i, t in zip(at, tokens, strict=True)]
+        at = np.array(at, dtype=np.int64)
+        kinds, hashes = self.kinds[at], self.hashes[at]
         first = np.ones(len(at), dtype=bool)
         first[1:] = kinds[:-1] == MARK
         name = (kinds == CAPITAL) & ~first
         hashes = np.where(name, self.NAME_HASH, hashes)
-        words = kinds != MARK
-        kept = [t for t, w in zip(tokens, words.tolist(), strict=True) if w]
+        words = np.nonzero(kinds != MARK)[0]
         kinds = np.where((kinds == CAPITAL) & first, PLAIN, kinds)[words]
-        return kept, kinds, hashes[words]
+        return tokens, words, kinds, hashes[words]
 
 
 def windows(kinds: np.ndarray, hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -122,7 +126,7 @@ def template_windows(df: DataFrame, key: str, text: str, sizes: list[int] | None
         for batch in slices(batches, text, SLICE_BYTES):
             out = []
             for name, value in zip(batch.column(key).to_pylist(), batch.column(text).to_pylist(), strict=True):
-                words, kinds, hashes = templates.of(value or "")
+                tokens, words, kinds, hashes = templates.of(value or "")
                 for size in sizes or [min(WINDOW, max(SHORTEST, len(words)))]:
                     at, found = windows(kinds, hashes, size)
                     if bloom is not None and len(at):
@@ -131,7 +135,7 @@ def template_windows(df: DataFrame, key: str, text: str, sizes: list[int] | None
                         at, found = at[hit == 1], found[hit == 1]
                     for p, h in zip(at.tolist(), found.astype(np.int64).tolist(), strict=True):
                         slots = [
-                            {"kind": int(kinds[i]), "value": words[i].lower()} for i in range(p, p + size) if kinds[i] != PLAIN
+                            {"kind": int(kinds[i]), "value": tokens[words[i]].lower()} for i in range(p, p + size) if kinds[i] != PLAIN
                         ]
                         out.append((name, p, size, h, slots, len(words)))
             if out:
