@@ -27,6 +27,8 @@ RULES = [
     ("letters", "n_letters / greatest(word_chars, 1)", 0.85, 0.93),
     ("plain_words", "n_plain_words / greatest(n_words, 1)", 0.75, 0.9),
 ]
+#: Letters, at most one hyphen or apostrophe among them, at most one mark behind.
+PLAIN_WORD = r"^\p{L}++(?:['’\-]\p{L}*+)?[.,;:!?]?$"
 ROUNDS = 12
 PRIOR = 0.8
 #: How often a rule votes how on good and on bad documents, to begin with: a bad vote says
@@ -42,35 +44,43 @@ def features(docs: DataFrame, text: str = "text") -> DataFrame:
     grows with n log n of its own words and needs no shuffle.
     """
     t = F.coalesce(F.col(text), F.lit(""))
-    trimmed = F.regexp_replace(F.regexp_replace(t, f"^{SPACE}+", ""), f"{SPACE}+$", "")
-    df = settled(docs, __t=t, __w=trimmed)
+    df = settled(docs, __t=t, __w=F.btrim(t, F.lit(" \t\n\x0b\f\r")))
+    words = F.when(F.col("__w") != "", F.split("__w", f"{SPACE}+", -1)).otherwise(F.array().cast("array<string>"))
+    df = settled(df, __w=words, __l=F.filter(F.split("__t", "\n", -1), lambda x: x.rlike(WORD)))
     df = settled(
         df,
-        __w=F.when(F.col("__w") == "", F.array().cast("array<string>")).otherwise(F.split("__w", f"{SPACE}+", -1)),
-        __l=F.filter(F.split("__t", "\n", -1), lambda x: x.rlike(WORD)),
-    )
-    window = "transform(sequence(1, size(__w) - 7), i -> xxhash64(slice(__w, i, 8)))"
-    df = settled(
-        df,
-        __h=F.expr(f"if(size(__w) < 9, array(), {window})").cast("array<bigint>"),
+        __h=F.transform("__w", lambda w: F.xxhash64(w)),
         word_chars=F.length(F.regexp_replace("__t", f"{SPACE}+", "")).cast("long"),
-        n_words=F.size("__w").cast("long"),
         n_lines=F.size("__l").cast("long"),
         n_symbols=_count(r"[^#*$%&|<>]+"),
         n_capitals=_count(r"\P{Lu}+"),
         n_exclamations=_count(r"[^!]+"),
         n_stops=_count(r"[^.,;:?]+"),
         n_letters=_count(r"\P{L}+"),
-        n_plain_words=F.size(F.filter("__w", lambda w: w.rlike(r"^\p{L}+['’\-]?\p{L}*[.,;:!?]?$"))).cast("long"),
+        n_plain_words=F.size(F.filter("__w", lambda w: w.rlike(PLAIN_WORD))).cast("long"),
         n_dup_lines=(F.size("__l") - F.size(F.array_distinct("__l"))).cast("long"),
-        n_distinct_words=F.size(F.array_distinct("__w")).cast("long"),
     ).drop("__t", "__w", "__l")
-    # only texts with a window twice need the positions
-    twice = F.size(F.array_distinct("__h")) < F.size("__h")
     df = settled(
         df,
-        __s=F.when(twice, F.expr("sort_array(transform(__h, (h, i) -> struct(h AS h, i AS i)))")),
-    ).drop("__h")
+        __d=F.size(F.array_distinct("__h")),
+        n_words=F.size("__h").cast("long"),
+    )
+    df = settled(df, n_distinct_words=F.col("__d").cast("long"))
+    # hashes of two, four and eight words from those of their halves; eight words that come
+    # again bring so many shorter windows that come again, and without these there are none
+    for by in (1, 2, 4):
+        n = F.greatest(F.size("__h") - by, F.lit(0))
+        joined = F.zip_with(F.slice("__h", 1, n), F.slice("__h", by + 1, n), lambda a, b: F.xxhash64(a, b))
+        possible = F.size("__h") - F.col("__d") >= 9 - by
+        df = settled(df, __h=F.when(possible, joined).otherwise(F.array().cast("array<bigint>")))
+        df = settled(df, __d=F.size(F.array_distinct("__h")))
+    # only texts with a window twice need the positions: they take the place of a hash's last
+    # bits, and windows that agree in the other bits are looked at again
+    df = settled(df, __m=F.when(F.col("__d") < F.size("__h"), F.expr("shiftleft(1L, cast(ceil(log2(size(__h))) AS int)) - 1")))
+    df = settled(df, __s=F.expr("if(__m IS NULL, array(), sort_array(transform(__h, (h, i) -> (h & ~__m) | i)))").cast("array<bigint>"))
+    near = "filter(__s, (x, j) -> (x ^ get(__s, j - 1)) & ~__m = 0 OR (x ^ get(__s, j + 1)) & ~__m = 0)"
+    pairs = f"sort_array(transform({near}, x -> struct(__h[cast(x & __m AS int)] AS h, cast(x & __m AS int) AS i)))"
+    df = settled(df, __s=F.expr(pairs)).drop("__h", "__d", "__m")
     again = "filter(__s, (x, j) -> x.h = get(__s, j - 1).h OR x.h = get(__s, j + 1).h)"
     df = settled(df, __p=F.expr(f"sort_array(transform({again}, x -> x.i))")).drop("__s")
     covered = "transform(__p, (p, j) -> least(8, coalesce(get(__p, j + 1), p + 8) - p))"
@@ -164,8 +174,8 @@ def quality(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
 def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that are kept, with their own columns.
 
-    The texts are read twice, once for the vote patterns and once for the verdicts; they are
-    neither shuffled nor copied.
+    Votes are worked out once and written together with the rows, which costs less than to
+    work them out again for the verdicts; nothing is shuffled but the vote patterns.
     """
-    voted = votes(features(hidden(docs, text), "__in"))
+    voted = cut(votes(features(hidden(docs, text), "__in")).drop("__in"))
     return shown(judged(voted).filter("kept"), docs.columns)
