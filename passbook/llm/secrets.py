@@ -219,12 +219,12 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every accepted span of ``text`` replaced by ``mark``; overlapping spans by one.
 
-    Texts without spans, null ones among them, stay as they are.  The texts are read twice,
-    for the thresholds and for the spans; they are neither shuffled nor copied.
+    Texts without spans, null ones among them, stay as they are.  Candidates are found and
+    tested once and written together with the rows; no text is shuffled.
     """
-    limits = thresholds(found(docs.select(F.col(text).alias("__in")), "__in"))
-    df = found(hidden(docs, text), "__in")
-    df = settled(df, spans=accepted(limits))
+    text_column = F.col(f"__{docs.columns.index(text)}")
+    df = cut(found(hidden(docs, text), "__in").drop("__in")).withColumn("__in", text_column)
+    df = settled(df, spans=accepted(thresholds(df)))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(a, x):
