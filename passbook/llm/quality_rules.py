@@ -39,8 +39,8 @@ START = {1: (0.9, 0.6), -1: (0.02, 0.3), 0: (0.08, 0.1)}
 def features(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with the counts the rules use, each worked out once per row.
 
-    A null text counts as empty.  Windows of eight words are compared by 64-bit hashes; a
-    text's words inside its repeated windows are counted from sorted positions, so the work
+    A null text counts as empty.  Words and windows of eight words are compared by 64-bit hashes;
+    a text's words inside its repeated windows are counted from sorted positions, so the work
     grows with n log n of its own words and needs no shuffle.
     """
     t = F.coalesce(F.col(text), F.lit(""))
