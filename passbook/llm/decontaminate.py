@@ -6,6 +6,10 @@ template words are joined by hash.  Windows of one document and item that lie on
 diagonal are one alignment; it counts if every value of the item's slots meets one value only
 in the document, or if the windows with equal values are enough by themselves.
 
+Templates need words that tell something, so a window mostly of slots is none.  Besides them
+windows with names as lower-cased words, and windows of the lower-cased words themselves, are
+joined: copies in other case, and copies of items mostly of numbers, names and units, are found.
+
 A Bloom filter of the items' windows, of fixed size, keeps other windows of the documents out
 of the shuffle; the join decides.
 """
@@ -51,7 +55,7 @@ class Templates:
 
     def clear(self):
         self.index: dict[str, int] = {}
-        self.kinds, self.hashes = np.zeros(1024, np.int8), np.zeros(1024, np.uint64)
+        self.kinds, self.hashes, self.values = np.zeros(1024, np.int8), np.zeros(1024, np.uint64), np.zeros(1024, np.uint64)
 
     def add(self, token: str) -> int:
         low = token.lower()
@@ -68,14 +72,16 @@ class Templates:
         if at == len(self.kinds):
             self.kinds = np.concatenate([self.kinds, np.zeros_like(self.kinds)])
             self.hashes = np.concatenate([self.hashes, np.zeros_like(self.hashes)])
+            self.values = np.concatenate([self.values, np.zeros_like(self.values)])
         self.kinds[at] = kind
+        self.values[at] = xxhash.xxh3_64_intdigest(low.encode("utf-8", "surrogatepass"))
         self.hashes[at] = xxhash.xxh3_64_intdigest(name.encode("utf-8", "surrogatepass"))
         return at
 
     NAME_HASH = np.uint64(0xA5B3_5705_0F0E_1F2D)
 
-    def of(self, text: str) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-        """Tokens, and of the words among them: place, kind, hash."""
+    def of(self, text: str) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Tokens, and of the words among them: place, kind, hash, hash with names as words, hash of the word itself."""
         if len(self.index) > MEMO:
             self.clear()
         tokens, index = TOKEN.findall(text), self.index
@@ -87,26 +93,51 @@ class Templates:
         first = np.ones(len(at), dtype=bool)
         first[1:] = kinds[:-1] == MARK
         name = (kinds == CAPITAL) & ~first
-        hashes = np.where(name, self.NAME_HASH, hashes)
+        named = np.where(name, self.NAME_HASH, hashes)
         words = np.nonzero(kinds != MARK)[0]
         kinds = np.where((kinds == CAPITAL) & first, PLAIN, kinds)[words]
-        return tokens, words, kinds, hashes[words]
+        return tokens, words, kinds, named[words], hashes[words], self.values[at[words]]
 
 
-def windows(kinds: np.ndarray, hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(start, hash) of the windows in which at least half the words are not slots."""
-    n = len(hashes) - size + 1
-    if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+def hashed(hashes: np.ndarray, size: int, at: np.ndarray | None = None) -> np.ndarray:
+    """Hashes of the windows that begin at ``at``, by default of all."""
+    n = max(0, len(hashes) - size + 1) if at is None else len(at)
     total = np.full(n, size, dtype=np.uint64)
-    for j in range(size):
-        total += hashes[j : j + n] * MIX[j]
+    for j in range(size if n else 0):
+        total += (hashes[j : j + n] if at is None else hashes[at + j]) * MIX[j]
     total ^= total >> np.uint64(29)
     total *= np.uint64(0xBF58476D1CE4E5B9)
     total ^= total >> np.uint64(32)
-    plain = np.concatenate([[0], np.cumsum(kinds == PLAIN)])
-    keep = np.nonzero(2 * (plain[size:] - plain[:-size]) >= size)[0]
-    return keep, total[keep]
+    return total
+
+
+def windows(
+    kinds: np.ndarray, named: np.ndarray, hashes: np.ndarray, values: np.ndarray, size: int, exact: bool = True
+) -> list[tuple[tuple[int, ...], np.ndarray, np.ndarray]]:
+    """(kinds of the slots, starts, hashes) of the windows of each form.
+
+    Templates, if at least half their words are no slots; the same with names as words, where
+    there are names; with ``exact`` all windows of the words themselves that have a slot in
+    the first form.
+    """
+    n = len(kinds) - size + 1
+    if n <= 0:
+        return []
+
+    def count(of: np.ndarray) -> np.ndarray:
+        total = np.concatenate([[0], np.cumsum(of)])
+        return total[size:] - total[:-size]
+
+    names, others = count(kinds == CAPITAL), count((kinds == NUMBER) | (kinds == UNIT))
+    keep = np.nonzero(2 * (names + others) <= size)[0]
+    out = [((NUMBER, UNIT, CAPITAL), keep, hashed(named, size)[keep])]
+    at = np.nonzero((names > 0) & (2 * others <= size))[0]
+    out.append(((NUMBER, UNIT), at, hashed(hashes, size, at)))
+    if exact:
+        # without numbers and units the second form is the word's own already
+        at = np.nonzero((others > 0) | (names > 0) & (2 * others > size))[0]
+        out.append(((), at, hashed(values, size, at)))
+    return out
 
 
 ROW = "pos int, size int, hash bigint, slots array<struct<kind: int, value: string>>, n_words int"
@@ -126,16 +157,18 @@ def template_windows(df: DataFrame, key: str, text: str, sizes: list[int] | None
         for batch in slices(batches, text, SLICE_BYTES):
             out = []
             for name, value in zip(batch.column(key).to_pylist(), batch.column(text).to_pylist(), strict=True):
-                tokens, words, kinds, hashes = templates.of(value or "")
-                for size in sizes or [min(WINDOW, max(SHORTEST, len(words)))]:
-                    at, found = windows(kinds, hashes, size)
+                tokens, words, kinds, *hashes = templates.of(value or "")
+                # numbers alone are no passage, so an item of nothing else has no exact windows
+                exact = sizes is not None or bool((kinds != NUMBER).any())
+                forms = [(size, *w) for size in sizes or [min(WINDOW, max(SHORTEST, len(words)))] for w in windows(kinds, *hashes, size, exact)]
+                for size, slotted, at, found in forms:
                     if bloom is not None and len(at):
                         bit = found % np.uint64(BLOOM_BITS)
                         hit = bloom.value[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63)) & np.uint64(1)
                         at, found = at[hit == 1], found[hit == 1]
                     for p, h in zip(at.tolist(), found.astype(np.int64).tolist(), strict=True):
                         slots = [
-                            {"kind": int(kinds[i]), "value": tokens[words[i]].lower()} for i in range(p, p + size) if kinds[i] != PLAIN
+                            {"kind": int(kinds[i]), "value": tokens[words[i]].lower()} for i in range(p, p + size) if kinds[i] in slotted
                         ]
                         out.append((name, p, size, h, slots, len(words)))
             if out:

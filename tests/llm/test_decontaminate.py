@@ -39,3 +39,22 @@ def test_whole_passages_of_the_tables(spark):
     got = {(r.doc_id, r.item_id): r for r in dc.contaminated(docs, items).collect()}
     assert want and want <= set(got)
     assert len(set(got) - want) <= 0.2 * len(want)
+
+
+def test_copies_in_other_case_and_of_numbers(spark):
+    """Whole copies whose windows are mostly slots on one side, and templates quoted inside a sentence."""
+    rng = random.Random(5)
+    vocabulary = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(500)]
+    prose = lambda n: " ".join(rng.choices(vocabulary, k=n))
+    items = [(1, prose(40)), (2, "What is 12 * 45 + 3?"), (3, "Did Anna, Peter or Maria Smith drive 12 km in 3 hours and 20 minutes on Monday"),
+             (4, "What is the name of it"), (5, prose(12) + " 12 km and " + prose(12)), (6, "What do 30 of the cats eat")]
+    docs = [
+        (1, prose(20) + " " + items[0][1].upper()), (2, prose(20) + " " + items[0][1].title() + " " + prose(9)), (3, "x. " + items[1][1]),
+        (4, "he asked: " + prose(3) + " What is 12 * 45 + 3 " + prose(4)), (5, prose(5) + " " + items[2][1] + " " + prose(5)),
+        (6, prose(7) + ' asked, "What is the name of it'), (7, items[4][1].replace("12", "77").upper()), (8, prose(40).upper()),
+        (9, "What is 12 * 46 + 3?"), (10, "1 2 3 4 5 6 7 8 9"), (11, prose(4) + ', "What do 45 of the cats eat'),
+    ]
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string")
+    got = {(r.doc_id, r.item_id): r.kind for r in dc.contaminated(frame, spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+    exact = {(1, 1), (2, 1), (3, 2), (4, 2), (5, 3), (6, 4)}
+    assert got == {k: "exact" for k in exact} | {(7, 5): "template", (11, 6): "template"}
