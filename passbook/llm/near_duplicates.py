@@ -8,8 +8,9 @@ a large one those that agree deepest.  Candidates are confirmed on the full sets
 
 In a large region a node may also be linked only to one that sorts far away, as copies of one
 original that differ among themselves are.  So nodes of large regions are compared with the
-region's node of most links, as long as that joins components.  Candidates whose nodes are in
-one component already are not compared: the components do not need them.
+region's node of most links, as long as that joins components.  What is left of large regions
+goes through an exact join on each node's rarest shingles.  Candidates whose nodes are in one
+component already are not compared: the components do not need them.
 """
 
 import hashlib
@@ -18,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -37,6 +38,8 @@ SLICE_BYTES = 2_000_000
 MEMO = 300_000
 #: Links need 100 * intersection >= 75 * union.
 PERCENT = 75
+#: Nodes of one component that share a shingle are compared with others' in chunks of about so many.
+CHUNK = 256
 
 _random = np.random.default_rng(20240229)
 FLIPS = _random.integers(0, 1 << 32, VALUES, dtype=np.uint32)
@@ -176,6 +179,35 @@ def across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return joined.filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
 
 
+def unmet(ids: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
+    """(a, b): the pairs of ``ids`` in different components that can be similar enough; none is missing.
+
+    Of similar sets each has one of its n - ceil(0.75 n) + 1 rarest shingles in common with the
+    other's, and the first of these leaves room behind it for the rest of the intersection.
+    """
+    named = labels.select(F.col("a").alias("id"), F.col("b").alias("label"))
+    own = sets.join(ids, "id", "left_semi").join(named, "id", "left")
+    label = F.coalesce("label", "id").alias("label")
+    # an id may have several sets, and each in several copies: places count within a set, copies share them
+    held = own.select("id", label, F.xxhash64("hashes").alias("set"), F.size("hashes").alias("n"), F.explode("hashes").alias("h"))
+    # what one component has alone cannot be shared with another, but still fills places
+    counts = held.groupBy("h").agg(F.count(F.lit(1)).alias("df"), (F.min("label") < F.max("label")).alias("open"))
+    ranked = held.join(cut(counts), "h").withColumn("pos", F.dense_rank().over(Window.partitionBy("id", "set").orderBy("df", "h")))
+    first = cut(ranked.filter(F.expr(f"open AND pos <= n - ({PERCENT} * n + 99) div 100 + 1")).select("h", "label", "id", "n", "pos").distinct())
+    sizes = first.groupBy("h", "label").agg(F.expr(f"count(1) div {CHUNK} + 1").alias("chunks"))
+    chunk = F.expr("pmod(xxhash64(id), chunks)").alias("chunk")
+    dealt = first.join(cut(sizes), ["h", "label"]).select("h", "label", chunk, F.struct("id", "n", "pos").alias("node"))
+    groups = cut(dealt.groupBy("h", "label", "chunk").agg(F.collect_list("node").alias("nodes")))
+    x = groups.select("h", F.col("label").alias("x_label"), F.col("nodes").alias("xs"))
+    y = groups.select("h", F.col("label").alias("y_label"), F.col("nodes").alias("ys"))
+    possible = F.expr(f"""flatten(transform(xs, x -> transform(filter(ys, y ->
+        100 * least(x.n, y.n) >= {PERCENT} * greatest(x.n, y.n)
+        AND {100 + PERCENT} * (1 + least(x.n - x.pos, y.n - y.pos)) >= {PERCENT} * (x.n + y.n)
+    ), y -> struct(x.id AS a, y.id AS b))))""")
+    pairs = x.join(y, "h").filter("x_label < y_label").select(F.explode(possible).alias("p"))
+    return cut(ordered(pairs.select("p.a", "p.b")))
+
+
 def links(entries: DataFrame, sets_of) -> DataFrame:
     """(a, b): confirmed links that join all near-duplicate components.
 
@@ -194,7 +226,7 @@ def links(entries: DataFrame, sets_of) -> DataFrame:
 
     sizes = members.groupBy("prefix").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > NEIGHBOURS + 1)
     members = cut(members.join(cut(sizes), "prefix", "left_semi"))
-    tried = None
+    large, tried = cut(members.select("id").distinct()), None
     while not members.isEmpty():
         degree = found.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
         ranked = members.join(cut(degree), "id", "left")
@@ -212,7 +244,10 @@ def links(entries: DataFrame, sets_of) -> DataFrame:
             break
         found = cut(found.union(more))
         labels = components(found)
-    return found
+    pairs = unmet(large, sets, labels)
+    if tried is not None:
+        pairs = cut(pairs.join(tried, ["a", "b"], "left_anti"))
+    return found if pairs.isEmpty() else cut(found.union(confirmed(pairs, sets)))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

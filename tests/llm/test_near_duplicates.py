@@ -106,3 +106,20 @@ def test_components(spark):
         up[max(x, y)] = min(x, y)
     got = {r.a: r.b for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     assert got == {k: root(k) for k in up if root(k) != k}
+
+
+def test_pairs_in_a_family_of_one_template(spark):
+    """Documents of one template, similarity 0.70 to each other, and pairs among them of 0.76."""
+    rng = random.Random(11)
+    prose = lambda n: ["".join(rng.choices("abcdefghij", k=6)) for _ in range(n)]
+    template, rows, want = prose(150), [], {}
+    for i in range(0, 1600, 2):
+        tail, other = prose(31), prose(24)
+        rows += [(i, " ".join(template + tail)), (i + 1, " ".join(template + (tail[:7] + other if i % 10 == 0 else prose(31))))]
+        want |= {i: i, i + 1: i if i % 10 == 0 else i + 1}
+    sets = [shingle_set(t) for _, t in rows[:4]]
+    assert 0.76 <= len(sets[0] & sets[1]) / len(sets[0] | sets[1]) < 0.77
+    assert len(sets[0] & sets[2]) / len(sets[0] | sets[2]) < 0.71
+    rng.shuffle(rows)
+    got = nd.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == want
