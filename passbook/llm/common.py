@@ -34,6 +34,11 @@ def shown(df: DataFrame, names: list[str], **replaced: Column) -> DataFrame:
     return df.select(*[replaced.get(c, F.col(f"__{i}")).alias(c) for i, c in enumerate(names)])
 
 
+def row_names(key: str, text: str) -> list[Column]:
+    """What names a row by its own text: the key and two hashes of the text."""
+    return [F.col(key).alias("key"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit("text"), text).alias("h2")]
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str, most: int) -> Iterator[pa.RecordBatch]:
     """Arrow batches cut into slices of about ``most`` bytes of ``text``, one row at least.
 

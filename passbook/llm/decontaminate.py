@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from passbook.llm.common import slices
+from passbook.llm.common import row_names, slices
 
 WINDOW = 8
 #: Shorter items are one window of their own length, from so many words on.
@@ -190,23 +190,20 @@ def bloom_of(hashes: DataFrame):
     return hashes.sparkSession.sparkContext.broadcast(found)
 
 
-def contaminated(
+def matches(
     docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text"
 ) -> DataFrame:
-    """(key, item, kind, n_windows, covered, n_words) of documents that have a benchmark item.
+    """(__key, __item, w) of every text that has a text of a benchmark item; see ``contaminated``.
 
-    ``kind``: exact if all slots are equal, else template; ``covered`` of the item's
-    ``n_words`` words lie in matching windows of its best alignment.  Items shorter than
-    SHORTEST words, and null or empty texts, match nothing.  Rows that share a key count as one
-    document; a null key is a key.
+    ``__key`` and ``__item`` name a row by its key and text.
     """
-    own = items.select(F.col(item).alias("__item"), F.col(item_text).alias("__text"))
+    own = items.select(F.struct(*row_names(item, item_text)).alias("__item"), F.col(item_text).alias("__text"))
     b = template_windows(own, "__item", "__text", None)
     # a window that comes again in its item adds nothing
     b = b.groupBy("__item", "hash", "size").agg(F.min(F.struct("pos", "slots", "n_words")).alias("w"))
     b = b.select("__item", "hash", "size", F.col("w.pos").alias("item_pos"), F.col("w.slots").alias("item_slots"), F.col("w.n_words").alias("n_words"))
     sizes = sorted(r["size"] for r in b.select("size").distinct().collect()) or [WINDOW]  # at most WINDOW of them
-    own = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text"))
+    own = docs.select(F.struct(*row_names(key, text)).alias("__key"), F.col(text).alias("__text"))
     d = template_windows(own, "__key", "__text", sizes, bloom_of(b)).drop("n_words")
     same = F.arrays_zip(F.col("item_slots.value").alias("a"), F.col("slots.value").alias("b"))
     hits = d.join(b, ["hash", "size"]).select(
@@ -240,12 +237,29 @@ def contaminated(
     )
     best = lines.groupBy("__key", "__item").agg(F.max(F.struct("covered", "kind", "n_windows", "n_words")).alias("w"))
     enough = (F.col("w.covered") >= COVERAGE * F.col("w.n_words")) | (F.col("w.covered") >= RUN)
-    return best.filter(enough).select(
-        F.col("__key").alias(key), F.col("__item").alias(item), "w.kind", "w.n_windows", "w.covered", "w.n_words"
-    )
+    return best.filter(enough)
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", **names: str) -> DataFrame:
-    """``docs`` without the documents that have a benchmark item."""
-    bad = contaminated(docs, items, key, text, **names).select(F.col(key).alias("__bad")).distinct()
-    return docs.join(bad, F.col(key).eqNullSafe(F.col("__bad")), "left_anti")
+def contaminated(
+    docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text"
+) -> DataFrame:
+    """(key, item, kind, n_windows, covered, n_words) of documents that have a benchmark item.
+
+    ``kind``: exact if all slots are equal, else template; ``covered`` of the item's
+    ``n_words`` words lie in matching windows of its best alignment.  Items shorter than
+    SHORTEST words, and null or empty texts, match nothing.  Rows that share a key are one
+    document with several texts, each aligned by itself; a null key is a key.
+    """
+    found = matches(docs, items, key, text, item, item_text)
+    best = found.groupBy(F.col("__key.key").alias("__key"), F.col("__item.key").alias("__item")).agg(F.max("w").alias("w"))
+    return best.select(F.col("__key").alias(key), F.col("__item").alias(item), "w.kind", "w.n_windows", "w.covered", "w.n_words")
+
+
+def drop_contaminated(
+    docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text"
+) -> DataFrame:
+    """``docs`` without the rows whose text has a benchmark item, whatever key they share."""
+    bad = matches(docs, items, key, text, item, item_text).select(F.col("__key").alias("__bad")).distinct()
+    name, h1, h2 = row_names(key, text)
+    same = name.eqNullSafe(F.col("__bad.key")) & (h1 == F.col("__bad.h1")) & (h2 == F.col("__bad.h2"))
+    return docs.join(bad, same, "left_anti")

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from passbook.llm.common import slices
+from passbook.llm.common import WORD, row_names, slices
 from passbook.llm.graph import components
 from passbook.storage import cut
 
@@ -292,6 +292,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without the documents that have a near duplicate of a smaller key."""
+    """``docs`` without the documents that have a near duplicate of a smaller key; equal texts under one key once."""
     gone = near_duplicates(docs, key, text).filter("NOT kept").select(F.col(key).alias("__gone")).distinct()
-    return docs.join(cut(gone), F.col(key) == F.col("__gone"), "left_anti")
+    left = docs.join(cut(gone), F.col(key) == F.col("__gone"), "left_anti")
+    name, h1, h2 = row_names(key, text)
+    having = docs.filter(F.col(key).isNotNull() & F.col(text).rlike(WORD))
+    counts = having.groupBy(name.alias("__key"), h1.alias("__h1"), h2.alias("__h2")).agg(F.count(F.lit(1)).alias("__copies"))
+    again = cut(counts.filter("__copies > 1").drop("__copies"))
+    if again.isEmpty():
+        return left
+    same = (F.col(key) == F.col("__key")) & (h1 == F.col("__h1")) & (h2 == F.col("__h2"))
+    once = left.join(again, same).dropDuplicates(["__key", "__h1", "__h2"]).select(docs.columns)
+    return left.join(again, same, "left_anti").union(once)

@@ -58,3 +58,19 @@ def test_copies_in_other_case_and_of_numbers(spark):
     got = {(r.doc_id, r.item_id): r.kind for r in dc.contaminated(frame, spark.createDataFrame(items, "item_id bigint, text string")).collect()}
     exact = {(1, 1), (2, 1), (3, 2), (4, 2), (5, 3), (6, 4)}
     assert got == {k: "exact" for k in exact} | {(7, 5): "template", (11, 6): "template"}
+
+
+def test_rows_go_by_their_own_text(spark):
+    """Clean rows under the key of a contaminated one stay; texts under one key do not add up."""
+    rng = random.Random(6)
+    prose = lambda n: " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(n))
+    item = prose(40)
+    words = item.split()
+    clean, bad = [prose(30) for _ in range(4)], prose(5) + " " + item
+    halves = [" ".join(words[:14]), " ".join([*prose(14).split(), *words[14:28]])]
+    rows = [(None, bad), (None, clean[0]), (None, clean[1]), (1, bad), (1, clean[2]), (1, None), (2, halves[0]), (2, halves[1]), (3, clean[3])]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    bench = spark.createDataFrame([(None, item)], "item_id bigint, text string")
+    left = {tuple(r) for r in dc.drop_contaminated(frame, bench).collect()}
+    assert left == {r for r in rows if r[1] != bad}
+    assert {r.doc_id for r in dc.contaminated(frame, bench).collect()} == {None, 1}

@@ -123,3 +123,12 @@ def test_pairs_in_a_family_of_one_template(spark):
     rng.shuffle(rows)
     got = nd.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
     assert {r.doc_id: r.component_id for r in got} == want
+
+
+def test_equal_rows_under_one_key_stay_once(spark):
+    rng = random.Random(12)
+    a, b = (" ".join("".join(rng.choices("abcdefghij", k=5)) for _ in range(50)) for _ in range(2))
+    rows = [(3, a), (3, a), (3, b), (5, a), (6, "")]
+    left = nd.keep_first(spark.createDataFrame([(*r, "x") for r in rows], "doc_id bigint, text string, __n string"))
+    assert left.columns == ["doc_id", "text", "__n"]
+    assert sorted(tuple(r)[:2] for r in left.collect()) == sorted([(3, a), (3, b), (6, "")])
