@@ -4,7 +4,9 @@ Texts become templates: numbers, unit words and capitalised words inside a sente
 replaced by typed placeholders, other words are lower-cased, punctuation goes.  Windows of
 template words are joined by hash.  Windows of one document and item that lie on the same
 diagonal are one alignment; it counts if every value of the item's slots meets one value only
-in the document, or if the windows with equal values are enough by themselves.
+in the document, or if the windows with equal values are enough by themselves.  Alignments on
+near diagonals add up, as words put in or left out move the diagonal; a word of the item or of
+the document counts once.
 
 Templates need words that tell something, so a window mostly of slots is none.  Besides them
 windows with names as lower-cased words, and windows of the lower-cased words themselves, are
@@ -15,6 +17,7 @@ of the shuffle; the join decides.
 """
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +35,8 @@ WINDOW = 8
 SHORTEST = 4
 #: Share of an item that an alignment must cover, or words.
 COVERAGE, RUN = 0.5, 20
+#: Diagonals are near up to this share of the item's words, and up to WINDOW.
+NEAR = 0.25
 BLOOM_BITS = 1 << 23
 SLICE_BYTES = 2_000_000
 MEMO = 400_000
@@ -190,6 +195,94 @@ def bloom_of(hashes: DataFrame):
     return hashes.sparkSession.sparkContext.broadcast(found)
 
 
+def union_size(starts: set[int], size: int) -> int:
+    """Words in the windows of ``size`` words that begin at ``starts``."""
+    total, end = 0, -1
+    for at in sorted(starts):
+        total += size if at >= end else at + size - end
+        end = at + size
+    return total
+
+
+def merged(pairs: set[tuple], values: dict) -> dict | None:
+    """``values`` with ``pairs`` put in, or None if an item value meets two values then."""
+    out = dict(values)
+    return out if all(out.setdefault(a, b) == b for a, b in pairs) else None
+
+
+def aligned(lines: dict[int, list], size: int, near: int, most: int) -> tuple[int, str, int]:
+    """(covered, kind, n_windows) of the best alignment over near diagonals.
+
+    ``lines``: per diagonal the (item place, document place, values are equal, pairs of values).
+    """
+    known = {}
+    for d, hits in lines.items():
+        pairs = {p for h in hits for p in h[3]}
+        every, equal = {h[0] for h in hits}, {h[0] for h in hits if h[2]}
+        use = every if merged(pairs, {}) is not None else equal
+        known[d] = union_size(use, size), every, equal, pairs
+    order = sorted(known, key=lambda d: (-known[d][0], d))
+    best = (0, "", 0)
+    for d in order:
+        # the largest first: a diagonal joins with all its windows if its values agree, else with the equal ones
+        band = [d, *(e for e in order if e != d and abs(e - d) <= near)]
+        if min(most, sum(known[e][0] for e in band)) <= best[0]:
+            continue
+        used, same, values = set(), set(), {}
+        for e in band:
+            _, every, equal, pairs = known[e]
+            agreed = merged(pairs, values)
+            values = values if agreed is None else agreed
+            used |= {(p, p + e) for p in (equal if agreed is None else every)}
+            same |= {(p, p + e) for p in equal}
+        covered, alike = (min(union_size({x[i] for x in s}, size) for i in (0, 1)) for s in (used, same))
+        best = max(best, (covered, "exact" if alike == covered else "template", len({p for p, _ in used})))
+        if best[0] == most:
+            break
+    return best
+
+
+BEST = "w struct<covered: int, kind: string, n_windows: int, n_words: int>"
+
+
+def best_alignments(groups: DataFrame) -> DataFrame:
+    """(__key, __item, w) of rows (__key, __item, found, places, size, n_words)."""
+    schema = StructType([groups.schema["__key"], groups.schema["__item"], *StructType.fromDDL(BEST).fields])
+    arrow = to_arrow_schema(schema)
+
+    def of(row: dict) -> dict:
+        size, most = row["size"], row["n_words"]
+        near = max(WINDOW, int(NEAR * most))
+        places = defaultdict(list)
+        for p in row["places"]:
+            places[p["hash"]].append((p["pos"], p["values"]))
+        blocks = defaultdict(list)
+        # a copy is at most so long, so one of two overlapping blocks has it whole
+        long = most + near + WINDOW
+        for f in row["found"]:
+            blocks[f["pos"] // long].append(f)
+        best = (0, "", 0)
+        for k in {x for b in blocks for x in (b - 1, b)}:
+            lines = defaultdict(list)
+            for f in (*blocks.get(k, ()), *blocks.get(k + 1, ())):
+                for at, values in places[f["hash"]]:
+                    lines[f["pos"] - at].append((at, f["pos"], values == f["values"], list(zip(values, f["values"], strict=True))))
+            best = max(best, aligned(lines, size, near, most))
+            if best[0] == most and best[1] == "exact":
+                break
+        return {"covered": best[0], "kind": best[1], "n_windows": best[2], "n_words": most}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for i in range(batch.num_rows):
+                found.append(of(batch.slice(i, 1).select(["found", "places", "size", "n_words"]).to_pylist()[0]))
+            columns = [batch.column("__key"), batch.column("__item"), pa.array(found, arrow.field("w").type)]
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+
+    return groups.select("__key", "__item", "found", "places", "size", "n_words").mapInArrow(run, schema)
+
+
 def matches(
     docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text"
 ) -> DataFrame:
@@ -199,43 +292,22 @@ def matches(
     """
     own = items.select(F.struct(*row_names(item, item_text)).alias("__item"), F.col(item_text).alias("__text"))
     b = template_windows(own, "__item", "__text", None)
-    # a window that comes again in its item adds nothing
-    b = b.groupBy("__item", "hash", "size").agg(F.min(F.struct("pos", "slots", "n_words")).alias("w"))
-    b = b.select("__item", "hash", "size", F.col("w.pos").alias("item_pos"), F.col("w.slots").alias("item_slots"), F.col("w.n_words").alias("n_words"))
+    place = F.struct("pos", "hash", F.col("slots.value").alias("values"))
+    # all places of an item's windows; a text has windows of one size
+    wholes = b.groupBy("__item").agg(F.first("size").alias("size"), F.first("n_words").alias("n_words"), F.collect_list(place).alias("places"))
+    b = b.select("__item", "hash", "size", "n_words").distinct()
     sizes = sorted(r["size"] for r in b.select("size").distinct().collect()) or [WINDOW]  # at most WINDOW of them
     own = docs.select(F.struct(*row_names(key, text)).alias("__key"), F.col(text).alias("__text"))
     d = template_windows(own, "__key", "__text", sizes, bloom_of(b)).drop("n_words")
-    same = F.arrays_zip(F.col("item_slots.value").alias("a"), F.col("slots.value").alias("b"))
-    hits = d.join(b, ["hash", "size"]).select(
-        "__key", "__item", (F.col("pos") - F.col("item_pos")).alias("diagonal"), "item_pos", "size", "n_words", same.alias("pairs"),
-        (F.col("item_slots.value") == F.col("slots.value")).alias("equal"),
-    )
-    # a diagonal has at most as many windows as its item has words
-    lines = hits.groupBy("__key", "__item", "diagonal").agg(
-        F.max("n_words").alias("n_words"),
-        F.max("size").alias("size"),
-        F.sort_array(F.collect_set("item_pos")).alias("at"),
-        F.sort_array(F.collect_set(F.when(F.col("equal"), F.col("item_pos")))).alias("equal_at"),
-        F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"),
-    )
-
-    def covered(at: str):
-        return F.expr(f"aggregate(transform({at}, (p, i) -> least(size, coalesce(get({at}, i + 1), p + size) - p)), 0, (a, x) -> a + x)")
-
-    lines = lines.withColumns(
-        {
-            "consistent": F.size("pairs") == F.size(F.array_distinct(F.col("pairs.a"))),
-            "all_covered": covered("at"),
-            "equal_covered": covered("equal_at"),
-        }
-    )
-    use = F.when(F.col("consistent"), F.col("all_covered")).otherwise(F.col("equal_covered"))
-    lines = lines.select(
-        "__key", "__item", "n_words", use.alias("covered"),
-        F.when(F.col("consistent"), F.size("at")).otherwise(F.size("equal_at")).alias("n_windows"),
-        F.when(F.col("equal_covered") == use, "exact").otherwise("template").alias("kind"),
-    )
-    best = lines.groupBy("__key", "__item").agg(F.max(F.struct("covered", "kind", "n_windows", "n_words")).alias("w"))
+    hits = d.join(b, ["hash", "size"]).select("__key", "__item", "size", "n_words", place.alias("found"))
+    # equal rows have equal windows, and a text has at most three at a place
+    groups = hits.groupBy("__key", "__item").agg(F.max("size").alias("size"), F.max("n_words").alias("n_words"), F.collect_set("found").alias("found"))
+    groups = groups.withColumn("at", F.array_distinct(F.sort_array(F.col("found.pos"))))
+    # no alignment covers more words than the windows have in the whole document
+    most = F.expr("aggregate(transform(at, (p, i) -> least(size, coalesce(get(at, i + 1), p + size) - p)), 0, (a, x) -> a + x)")
+    groups = groups.filter((most >= COVERAGE * F.col("n_words")) | (most >= RUN)).select("__key", F.col("__item").alias("__whole"), "found")
+    groups = groups.join(wholes, F.col("__whole") == F.col("__item"))
+    best = best_alignments(groups)
     enough = (F.col("w.covered") >= COVERAGE * F.col("w.n_words")) | (F.col("w.covered") >= RUN)
     return best.filter(enough)
 

@@ -74,3 +74,22 @@ def test_rows_go_by_their_own_text(spark):
     left = {tuple(r) for r in dc.drop_contaminated(frame, bench).collect()}
     assert left == {r for r in rows if r[1] != bad}
     assert {r.doc_id for r in dc.contaminated(frame, bench).collect()} == {None, 1}
+
+
+def test_parallel_sentences_and_inserted_words(spark):
+    """Items that repeat their windows, and copies whose halves lie on two diagonals."""
+    rng = random.Random(8)
+    prose = lambda n: " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(n))
+    farms = [("1990", "Anna", "30"), ("1995", "Peter", "40"), ("1997", "Maria", "55"), ("2001", "Paul", "61"), ("2004", "Clara", "72"), ("2010", "Otto", "88")]
+    said = [f"In {y} the farm of {n} sold {c} boxes." for y, n, c in farms]
+    short, long = prose(38).split(), prose(200).split()
+    items = [(1, " ".join(said)), (2, " ".join(short)), (3, " ".join(long))]
+    docs = [
+        (1, prose(20) + ". " + " ".join(said) + " " + prose(5)), (2, prose(9) + ". " + said[2]),
+        (3, " ".join(short[:14] + ["inserted"] + short[14:26] + prose(12).split())),
+        (4, " ".join(short[:14] + prose(200).split() + short[14:26])), (5, "te " * 5000),
+    ]
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string")
+    got = {(r.doc_id, r.item_id): r for r in dc.contaminated(frame, spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+    assert set(got) == {(1, 1), (3, 2)}
+    assert got[1, 1].covered == 54 and got[1, 1].kind == "exact" and got[3, 2].covered == 26
