@@ -25,7 +25,7 @@ KINDS = ["email", "ip", "card", "phone"]
 #: Stretches trained on: those of the smallest hash, from so many texts at most in all.
 MAX_STRETCHES = 400
 ROUNDS, RATE = 6, 0.4
-#: A span has at most so many tokens, a stretch too before it is cut in two.
+#: A span has at most so many tokens; to train on, a longer stretch is cut in pieces of so many.
 MAX_SPAN, MAX_STRETCH = 14, 60
 FEATURES = 512
 #: A further span must beat leaving its tokens unlabelled by this log-odds.
@@ -85,26 +85,29 @@ MARKED = re.compile(r"[^\s]*[0-9@][^\s]*")
 TOKEN = re.compile(r"[0-9]+|[^\W\d_]+|\S")
 
 
-def stretches(text: str) -> Iterator[list[tuple[int, int]]]:
-    """Tokens (start, end) of the text's stretches: words with digits or @, close ones together."""
+def stretches(text: str, most: int | None = None) -> Iterator[list[tuple[int, int]]]:
+    """Tokens (start, end) of the text's stretches: words with digits or @, close ones together.
+
+    ``most``: longer stretches are cut in pieces of so many tokens.
+    """
     begin = end = None
     for m in MARKED.finditer(text):
         if end is not None and m.start() - end <= 3:
             end = m.end()
             continue
         if end is not None:
-            yield from _tokens(text, begin, end)
+            yield from _tokens(text, begin, end, most)
         begin, end = m.span()
     if end is not None:
-        yield from _tokens(text, begin, end)
+        yield from _tokens(text, begin, end, most)
 
 
-def _tokens(text: str, begin: int, end: int) -> Iterator[list[tuple[int, int]]]:
+def _tokens(text: str, begin: int, end: int, most: int | None) -> Iterator[list[tuple[int, int]]]:
     # an opening bracket or plus before the first word belongs to it; \S+ has them already
     part = []
     for m in TOKEN.finditer(text, begin, end):
         part.append(m.span())
-        if len(part) == MAX_STRETCH:
+        if len(part) == most:
             yield part
             part = []
     if part:
@@ -233,7 +236,7 @@ def training_stretches(docs: DataFrame, text: str, most: int) -> list[str]:
         for batch in batches:
             out = []
             for value in batch.column(text).to_pylist():
-                for tokens in stretches(value or "") if value else ():
+                for tokens in stretches(value, MAX_STRETCH) if value else ():
                     a, b = tokens[0][0], tokens[-1][1]
                     if b - a <= 200:
                         out.append(value[max(0, a - 8) : b + 8])
@@ -249,7 +252,7 @@ def fit(samples: list[str]) -> Field:
     data = []
     for text in samples:
         spans = base_spans(text)
-        data += [(text, tokens, gold_of(text, tokens, spans)) for tokens in stretches(text)]
+        data += [(text, tokens, gold_of(text, tokens, spans)) for tokens in stretches(text, MAX_STRETCH)]
     for i in range(ROUNDS):
         for stretch in data:
             field.train(stretch, RATE / (1 + i))
@@ -263,8 +266,6 @@ def all_spans(text: str, field: Field) -> tuple[list[tuple[int, int, str]], list
         return base, base
     more, next_base = [], 0
     for tokens in stretches(text):
-        if len(tokens) < 2:
-            continue
         for a, b, kind in field.label(text, tokens):
             while next_base < len(base) and base[next_base][1] <= a:
                 next_base += 1

@@ -84,3 +84,16 @@ def test_odd_rows(spark):
     assert sorted((r.doc_id or 0, r.base_sha256) for r in got) == sorted(want)
     assert all(set(pii.written(plain(t or "")).split(",")) <= {x for r in got for x in r.spans.split(",")} for t in texts if t)
     assert pii.scan(docs.limit(0)).count() == 0
+
+
+def test_long_lists_and_single_tokens():
+    rng = random.Random(4)
+    digits = lambda n: "".join(rng.choices("0123456789", k=n))
+    samples = [f"of 10.{rng.randint(0, 255)}.3.{rng.randint(0, 255)} up" for _ in range(60)] + [f"in {digits(4)} we" for _ in range(60)]
+    field = pii.fit(samples)
+    text = " ".join(f"10.{rng.randint(0, 255)}.3.{rng.randint(0, 255)}" for _ in range(400))
+    found = {s for t in pii.stretches(text) for s in field.label(text, t)}
+    assert set(pii.base_spans(text)) <= found
+    # a field that likes every token judges a number without separators too
+    _, spans = pii.all_spans("call 5551234567 now", pii.Field(np.ones((pii.FEATURES, 4))))
+    assert [s[:2] for s in spans] == [(5, 15)]
