@@ -88,8 +88,9 @@ def test_parallel_sentences_and_inserted_words(spark):
         (1, prose(20) + ". " + " ".join(said) + " " + prose(5)), (2, prose(9) + ". " + said[2]),
         (3, " ".join(short[:14] + ["inserted"] + short[14:26] + prose(12).split())),
         (4, " ".join(short[:14] + prose(200).split() + short[14:26])), (5, "te " * 5000),
+        (6, " ".join(f"In 18{y[2:]} the farm of {n}x sold 1{c} boxes." for y, n, c in farms)),
     ]
     frame = spark.createDataFrame(docs, "doc_id bigint, text string")
     got = {(r.doc_id, r.item_id): r for r in dc.contaminated(frame, spark.createDataFrame(items, "item_id bigint, text string")).collect()}
-    assert set(got) == {(1, 1), (3, 2)}
+    assert set(got) == {(1, 1), (3, 2), (6, 1)} and got[6, 1].kind == "template"
     assert got[1, 1].covered == 54 and got[1, 1].kind == "exact" and got[3, 2].covered == 26
