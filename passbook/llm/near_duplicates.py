@@ -3,29 +3,26 @@
 A text's set are its distinct five-word shingles; texts with equal sets are one node.  The
 signatures are sorted in several orders, each beginning at another place of the signature.
 Nodes that share an order's first values form a region.  Neighbours in the sorted order share
-the longest prefixes, so each node meets the nodes next to it: all of a small region, and in
-a large one those that agree deepest.  Candidates are confirmed on the full sets.
-
-In a large region a node may also be linked only to one that sorts far away, as copies of one
-original that differ among themselves are.  So nodes of large regions are compared with the
-region's node of most links, as long as that joins components.  What is left of large regions
-goes through an exact join on each node's rarest shingles.  Candidates whose nodes are in one
-component already are not compared: the components do not need them.
+the longest prefixes.  In a region of a few nodes all meet; in a large one a node meets the
+next in the order, which agrees deepest.  Candidates are confirmed on the full sets, those that
+met in most places first, one per node and round, then more; nodes that are in one component
+already are not compared, as the components do not need it.
+
+A region can also be too large, or cut between two tasks, for a node to meet all it may be linked
+to.  The nodes of such regions go through an exact join on their rarest shingles.
 """
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
 
-from passbook.llm.common import WORD, row_names, slices
+from passbook.llm.common import WORD, row_names
 from passbook.llm.graph import components
+from passbook.llm.ngram_join import similar_links
+from passbook.llm.sets import across, confirmed, digest, document_components, hashes_of, mapped, mixed, nodes_of, shingles
 from passbook.storage import cut
 
 SHINGLE = 5
@@ -33,50 +30,16 @@ SHINGLE = 5
 #: Sets with similarity 0.75 share no order's prefix with probability (1 - 0.75 ** 3) ** 24,
 #: two in a million.
 VALUES, ORDERS, PREFIX = 96, 24, 3
-NEIGHBOURS = 8
-SLICE_BYTES = 2_000_000
-MEMO = 300_000
+#: All nodes of a region of so many meet.
+MEETING = 9
 #: Links need 100 * intersection >= 75 * union.
 PERCENT = 75
-#: Nodes of one component that share a shingle are compared with others' in chunks of about so many.
-CHUNK = 256
+#: Candidates a node offers in the first round, and by how much more in each further one.
+OFFERED, GROWTH = 1, 8
 
 _random = np.random.default_rng(20240229)
 FLIPS = _random.integers(0, 1 << 32, VALUES, dtype=np.uint32)
 FACTORS = _random.integers(0, 1 << 31, VALUES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-PLACES = _random.integers(0, 1 << 63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-_WORDS: dict[bytes, int] = {}
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def shingles(text: str | None) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the shingles; A-Z in lower case, words by white space.
-
-    Fewer words than a shingle has are one shingle; no words are none.
-    """
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    if len(_WORDS) > MEMO:
-        _WORDS.clear()
-    known = []
-    for w in words:
-        h = _WORDS.get(w)
-        if h is None:
-            h = _WORDS[w] = xxhash.xxh3_64_intdigest(w)
-        known.append(h)
-    hashes = np.array(known, dtype=np.uint64)
-    n = max(1, len(hashes) - SHINGLE + 1)
-    total = np.full(n, min(len(hashes), SHINGLE), dtype=np.uint64)
-    for j in range(min(len(hashes), SHINGLE)):
-        total += hashes[j : j + n] * PLACES[j]
-    return np.unique(mixed(total))
 
 
 def signature(hashes: np.ndarray) -> np.ndarray:
@@ -100,154 +63,117 @@ def orders(signatures: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return prefix.astype(np.int64), (deeper ^ np.uint64(1 << 63)).astype(np.int64)
 
 
-def mapped(df: DataFrame, key: str, text: str, schema: str, of) -> DataFrame:
-    """(key, columns of ``schema``) of every row; ``of(texts)`` gives a list per column."""
-    full = StructType([df.schema[key], *StructType.fromDDL(schema).fields])
-    arrow = to_arrow_schema(full)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text, SLICE_BYTES):
-            columns = of(batch.column(text).to_pylist())
-            arrays = [pa.array(c, f.type) for c, f in zip(columns, list(arrow)[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(key).cast(arrow.field(0).type), *arrays], schema=arrow)
-
-    return df.select(key, text).mapInArrow(run, full)
-
-
-def signed(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, n, s1, s2, prefix, deeper): size and hash of the set, and its place in each order."""
+def signed(own: DataFrame) -> DataFrame:
+    """(key, n, s1, s2, prefix, deeper) of ``own`` (key, text): size and names of the set, and its place in each order."""
 
     def of(texts: list[str | None]) -> list[list]:
-        sets = [shingles(t) for t in texts]
-        digests = [np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64) for s in sets]
+        sets = [shingles(t, SHINGLE) for t in texts]
+        names = [digest(s) for s in sets]
         prefix, deeper = orders(np.array([signature(s) for s in sets], dtype=np.uint32).reshape(-1, VALUES))
-        return [[len(s) for s in sets], [int(d[0]) for d in digests], [int(d[1]) for d in digests], list(prefix), list(deeper)]
+        return [[len(s) for s in sets], [n[0] for n in names], [n[1] for n in names], list(prefix), list(deeper)]
 
-    return mapped(df, key, text, "n bigint, s1 bigint, s2 bigint, prefix array<bigint>, deeper array<bigint>", of)
+    return mapped(own, "key", "text", "n bigint, s1 bigint, s2 bigint, prefix array<bigint>, deeper array<bigint>", of)
 
 
 def neighbours(entries: DataFrame) -> DataFrame:
-    """(prefix, a, b, apart) of entries (prefix, deeper, id) up to NEIGHBOURS places apart.
+    """(prefix, a, b, size): candidate pairs a < b, and, with ``size``, the regions to be looked at as a whole.
 
-    The sorted order is cut into ranges over tasks, wherever it falls; pairs across a cut are
-    left to the other orders.
+    The sorted order of ``entries`` (prefix, deeper, node) is cut into ranges over tasks, wherever
+    it falls.  The first MEETING nodes of a region meet each other, later ones the node before.
+    Each task names the regions at its two ends and those of more nodes.
     """
-    schema = "prefix bigint, a bigint, b bigint, apart int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_prefix, last_id = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        last_prefix, last_node = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        region, size, ended = None, 0, False  # the region at the end of what was read
         for batch in batches:
+            new = batch.column("prefix").to_numpy()
+            if not len(new):
+                continue
+            starts = np.nonzero(np.concatenate([[True], new[1:] != new[:-1]]))[0]
+            sizes = np.diff(np.concatenate([starts, [len(new)]]))
+            place = np.arange(len(new)) - np.repeat(starts, sizes)
+            named = []
+            if region is not None and new[0] == region:
+                place[: sizes[0]] += size
+                sizes[0] += size
+            elif region is not None and (not ended or size > MEETING):
+                named, ended = [(region, size)], True
+            for r, n in zip(new[starts[:-1]].tolist(), sizes[:-1].tolist(), strict=True):
+                if not ended or n > MEETING:
+                    named.append((r, n))
+                ended = True
+            region, size = int(new[-1]), int(sizes[-1])
             old = len(last_prefix)
-            prefix = np.concatenate([last_prefix, batch.column("prefix").to_numpy()])
-            ids = np.concatenate([last_id, batch.column("id").to_numpy()])
+            prefix = np.concatenate([last_prefix, new])
+            node = np.concatenate([last_node, batch.column("node").to_numpy()])
+            place = np.concatenate([np.zeros(old, np.int64), place])
             out = []
-            for apart in range(1, NEIGHBOURS + 1):
+            for apart in range(1, MEETING):
                 at = np.nonzero(prefix[apart:] == prefix[:-apart])[0]
                 at = at[at + apart >= old]
-                at = at[ids[at] != ids[at + apart]]
-                out.append((prefix[at], ids[at], ids[at + apart], np.full(len(at), apart, np.int32)))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["prefix", "a", "b", "apart"]
-            )
-            last_prefix, last_id = prefix[-NEIGHBOURS:], ids[-NEIGHBOURS:]
-
-    ranged = entries.repartitionByRange("prefix", "deeper", "id").sortWithinPartitions("prefix", "deeper", "id")
-    return ranged.select("prefix", "id").mapInArrow(run, schema)
-
-
-def ordered(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
+                if apart > 1:
+                    at = at[place[at + apart] < MEETING]
+                x, y = node[at], node[at + apart]
+                out.append((prefix[at], np.minimum(x, y), np.maximum(x, y), np.zeros(len(at), np.int64)))
+            yield made(*(np.concatenate(c) for c in zip(*out, strict=True)))
+            yield regions(named)
+            last_prefix, last_node = prefix[-MEETING:], node[-MEETING:]
+        if region is not None:
+            yield regions([(region, size)])
 
-def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
-    first = sets.select(F.col("id").alias("a"), F.col("hashes").alias("x"))
-    second = sets.select(F.col("id").alias("b"), F.col("hashes").alias("y"))
-    joined = cut(pairs).join(first, "a").join(second, "b")
-    small, large = F.least(F.size("x"), F.size("y")), F.greatest(F.size("x"), F.size("y"))
-    sized = joined.filter(100 * small >= PERCENT * large)
-    both = F.size(F.array_intersect("x", "y"))
-    similar = 100 * both >= PERCENT * (F.size("x") + F.size("y") - both)
-    return cut(sized.filter(similar).select("a", "b").distinct())
+    def made(prefix, a, b, size) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(prefix), pa.array(a), pa.array(b), pa.array(size)], ["prefix", "a", "b", "size"])
 
+    def regions(named: list[tuple[int, int]]) -> pa.RecordBatch:
+        none = np.zeros(len(named), np.int64)
+        return made(np.array([r for r, _ in named], dtype=np.int64), none, none, np.array([n for _, n in named], dtype=np.int64))
 
-def across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The pairs whose nodes are not in one component yet."""
-    x = labels.select(F.col("a"), F.col("b").alias("la"))
-    y = labels.select(F.col("a").alias("b"), F.col("b").alias("lb"))
-    joined = pairs.join(x, "a", "left").join(y, "b", "left")
-    return joined.filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
+    ranged = entries.repartitionByRange("prefix", "deeper", "node").sortWithinPartitions("prefix", "deeper", "node")
+    return ranged.select("prefix", "node").mapInArrow(run, "prefix bigint, a bigint, b bigint, size bigint")
 
 
-def unmet(ids: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
-    """(a, b): the pairs of ``ids`` in different components that can be similar enough; none is missing.
+def met(pairs: DataFrame, sets: DataFrame) -> DataFrame | None:
+    """Links (a, b) that join all components of ``pairs`` (a, b, votes) that are similar enough; None without one.
 
-    Of similar sets each has one of its n - ceil(0.75 n) + 1 rarest shingles in common with the
-    other's, and the first of these leaves room behind it for the rest of the intersection.
+    In each round a node offers its candidates of other components with most votes.
     """
-    named = labels.select(F.col("a").alias("id"), F.col("b").alias("label"))
-    own = sets.join(ids, "id", "left_semi").join(named, "id", "left")
-    label = F.coalesce("label", "id").alias("label")
-    # an id may have several sets, and each in several copies: places count within a set, copies share them
-    held = own.select("id", label, F.xxhash64("hashes").alias("set"), F.size("hashes").alias("n"), F.explode("hashes").alias("h"))
-    # what one component has alone cannot be shared with another, but still fills places
-    counts = held.groupBy("h").agg(F.count(F.lit(1)).alias("df"), (F.min("label") < F.max("label")).alias("open"))
-    ranked = held.join(cut(counts), "h").withColumn("pos", F.dense_rank().over(Window.partitionBy("id", "set").orderBy("df", "h")))
-    first = cut(ranked.filter(F.expr(f"open AND pos <= n - ({PERCENT} * n + 99) div 100 + 1")).select("h", "label", "id", "n", "pos").distinct())
-    sizes = first.groupBy("h", "label").agg(F.expr(f"count(1) div {CHUNK} + 1").alias("chunks"))
-    chunk = F.expr("pmod(xxhash64(id), chunks)").alias("chunk")
-    dealt = first.join(cut(sizes), ["h", "label"]).select("h", "label", chunk, F.struct("id", "n", "pos").alias("node"))
-    groups = cut(dealt.groupBy("h", "label", "chunk").agg(F.collect_list("node").alias("nodes")))
-    x = groups.select("h", F.col("label").alias("x_label"), F.col("nodes").alias("xs"))
-    y = groups.select("h", F.col("label").alias("y_label"), F.col("nodes").alias("ys"))
-    possible = F.expr(f"""flatten(transform(xs, x -> transform(filter(ys, y ->
-        100 * least(x.n, y.n) >= {PERCENT} * greatest(x.n, y.n)
-        AND {100 + PERCENT} * (1 + least(x.n - x.pos, y.n - y.pos)) >= {PERCENT} * (x.n + y.n)
-    ), y -> struct(x.id AS a, y.id AS b))))""")
-    pairs = x.join(y, "h").filter("x_label < y_label").select(F.explode(possible).alias("p"))
-    return cut(ordered(pairs.select("p.a", "p.b")))
+    found, labels, most = None, None, OFFERED
+    left = pairs
+    while True:
+        both = left.select("a", "b", "votes", F.explode(F.array("a", "b")).alias("node"))
+        rank = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("votes"), "a", "b"))
+        ranked = both.withColumn("rank", rank)
+        offered = cut(ranked.groupBy("a", "b", "votes").agg((F.min("rank") <= most).alias("now")))
+        new = confirmed(offered.filter("now"), sets, PERCENT)
+        if not new.isEmpty():
+            found = new if found is None else cut(found.union(new))
+            labels = components(found)
+        left = offered.filter("NOT now").drop("now")
+        if labels is not None:
+            left = across(left, labels).select("a", "b", "votes")
+        left = cut(left)
+        if left.isEmpty():
+            return found
+        most *= GROWTH
 
 
 def links(entries: DataFrame, sets_of) -> DataFrame:
     """(a, b): confirmed links that join all near-duplicate components.
 
-    ``sets_of(ids)``: (id, hashes) of the nodes ``ids`` (id).
+    ``sets_of(ids)``: (node, hashes) of the ids (node).
     """
     near = cut(neighbours(entries))
-    # two places per pair of neighbours name every node of a region
-    members = near.filter("apart = 1").select("prefix", F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = cut(sets_of(members.select("id").distinct()))
-
-    found = confirmed(ordered(near.filter("apart = 1")), sets)
-    labels = components(found)
-    pairs = cut(across(ordered(near.filter("apart > 1")), labels))
-    found = cut(found.union(confirmed(pairs, sets)))
-    labels = components(found)
-
-    sizes = members.groupBy("prefix").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > NEIGHBOURS + 1)
-    members = cut(members.join(cut(sizes), "prefix", "left_semi"))
-    large, tried = cut(members.select("id").distinct()), None
-    while not members.isEmpty():
-        degree = found.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
-        ranked = members.join(cut(degree), "id", "left")
-        best = F.max_by("id", F.struct(F.coalesce("degree", F.lit(0)), -F.col("id")))
-        hubs = cut(ranked.groupBy("prefix").agg(best.alias("hub")))
-        pairs = members.join(hubs, "prefix").filter("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b"))
-        pairs = cut(across(ordered(pairs), labels))
-        if tried is not None:
-            pairs = cut(pairs.join(tried, ["a", "b"], "left_anti"))
-        if pairs.isEmpty():
-            break
-        tried = pairs if tried is None else cut(tried.union(pairs))
-        more = confirmed(pairs, sets)
-        if more.isEmpty():
-            break
-        found = cut(found.union(more))
-        labels = components(found)
-    pairs = unmet(large, sets, labels)
-    if tried is not None:
-        pairs = cut(pairs.join(tried, ["a", "b"], "left_anti"))
-    return found if pairs.isEmpty() else cut(found.union(confirmed(pairs, sets)))
+    pairs = cut(near.filter("size = 0").groupBy("a", "b").agg(F.count(F.lit(1)).alias("votes")))
+    named = near.filter("size > 0").groupBy("prefix").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("parts"))
+    whole = cut(named.filter((F.col("size") > MEETING) | ((F.col("parts") > 1) & (F.col("size") > 1))).select("prefix"))
+    members = cut(entries.join(whole, "prefix", "left_semi").select("node").distinct())
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(members).distinct()
+    sets = cut(sets_of(wanted))
+    found = met(pairs, sets)
+    own = sets.join(members, "node", "left_semi").dropDuplicates(["node"])
+    heads = cut(own.select("node", F.size("hashes").cast("bigint").alias("n"), F.col("hashes").alias("head")))
+    return similar_links(heads, lambda ids: sets.join(ids, "node", "left_semi"), PERCENT, found, whole=True)
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -257,37 +183,18 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     shingles and links with nothing.  A null key is its own component, null, and is kept.
     Other columns are left out.
     """
-    own = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text"))
-    rows = cut(signed(own, "__key", "__text"))
-    known = rows.filter("n > 0 AND __key IS NOT NULL")
-    # one node per set: the smallest key that has it
-    nodes = cut(known.groupBy("s1", "s2").agg(F.min("__key").alias("id"), F.count(F.lit(1)).alias("copies")))
-    chosen = known.withColumnRenamed("__key", "id").join(nodes.select("s1", "s2", "id"), ["s1", "s2", "id"], "left_semi")
-    entries = chosen.select("id", F.inline(F.arrays_zip("prefix", "deeper")))
-
-    def sets_of(ids: DataFrame) -> DataFrame:
-        wanted = own.join(ids, own["__key"] == ids["id"], "left_semi").withColumnRenamed("__key", "id")
-        return mapped(wanted, "id", "__text", "hashes array<bigint>", lambda texts: [[shingles(t).astype(np.int64) for t in texts]])
-
-    found = links(entries, sets_of)
-
-    # documents with a copy elsewhere, or with several texts, belong to another document's node
-    many = nodes.filter("copies > 1").select("s1", "s2", "id")
-    placed = cut(known.select("__key", "s1", "s2").join(many, ["s1", "s2"]).select("__key", "id").distinct())
-    several = known.groupBy("__key").agg(F.countDistinct("s1", "s2").alias("texts")).filter("texts > 1").select("__key")
-    own_nodes = placed.join(several, "__key", "left_semi").filter("__key <> id")
-    labels = components(found.union(own_nodes.select(F.col("__key").alias("a"), F.col("id").alias("b"))))
-
-    first = placed.groupBy("__key").agg(F.min("id").alias("id"))
-    node = rows.select("__key", "n").join(cut(first), "__key", "left")
-    names = labels.select(F.col("a").alias("id"), F.col("b").alias("least"))
-    own_id = F.coalesce("id", "__key")
-    named = node.withColumn("id", own_id).join(names, "id", "left").withColumn("component_id", F.coalesce("least", "id"))
-    return named.select(
-        F.col("__key").alias(key),
+    own = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    rows = cut(signed(own).withColumn("row", F.monotonically_increasing_id()))
+    nodes = nodes_of(rows)
+    held = rows.withColumnRenamed("row", "node").join(nodes.select("node"), "node", "left_semi")
+    entries = held.select("node", F.inline(F.arrays_zip("prefix", "deeper")))
+    found = links(entries, lambda ids: hashes_of(own, nodes, ids, SHINGLE))
+    done = document_components(rows, nodes, found)
+    return done.select(
+        F.col("key").alias(key),
         F.col("n").alias("n_shingles"),
-        "component_id",
-        F.coalesce(F.col("__key") == F.col("component_id"), F.lit(True)).alias("kept"),
+        F.col("component").alias("component_id"),
+        F.coalesce(F.col("key") == F.col("component"), F.lit(True)).alias("kept"),
     )
 
 

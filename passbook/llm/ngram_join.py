@@ -54,25 +54,31 @@ def kept(hashes: np.ndarray, percent: int) -> np.ndarray:
     return hashes[: 2 * missing(len(hashes), percent) + 1].astype(np.int64)
 
 
-def rarest(heads: DataFrame, percent: int) -> DataFrame:
-    """(h, node, n, m, pos): the prefix postings of ``heads`` (node, n, head) that another set may share.
+def overlap(total, percent: int):
+    """Shingles that similar sets of ``total`` shingles together have in common at least."""
+    return -(-percent * total // (100 + percent))
 
-    ``m`` is the number of shingles kept, ``pos`` the place in rare-first order.
+
+def rarest(heads: DataFrame, percent: int, whole: bool) -> DataFrame:
+    """(h, node, n, m, pos, need): the prefix postings of ``heads`` (node, n, head) that another set may share.
+
+    ``m`` is the number of shingles kept, ``need`` how many of them a similar set shares at least,
+    ``pos`` the place in rare-first order.
     """
-    heads = heads.withColumn("m", F.size("head"))
+    least = (F.col("n") - missing(F.col("n"), percent) if whole else shared(F.col("n"), percent)).cast("bigint")
+    heads = heads.withColumns({"m": F.size("head").cast("bigint"), "need": least})
     counts = heads.select("node", F.explode("head").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("df"), F.min("node").alias("node"))
     several = F.col("df") > 1
     # a shingle of one set alone names its set, any other itself
     counts = cut(counts.select(F.when(several, F.col("h")).alias("h"), F.when(several, F.col("df")).alias("df"), F.when(~several, F.col("node")).alias("node")))
     alone = counts.filter("node IS NOT NULL").groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
-    sized = heads.select("node", "n", "m").join(alone, "node", "left").withColumn("alone", F.coalesce("alone", F.lit(0)))
-    open_ = cut(sized.filter(F.col("m") - F.col("alone") >= shared(F.col("n"), percent)))
-    tokens = heads.select("node", "head").join(open_, "node").select("node", "n", "m", "alone", F.explode("head").alias("h"))
+    sized = heads.select("node", "n", "m", "need").join(alone, "node", "left").withColumn("alone", F.coalesce("alone", F.lit(0)))
+    open_ = cut(sized.filter("m - alone >= need"))
+    tokens = heads.select("node", "head").join(open_, "node").select("node", "n", "m", "need", "alone", F.explode("head").alias("h"))
     common = tokens.join(counts.filter("h IS NOT NULL").select("h", "df"), "h")
     rank = F.row_number().over(Window.partitionBy("node").orderBy("df", "h"))
     placed = common.withColumn("pos", (F.col("alone") + rank).cast("bigint"))
-    prefix = placed.filter(F.col("pos") <= F.col("m") - shared(F.col("n"), percent) + 1)
-    return cut(prefix.select("h", "node", "n", F.col("m").cast("bigint").alias("m"), "pos"))
+    return cut(placed.filter("pos <= m - need + 1").select("h", "node", "n", "m", "pos", "need"))
 
 
 def sketched(sets: DataFrame) -> DataFrame:
@@ -90,7 +96,7 @@ def sketched(sets: DataFrame) -> DataFrame:
     return sets.select("node", "hashes").mapInArrow(run, "node bigint, sketch binary")
 
 
-def offers(members: DataFrame, most: int, percent: int) -> DataFrame:
+def offers(members: DataFrame, most: int, percent: int, whole: bool) -> DataFrame:
     """(a, b, more) of the pairs that pass all filters, ``most`` nearest ones per node and list.
 
     ``members``: (h, i, j, own, node, label, n, m, pos, need, sketch); chunks i and j of the list h meet.
@@ -111,12 +117,13 @@ def offers(members: DataFrame, most: int, percent: int) -> DataFrame:
             y = x + apart
             n1, n2 = col["n"][x], col["n"][y]
             fits = (col["label"][x] != col["label"][y]) & (100 * np.minimum(n1, n2) >= percent * np.maximum(n1, n2))
-            fits &= np.minimum(room[x], room[y]) >= np.maximum(col["need"][x], col["need"][y])
+            least = overlap(n1 + n2, percent) if whole else np.maximum(col["need"][x], col["need"][y])
+            fits &= np.minimum(room[x], room[y]) >= least
             # chunks of one list meet once; inside a chunk only where it meets itself
             fits &= (col["i"][x] == col["j"][x]) | (col["own"][x] != col["own"][y])
             x, y, total = x[fits], y[fits], (n1 + n2)[fits]
             apart_by = np.abs(sketch[x] - sketch[y]).sum(axis=1, dtype=np.int64)
-            near = apart_by <= total - 2 * -(-percent * total // (100 + percent))
+            near = apart_by <= total - 2 * overlap(total, percent)
             xs.append(x[near])
             ys.append(y[near])
             ds.append(apart_by[near])
@@ -154,18 +161,23 @@ def offers(members: DataFrame, most: int, percent: int) -> DataFrame:
     return dealt.mapInArrow(run, "a bigint, b bigint, more boolean")
 
 
-def similar_links(heads: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, links: DataFrame | None = None) -> DataFrame:
+def similar_links(
+    heads: DataFrame,
+    sets_of: Callable[[DataFrame], DataFrame],
+    percent: int,
+    links: DataFrame | None = None,
+    whole: bool = False,
+) -> DataFrame:
     """(a, b): links that join all components of similar sets; known ``links`` are among them.
 
-    ``heads``: (node, n, head), one per distinct set, ``head`` as ``kept`` gives it;
-    ``sets_of(ids)``: (node, hashes) of the ids (node).
+    ``heads``: (node, n, head), one per distinct set, ``head`` as ``kept`` gives it, or with
+    ``whole`` the whole set; ``sets_of(ids)``: (node, hashes) of the ids (node).
     """
-    postings = rarest(heads, percent)
+    postings = rarest(heads, percent, whole)
     lists = postings.groupBy("h").agg((F.min("node") < F.max("node")).alias("open")).filter("open").select("h")
     postings = cut(postings.join(cut(lists), "h", "left_semi"))
     sets = cut(sets_of(postings.select("node").distinct()))
-    need = shared(F.col("n"), percent).cast("bigint").alias("need")
-    postings = cut(postings.select("*", need).join(sketched(sets).dropDuplicates(["node"]), "node"))
+    postings = cut(postings.join(sketched(sets).dropDuplicates(["node"]), "node"))
     found, tried, most = links, None, OFFERED
     labels = None if links is None else components(links)
     while True:
@@ -180,7 +192,7 @@ def similar_links(heads: DataFrame, sets_of: Callable[[DataFrame], DataFrame], p
         members = members.withColumn("with", F.explode(F.expr("sequence(0L, chunks - 1)")))
         members = members.withColumns({"i": F.least("own", "with"), "j": F.greatest("own", "with")})
         columns = ["h", "i", "j", "own", "node", "label", "n", "m", "pos", "need", "sketch"]
-        pairs = cut(offers(members.select(columns), most, percent).groupBy("a", "b").agg(F.max("more").alias("more")))
+        pairs = cut(offers(members.select(columns), most, percent, whole).groupBy("a", "b").agg(F.max("more").alias("more")))
         more = bool(pairs.agg(F.max("more")).first()[0])
         if tried is not None:
             pairs = cut(pairs.join(tried, ["a", "b"], "left_anti"))
