@@ -2,6 +2,9 @@ import random
 import re
 from collections import defaultdict
 
+import pytest
+
+from passbook.llm import graph
 from passbook.llm import near_duplicates as nd
 from passbook.llm.common import table
 from passbook.llm.graph import components
@@ -90,7 +93,9 @@ def test_tables(spark):
     check(spark, rows)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("at_once", [0, 60, 500_000])
+def test_components(spark, monkeypatch, at_once):
+    monkeypatch.setattr(graph, "AT_ONCE", at_once)
     rng = random.Random(1)
     edges = [(i, i + 1) for i in range(100, 160)] + [(1, x) for x in range(2, 50)] + [(rng.randint(200, 400), rng.randint(200, 400)) for _ in range(80)]
     rng.shuffle(edges)
