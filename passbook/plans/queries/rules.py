@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from passbook.functions import text as t
 from passbook.operators import categorize as c
 from passbook.operators import matching as m
+from passbook.operators import rule_index
 from passbook.operators import rules as ru
 from passbook.plans.registry import register
 from passbook.plans.rulebook import RULE_ROWS_SQL, RULE_SQL, RULES, rules_frame, rules_values_sql
@@ -470,3 +471,22 @@ def dedup_hash(spark, sf_dir):
 )
 def external_id_norm(spark, sf_dir):
     return ledger(spark, sf_dir).select("id", t.external_id_norm(F.col("external_id")).alias("external_id"))
+
+
+@register(
+    "rule_index_match",
+    oracle(f"""SELECT id, CAST(unnest({ALL_MATCHED_SQL}) AS BIGINT) AS rule_id FROM rule_rows""", more=RULE_ROWS_SQL),
+)
+def rule_index_match(spark, sf_dir):
+    return rule_index.rule_matches(_rows(spark, sf_dir), rules_frame(spark, RULES)).select("id", "rule_id")
+
+
+@register(
+    "rule_index_first",
+    oracle(
+        f"""SELECT id, CAST(({MATCHED_SQL})[1] AS BIGINT) AS rule_id FROM rule_rows WHERE len({MATCHED_SQL}) > 0""",
+        more=RULE_ROWS_SQL,
+    ),
+)
+def rule_index_first(spark, sf_dir):
+    return rule_index.first_rules(rule_index.rule_matches(_rows(spark, sf_dir), rules_frame(spark, RULES)))
