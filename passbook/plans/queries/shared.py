@@ -162,13 +162,12 @@ def updated_parts(spark, sf_dir):
 
 
 def _persons(spark, sf_dir):
-    """User 1 and every second customer as friend, then whoever takes part."""
+    """User 1 and every customer as friend, then whoever takes part."""
     user = spark.range(1).select(
         F.lit(ME).cast("long").alias("id"), F.lit("Mia").alias("first_name"), F.lit("Main").alias("last_name"),
         F.lit("mia@example.com").alias("email"),
     )
-    c = table(spark, sf_dir, "customer").filter("c_custkey % 2 = 0")
-    friends = c.select(
+    friends = table(spark, sf_dir, "customer").select(
         (F.col("c_custkey") + 2).alias("id"), F.col("c_name").alias("first_name"), F.lit("").alias("last_name"),
         F.lit("").alias("email"), F.col("c_custkey").alias("pos"),
     )
@@ -180,9 +179,9 @@ PERSON_SQL = (
     + """,
 people AS (
   SELECT CAST(1 AS BIGINT) AS person_id, 'Mia' AS first_name, 'Main' AS last_name, 'mia@example.com' AS email, TRUE AS is_current_user
-  UNION ALL SELECT c_custkey + 2, c_name, '', '', FALSE FROM customer WHERE c_custkey % 2 = 0 AND c_custkey + 2 <> 1
+  UNION ALL SELECT c_custkey + 2, c_name, '', '', FALSE FROM customer WHERE c_custkey + 2 <> 1
   UNION ALL SELECT DISTINCT friend, 'Friend' || CAST(friend % 100 AS VARCHAR), CASE WHEN friend % 2 = 0 THEN 'Two' ELSE '' END, '', FALSE
-    FROM rec WHERE friend NOT IN (SELECT c_custkey + 2 FROM customer WHERE c_custkey % 2 = 0))"""
+    FROM rec WHERE friend NOT IN (SELECT c_custkey + 2 FROM customer))"""
 )
 
 
@@ -223,14 +222,15 @@ def upsert_person(spark, sf_dir):
 
 @register(
     "upsert_group",
-    """SELECT CAST(n_nationkey AS BIGINT) AS group_id, CASE WHEN n_nationkey % 2 = 0 THEN n_name || '!' ELSE n_name END AS name,
-      CASE WHEN n_nationkey % 3 = 0 THEN 'old' ELSE 'new' END AS group_type FROM nation WHERE n_nationkey % 2 = 0 OR n_nationkey % 3 = 0""",
+    """SELECT CAST(n_nationkey AS BIGINT) AS group_id, CASE WHEN n_nationkey % 3 <> 1 THEN n_name || '!' ELSE n_name END AS name,
+      CASE WHEN n_nationkey % 3 <> 2 THEN 'old' ELSE 'new' END AS group_type FROM nation""",
 )
 def upsert_group(spark, sf_dir):
     n = table(spark, sf_dir, "nation")
     key = F.col("n_nationkey").cast("long").alias("group_id")
-    stored = n.filter("n_nationkey % 3 = 0").select(key, F.col("n_name").alias("name"), F.lit("old").alias("group_type"))
-    incoming = n.filter("n_nationkey % 2 = 0").select(
+    # stored only, both, incoming only: a third of the nations each
+    stored = n.filter("n_nationkey % 3 <> 2").select(key, F.col("n_name").alias("name"), F.lit("old").alias("group_type"))
+    incoming = n.filter("n_nationkey % 3 <> 1").select(
         key, F.concat("n_name", F.lit("!")).alias("name"), F.lit("new").alias("group_type")
     )
     return sh.upsert_groups(stored, incoming)

@@ -18,20 +18,59 @@ def read_records(spark: SparkSession, path: str, schema: StructType, pattern: st
     return reader.parquet(path)
 
 
-def exact_dedup(records: DataFrame, within: str = "7 days") -> DataFrame:
-    """ST2 stream_exact_dedup: the first record of every hash within the watermark.
-
-    State is kept per hash and dropped once the watermark passes, so it stays bounded.
-    """
-    hashed = records.withColumn(
+def with_hash(records: DataFrame) -> DataFrame:
+    return records.withColumn(
         "dedup_hash",
         dedup_hash(
             F.col("transaction_date"), F.col("amount"), F.col("original_description"), F.col("transaction_type")
         ),
-    ).withColumn("event_time", F.col("transaction_date").cast("timestamp"))
+    )
+
+
+def exact_dedup(records: DataFrame, within: str = "7 days") -> DataFrame:
+    """The first record of every hash, for streams without records older than the watermark: those are lost.
+
+    State is kept per hash and dropped once the watermark passes, so it stays bounded.
+    """
+    hashed = with_hash(records).withColumn("event_time", F.col("transaction_date").cast("timestamp"))
     return hashed.withWatermark("event_time", within).dropDuplicatesWithinWatermark(["dedup_hash"])
 
 
+def read_deduplicated(spark: SparkSession, store: str, records: StructType, without: str | None = None) -> DataFrame:
+    """What ``deduplicated`` keeps below ``store``, with its hash, day and batch; optionally without one batch."""
+    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in records)}, dedup_hash string, batch string, day date"
+    return _read(spark, store, schema, without)
+
+
+def deduplicated(records: DataFrame, store: str, checkpoint: str) -> StreamingQuery:
+    """ST2 stream_exact_dedup: the first record of every hash, however late it comes.
+
+    Records (with a unique ``seq``) are kept by batch and day.  Equal hashes have equal days, so a
+    micro-batch reads the stored hashes of its own days only, and no state is held between
+    batches.  Within a batch the smallest ``seq`` is kept.  A batch that runs again after a
+    failure replaces its own folder.
+    """
+
+    def add(batch: DataFrame, batch_id: int) -> None:
+        spark, label = batch.sparkSession, f"b{batch_id}"
+        hashed = with_hash(batch).withColumn("day", F.to_date("transaction_date"))
+        kept = F.min_by(F.struct(*[c for c in hashed.columns if c != "dedup_hash"]), "seq").alias("kept")
+        first = cut(hashed.groupBy("dedup_hash").agg(kept).select("kept.*", "dedup_hash"))
+        # one row per calendar day
+        days = [r["day"] for r in first.select("day").distinct().collect()]
+        dated = [d for d in days if d is not None]
+        of_days = F.col("day").isin(dated) if dated else F.lit(False)
+        if len(dated) < len(days):
+            of_days |= F.col("day").isNull()
+        stored = read_deduplicated(spark, store, batch.schema, label).filter(of_days).select("dedup_hash")
+        new = first.join(stored, "dedup_hash", "left_anti").select(*batch.columns, "dedup_hash", "day")
+        new.write.mode("overwrite").partitionBy("day").parquet(f"{store}/batch={label}")
+
+    return (
+        records.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    )
+
+
 def write_once(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Everything that is there now, appended as Parquet with exactly-once bookkeeping."""
     return (

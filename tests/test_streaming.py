@@ -53,3 +53,34 @@ def test_stream_exact_dedup(spark, tmp_path):
     out = spark.read.parquet(str(tmp_path / "out"))
     assert out.count() == 2
     assert out.select("dedup_hash").distinct().count() == 2
+
+
+def test_deduplicated_keeps_late_records_once(spark, tmp_path):
+    """Three batches, the last one a month late; a restart; one batch run again after its rows were written."""
+    source, store, state = (str(tmp_path / n) for n in ("in", "rows", "state"))
+    schema = spark.createDataFrame([], SCHEMA).schema
+
+    def run_all():
+        stream = inc.read_records(spark, source, schema, per_batch=1)
+        inc.deduplicated(stream, store, state).awaitTermination()
+
+    def kept():
+        return sorted(r["seq"] for r in inc.read_deduplicated(spark, store, schema).collect())
+
+    undated = (9, None, Decimal("1.00"), "expense", "NO DAY", None)
+    write(spark, source, [record(1, 5, "A B"), record(2, 5, "A  B"), undated])
+    write(spark, source, [(3, dt.datetime(2026, 2, 20), Decimal("10.00"), "expense", "A B", None), record(4, 6, "C"), (10, *undated[1:])])
+    run_all()
+    assert kept() == [1, 3, 4, 9]
+    write(spark, source, [record(5, 5, "A B"), record(6, 1, "LATE  ROW"), record(7, 1, "LATE ROW"), record(8, 6, "D")])
+    run_all()
+    assert kept() == [1, 3, 4, 6, 8, 9]
+    run_all()
+    assert kept() == [1, 3, 4, 6, 8, 9]
+    stored = inc.read_deduplicated(spark, store, schema)
+    assert stored.select("dedup_hash").distinct().count() == stored.count()
+    # only the days asked for are opened
+    files = stored.filter("day = date '2026-01-05'").inputFiles()
+    assert len(stored.inputFiles()) > 3
+    read = stored.filter("day = date '2026-01-05'")
+    assert "PartitionFilters: [isnotnull(day" in read._jdf.queryExecution().toString() and files
