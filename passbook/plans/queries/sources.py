@@ -108,12 +108,12 @@ def statement_rejects(spark, sf_dir):
 @register(
     "previous_line_lookback",
     f"""WITH {ORDERS_SQL} SELECT key AS file, CAST(n AS BIGINT) AS line_no,
-      CASE n WHEN 4 THEN prio || ' ORDER NUMBER ' || key WHEN 6 THEN 'ST000000000000000001)' WHEN 7 THEN '' WHEN 9 THEN '' END AS above
-    FROM o, (VALUES (4), (7), (9)) v(n)""",
+      CASE n WHEN 4 THEN prio || ' ORDER NUMBER ' || key ELSE '' END AS above
+    FROM o, (SELECT unnest(range(1, 14)) AS n) v""",
 )
 def previous_line_lookback(spark, sf_dir):
-    lines = tx.statement_lines(_card_a(spark, sf_dir)).drop("before")
-    rows = tx.with_previous_lines(lines).filter("line_no in (4, 7, 9)")
+    """All thirteen lines: above the others stand headings, transactions, references or too little text."""
+    rows = tx.with_previous_lines(tx.statement_lines(_card_a(spark, sf_dir)).drop("before"))
     return rows.select("file", "line_no", tx.description_above(F.col("before")).alias("above"))
 
 
