@@ -37,6 +37,15 @@ def _fits():
     return f"CASE {names} END", f"CASE {kinds} END"
 
 
+_DOMAIN = r"regexp_extract(regexp_replace(host, ':[0-9]*\z', ''), '^[0-9]+(?:[.][0-9]+){3}\z|(?:[^.]*[.])?[^.]*\z', 0)"
+_SUFFIX = r"CASE WHEN regexp_matches(domain, '^[0-9]+(?:[.][0-9]+){3}\z') THEN '' ELSE regexp_replace(domain, '^[^.]*[.]', '') END"
+
+
+def _above(level):
+    """Whether the posterior bound of a level is above the threshold; null where the level has no row."""
+    return f"({level}.m - {Z} * sqrt({level}.m * (1 - {level}.m) / ({level}.w + 1)) > {THRESHOLD})"
+
+
 SQL = f"""
 WITH parts AS (
     SELECT page_id, url, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1, 's') AS path,
@@ -46,16 +55,20 @@ WITH parts AS (
     SELECT host, (l.quality = 0 OR l.toxic = 1)::INT AS bad
     FROM parts JOIN labels l ON l.doc_id = TRY_CAST(regexp_extract(path, '/([0-9]+)', 1) AS BIGINT)),
   grp AS (
-    SELECT host, regexp_extract(host, '[^.]*[.][^.]*$', 0) AS domain, regexp_extract(host, '[^.]*$', 0) AS suffix, '' AS top,
-      count(*)::DOUBLE AS n, sum(bad)::DOUBLE AS bad
-    FROM known WHERE bad IS NOT NULL GROUP BY host),
+    SELECT host, domain, {_SUFFIX} AS suffix, '' AS top, n, bad
+    FROM (SELECT host, {_DOMAIN} AS domain, count(*)::DOUBLE AS n, sum(bad)::DOUBLE AS bad FROM known WHERE bad IS NOT NULL GROUP BY host)),
   {_strength("ks", "suffix", "top")}, {_strength("kd", "domain", "suffix")}, {_strength("kh", "host", "domain")},
-  s AS (SELECT suffix, (sum(bad) + any_value(k) * (SELECT sum(bad) / sum(n) FROM grp)) / (sum(n) + any_value(k)) AS m
+  s AS (SELECT suffix, sum(n) + any_value(k) AS w, (sum(bad) + any_value(k) * (SELECT sum(bad) / sum(n) FROM grp)) / (sum(n) + any_value(k)) AS m
         FROM grp, ks GROUP BY suffix),
-  d AS (SELECT domain, (sum(bad) + any_value(k) * any_value(s.m)) / (sum(n) + any_value(k)) AS m
+  d AS (SELECT domain, sum(n) + any_value(k) AS w, (sum(bad) + any_value(k) * any_value(s.m)) / (sum(n) + any_value(k)) AS m
         FROM grp JOIN s USING (suffix), kd GROUP BY domain),
   h AS (SELECT host, n + k AS w, (bad + k * d.m) / (n + k) AS m FROM grp JOIN d USING (domain), kh),
-  bad_hosts AS (SELECT host FROM h WHERE m - {Z} * sqrt(m * (1 - m) / (w + 1)) > {THRESHOLD})
+  asked AS (
+    SELECT host, domain, {_SUFFIX} AS suffix
+    FROM (SELECT DISTINCT host, {_DOMAIN} AS domain FROM parts WHERE host <> '')),
+  bad_hosts AS (
+    SELECT host FROM asked LEFT JOIN h USING (host) LEFT JOIN d USING (domain) LEFT JOIN s USING (suffix)
+    WHERE coalesce({_above("h")}, {_above("d")}, {_above("s")}))
 SELECT page_id, host, path, {_fits()[0]} AS rule,
   coalesce({_fits()[1]}, CASE WHEN host IN (SELECT host FROM bad_hosts) THEN 'block' ELSE 'allow' END) AS verdict
 FROM parts"""

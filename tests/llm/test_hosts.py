@@ -46,3 +46,30 @@ def test_reputation_shrinks_small_hosts(spark):
     }
     mean = {r.host: r["mean"] for r in hosts.reputations(labelled).collect()}
     assert mean["h1.good.net"] < mean["new.good.net"] < mean["spam.net"] > 0.8
+
+
+def test_unseen_hosts_go_by_domain_then_suffix(spark):
+    rows = [(f"h{i}.spam.net", 1) for i in range(30) for _ in range(5)]
+    rows += [(f"h{i}.good{i % 7}.net", 0) for i in range(40) for _ in range(5)]
+    rows += [(f"w{i}.site{i}.bad", 1) for i in range(30) for _ in range(5)]
+    rows += [("fine.site1.bad", 0)] * 60 + [("localhost", 0), ("intranet", 1), (None, 1)]
+    labelled = spark.createDataFrame(rows, "host string, bad int")
+    expected = {
+        "new.spam.net": "block", "new.spam.net:8080": "block", "spam.net": "block", "new.good1.net": "allow", "other.net": "allow",
+        "a.never.bad": "block", "fine.site1.bad": "allow", "nothing.known": "allow", "localhost": "allow", "1.2.3.4": "allow",
+    }
+    pages = spark.createDataFrame([(f"http://{h}/x", "old", 1) for h in [*expected, *expected]], "url string, host string, bad int")
+    got = hosts.judge(pages, labelled, []).collect()
+    assert len(got) == 2 * len(expected)
+    assert {r.host: r.verdict for r in got} == expected
+    assert all(r.bad == 1 for r in got)
+
+
+def test_levels(spark):
+    cases = {
+        "a.b.co.uk": ("b.co.uk", "co.uk"), "a.xco.uk": ("xco.uk", "uk"), "x.y.com:80": ("y.com", "com"), "localhost": ("localhost", "localhost"),
+        "10.0.0.1": ("10.0.0.1", ""), "10.0.0.1:99": ("10.0.0.1", ""), "": ("", ""),
+    }
+    df = spark.createDataFrame([(h,) for h in cases], "host string")
+    got = {r.host: (r.domain, r.suffix) for r in hosts.with_levels(df, ["co.uk"]).collect()}
+    assert got == cases
