@@ -63,3 +63,15 @@ def two_sided(z):
     # The rational approximation of erfc by Abramowitz and Stegun, 7.1.26.
     poly = t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429))))
     return F.least(F.lit(1.0), poly * F.exp(-x * x))
+
+
+#: Rows a task takes where a stage's rows are known.
+TASK_ROWS = 5000
+
+
+def sized(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` in no more tasks than ``rows``, all that its last stage reads, ask for; never in more tasks than it has.
+
+    Rounds over few rows then cost few tasks, whatever the number of shuffle partitions.
+    """
+    return df.coalesce(max(1, -(-rows // TASK_ROWS)))

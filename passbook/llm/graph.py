@@ -50,7 +50,10 @@ def components(links: DataFrame) -> DataFrame:
     worst, or until no more than AT_ONCE edges are left, which one task ends.  Minima are written
     before they are joined, so a node with very many neighbours is split over tasks.
     """
-    edges = cut(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    edges = cut(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
+    if edges.count() <= AT_ONCE:
+        return cut(_at_once(edges))
+    edges = cut(edges.distinct())
     before = _sum(edges)
     while before[0]:
         if before[0] <= AT_ONCE:

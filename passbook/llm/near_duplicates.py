@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from passbook.llm.common import WORD, row_names
+from passbook.llm.common import WORD, row_names, sized
 from passbook.llm.graph import components
 from passbook.llm.ngram_join import similar_links
 from passbook.llm.sets import across, confirmed, digest, document_components, hashes_of, mapped, mixed, nodes_of, shingles
@@ -139,20 +139,21 @@ def met(pairs: DataFrame, sets: DataFrame) -> DataFrame | None:
     In each round a node offers its candidates of other components with most votes.
     """
     found, labels, most = None, None, OFFERED
-    left = pairs
+    left, known = pairs, sets.count()
     while True:
+        open_ = left.count()
         both = left.select("a", "b", "votes", F.explode(F.array("a", "b")).alias("node"))
         rank = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("votes"), "a", "b"))
-        ranked = both.withColumn("rank", rank)
-        offered = cut(ranked.groupBy("a", "b", "votes").agg((F.min("rank") <= most).alias("now")))
-        new = confirmed(offered.filter("now"), sets, PERCENT)
+        ranked = sized(both.withColumn("rank", rank), 2 * open_)
+        offered = cut(sized(ranked.groupBy("a", "b", "votes").agg((F.min("rank") <= most).alias("now")), 2 * open_))
+        new = confirmed(offered.filter("now"), sets, PERCENT, open_ + known)
         if not new.isEmpty():
             found = new if found is None else cut(found.union(new))
             labels = components(found)
         left = offered.filter("NOT now").drop("now")
         if labels is not None:
             left = across(left, labels).select("a", "b", "votes")
-        left = cut(left)
+        left = cut(sized(left, open_ + known))
         if left.isEmpty():
             return found
         most *= GROWTH

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from passbook.llm.common import sized
 from passbook.llm.graph import components
 from passbook.llm.sets import across, confirmed, digest, document_components, hashes_of, mapped, nodes_of, shingles
 from passbook.storage import cut
@@ -179,6 +180,7 @@ def similar_links(
     sets = cut(sets_of(postings.select("node").distinct()))
     postings = cut(postings.join(sketched(sets).dropDuplicates(["node"]), "node"))
     found, tried, most = links, None, OFFERED
+    known, places = sets.count(), postings.count()
     labels = None if links is None else components(links)
     while True:
         named = postings.withColumn("label", F.col("node"))
@@ -187,16 +189,19 @@ def similar_links(
             named = joined.withColumn("label", F.coalesce("label", "node"))
         sizes = named.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size"))
         chunks = F.expr(f"cast(ceil(size / {CHUNK}) AS bigint)").alias("chunks")
-        members = named.join(cut(sizes.filter("lo < hi").select("h", chunks)), "h")
+        lists = cut(sized(sizes.filter("lo < hi").select("h", chunks, "size"), places))
+        dealt = lists.agg(F.coalesce(F.sum(F.col("size") * F.col("chunks")), F.lit(0))).first()[0]
+        members = named.join(lists.drop("size"), "h")
         members = members.withColumn("own", F.expr("pmod(xxhash64(node), chunks)"))
         members = members.withColumn("with", F.explode(F.expr("sequence(0L, chunks - 1)")))
         members = members.withColumns({"i": F.least("own", "with"), "j": F.greatest("own", "with")})
         columns = ["h", "i", "j", "own", "node", "label", "n", "m", "pos", "need", "sketch"]
-        pairs = cut(offers(members.select(columns), most, percent, whole).groupBy("a", "b").agg(F.max("more").alias("more")))
+        met = sized(offers(members.select(columns), most, percent, whole), dealt)
+        pairs = cut(sized(met.groupBy("a", "b").agg(F.max("more").alias("more")), dealt))
         more = bool(pairs.agg(F.max("more")).first()[0])
         if tried is not None:
-            pairs = cut(pairs.join(tried, ["a", "b"], "left_anti"))
-        new = confirmed(pairs, sets, percent)
+            pairs = cut(sized(pairs.join(tried, ["a", "b"], "left_anti"), dealt + tried.count()))
+        new = confirmed(pairs, sets, percent, pairs.count() + known)
         if not new.isEmpty():
             found = new if found is None else cut(found.union(new))
             labels = components(found)

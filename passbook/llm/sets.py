@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from passbook.llm.common import slices
+from passbook.llm.common import sized, slices
 from passbook.llm.graph import components
 from passbook.storage import cut
 
@@ -97,15 +97,18 @@ def ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The distinct pairs (a, b) with 100 * intersection >= ``percent`` * union, by the full sets (node, hashes)."""
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int, rows: int) -> DataFrame:
+    """The distinct pairs (a, b) with 100 * intersection >= ``percent`` * union, by the full sets (node, hashes).
+
+    ``rows``: rows of ``pairs`` and ``sets``, by which the tasks are sized.
+    """
     first = sets.select(F.col("node").alias("a"), F.col("hashes").alias("x"))
     second = sets.select(F.col("node").alias("b"), F.col("hashes").alias("y"))
-    joined = pairs.select("a", "b").join(first, "a").join(second, "b")
+    joined = sized(sized(pairs.select("a", "b").join(first, "a"), rows).join(second, "b"), rows)
     small, large = F.least(F.size("x"), F.size("y")), F.greatest(F.size("x"), F.size("y"))
     both = F.size(F.array_intersect("x", "y"))
     similar = 100 * both >= percent * (F.size("x") + F.size("y") - both)
-    return cut(joined.filter(100 * small >= percent * large).filter(similar).select("a", "b").distinct())
+    return cut(sized(joined.filter(100 * small >= percent * large).filter(similar).select("a", "b").distinct(), rows))
 
 
 def across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
