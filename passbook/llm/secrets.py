@@ -4,9 +4,14 @@ Candidates are long runs of key characters.  Each is read in the smallest encodi
 it and tested for being uniform random in that alphabet: chi-squared over symbols and over
 kinds of symbols, the number of runs above and below the alphabet's middle, and the serial
 correlation of neighbours.  The least p-value, corrected for four tests, says how well "random"
-fits.  What share of the strings accepted from some p-value on is not random is estimated for
-each encoding and length from the p-values above one half, where hardly anything else than
-random strings lies; the smallest p-value that keeps this share below a rate is the threshold.
+fits.  Random strings have uniform p-values; other ones seldom reach MIN_P, and those that do are
+taken as log-uniform.  How many do is guessed from the bits of the string, fewer for longer ones,
+and corrected by what the table shows: over all strings, then per encoding, then per encoding and
+length, each step shrunk towards the one before.  A stratum's threshold is the least p-value from
+which on the expected share of strings that are not random is below a rate, so one long random
+string in a small table is found as well.
+
+A run of key characters that fits no encoding is cut at ``+ / - _`` and its parts are tested.
 
 Everything is DataFrame functions on one row; only counts by stratum are shuffled.
 """
@@ -14,7 +19,7 @@ Everything is DataFrame functions on one row; only counts by stratum are shuffle
 import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from passbook.functions.compute import settled
@@ -27,9 +32,9 @@ BASE = {
     "access": (r"AKIA[A-Z0-9]+", 0, 16),
     "hex": (r"[0-9a-f]{32,}", 0, 32),  # the same as whole runs of 32 and more
 }
-RANDOM = (r"[A-Za-z0-9+/_-]{20,}", 0, 20)
+RANDOM, PART = (r"[A-Za-z0-9+/_-]{20,}", 0, 20), (r"[A-Za-z0-9]{20,}", 0, 20)
 #: A text without this has no match of the kind.
-NEEDS = {"assign": r"[:=]", "access": "AKIA", "hex": r"[0-9a-f]{32}", "random": r"[A-Za-z0-9+/_-]{20}"}
+NEEDS = {"assign": r"[:=]", "access": "AKIA", "hex": r"[0-9a-f]{32}", "random": r"[A-Za-z0-9+/_-]{20}", "part": r"[A-Za-z0-9]{20}"}
 DIGITS = "0123456789"
 #: Encoding: alphabet, sizes of its kinds of symbols in alphabet order; small alphabets first.
 ENCODINGS = {
@@ -45,6 +50,8 @@ ENCODINGS = {
 }
 MIN_BITS = 80
 MIN_P, BINS, RATE = 0.001, 1000, 0.05
+#: Strings that are not random and reach MIN_P, per random one of a bit; what the guess counts for, in such strings.
+LEAK, GUESS = 16.0, 2.0
 CHUNK = 256
 
 
@@ -146,13 +153,19 @@ def placed(spans: Column, kind: str) -> Column:
 
 def found(docs: DataFrame, text: str) -> DataFrame:
     """``docs`` with base (spans of the fixed shapes) and candidates (further strings, tested)."""
-    df = match_spans(settled(docs, __text=F.coalesce(F.col(text), F.lit(""))), "__text", {**BASE, "random": RANDOM})
+    df = match_spans(settled(docs, __text=F.coalesce(F.col(text), F.lit(""))), "__text", {**BASE, "random": RANDOM, "part": PART})
     spans = [placed(F.expr(f"filter({kind}, x -> x.n >= {least})"), kind) for kind, (_, _, least) in BASE.items()]
     df = settled(df, base=F.sort_array(F.concat(*spans)).cast(SPAN)).drop("__text")
+    # runs that no encoding holds, and the parts inside them
+    mixed = F.filter("random", lambda x: x["value"].rlike("[+/]") & x["value"].rlike("[_-]"))
+    df = settled(df, mixed=mixed)
+    parts = F.filter("part", lambda x: F.exists("mixed", lambda m: (m["start"] <= x["start"]) & (x["end"] <= m["end"])))
+    parts = F.when(F.size("mixed") > 0, F.concat(F.array_except("random", "mixed"), parts)).otherwise(F.col("random"))
+    df = settled(df, whole=parts)
     free = F.filter(
-        "random", lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
+        "whole", lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
     )
-    df = settled(df, candidates=free).drop(*KINDS)
+    df = settled(df, candidates=free).drop(*KINDS, "part", "mixed", "whole")
     tested = F.transform(
         "candidates", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), fit(x["value"]).alias("fit"))
     )
@@ -169,24 +182,55 @@ def found(docs: DataFrame, text: str) -> DataFrame:
     )
 
 
+def least_bits(stratum: str) -> float:
+    """Bits of the shortest string of a stratum."""
+    encoding, doublings = stratum.split(":")
+    return max(MIN_BITS, 2 ** int(doublings) * math.log2(len(ENCODINGS[encoding][0])))
+
+
+def leaks(counts: dict[str, dict[int, int]], guess: float, rounds: int = 100) -> float:
+    """How many times the guessed number of strings that are not random reach MIN_P in ``counts`` (stratum: bin: n).
+
+    Expectation maximisation of a mixture of uniform and log-uniform p-values, shrunk towards ``guess``.
+    """
+    theta = guess
+    for _ in range(rounds):
+        other = expected = 0.0
+        for stratum, bins in counts.items():
+            odds = LEAK / least_bits(stratum)
+            for b, n in bins.items():
+                density = theta * odds / ((b + 0.5) / BINS * -math.log(MIN_P))
+                other += n * density / (1 + density)
+                expected += n / (1 + density) * odds
+        theta = (other + GUESS) / (expected + GUESS / guess)
+    return theta
+
+
 def thresholds(df: DataFrame, rate: float = RATE) -> dict[str, float]:
     """Stratum: least p-value that is accepted; a stratum may have none.
 
-    Twice the strings above one half estimate how many are random, and so how many of those
-    accepted from t on.  Counts go by bins of p: a bounded table, and one number per stratum
-    (encodings times doublings of length) reaches the driver.
+    Counts go by stratum (encodings times doublings of length) and bin of p from MIN_P on: a table
+    of bounded size, which reaches the driver.
     """
     one = df.select(F.explode("candidates").alias("c")).select(
         "c.stratum", F.least(F.lit(BINS - 1), F.floor(F.col("c.p") * BINS)).cast("int").alias("bin")
     )
-    counts = cut(one.groupBy("stratum", "bin").agg(F.count(F.lit(1)).alias("n")))
-    from_here = Window.partitionBy("stratum").orderBy(F.col("bin").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    random = 2 * F.sum(F.when(F.col("bin") >= BINS // 2, F.col("n")).otherwise(0)).over(Window.partitionBy("stratum"))
-    t = F.col("bin") / BINS
-    kept = counts.withColumns({"accepted": F.sum("n").over(from_here), "random": random, "t": t}).filter(
-        (F.col("t") >= MIN_P) & (F.col("random") * (1 - F.col("t")) >= (1 - rate) * F.col("accepted"))
-    )
-    return {r["stratum"]: r["t"] for r in kept.groupBy("stratum").agg(F.min("t").alias("t")).collect()}
+    counts: dict[str, dict[int, int]] = {}
+    for r in one.filter(F.col("bin") >= MIN_P * BINS).groupBy("stratum", "bin").agg(F.count(F.lit(1)).alias("n")).collect():
+        counts.setdefault(r["stratum"], {})[r["bin"]] = r["n"]
+    overall, limits = leaks(counts, 1.0), {}
+    for encoding in sorted({s.split(":")[0] for s in counts}):
+        own = {s: bins for s, bins in counts.items() if s.split(":")[0] == encoding}
+        theta = leaks(own, overall)
+        for stratum, bins in own.items():
+            odds = leaks({stratum: bins}, theta) * LEAK / least_bits(stratum)
+            for b in range(round(MIN_P * BINS), BINS):
+                t = b / BINS
+                other = odds * math.log(t) / math.log(MIN_P)
+                if other <= rate * (other + 1 - t):
+                    limits[stratum] = t
+                    break
+    return limits
 
 
 def accepted(limits: dict[str, float]) -> Column:

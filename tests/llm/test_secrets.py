@@ -95,3 +95,49 @@ def test_battery_and_threshold(spark):
     n = len(keys)
     assert sum(hit[i] for i in range(n)) > 0.8 * n
     assert sum(hit[i] for i in range(n, n + len(words))) <= 0.05 * n
+
+
+def key(rng, n=40):
+    return "".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=n))
+
+
+def test_one_key_needs_no_crowd(spark):
+    rng = random.Random(11)
+    lone = [[(1, f"see {key(rng)} there")] for _ in range(2)]
+    for rows in lone:
+        assert [r.n_random for r in secrets.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()] == [1]
+    words = [(i, "".join(rng.choices(["verein", "keit", "ung", "sch", "haupt", "lich"], k=9))[:40]) for i in range(5)]
+    assert all(r.n_random == 0 for r in secrets.scan(spark.createDataFrame(words, "doc_id bigint, text string")).collect())
+
+
+def test_runs_of_no_encoding_go_by_parts(spark):
+    value = key(random.Random(12))
+    text = f"http://host/a-b/c_d/{value}/end-of_it"
+    got = secrets.scan(spark.createDataFrame([(1, text), (2, "a-b/" * 5000)], "doc_id bigint, text string"))
+    at = text.index(value)
+    assert {r.doc_id: r.spans for r in got.collect()} == {1: f"random:{at}:{at + len(value)}", 2: ""}
+
+
+def test_leaks_by_likelihood():
+    """The iteration ends at the fixed point that a plain scan over values finds."""
+    rng = random.Random(13)
+    counts = {"base62:5": {}, "hex:6": {}}
+    for bins in counts.values():
+        for _ in range(60):
+            p = rng.random() if rng.random() < 0.5 else 0.001 ** rng.random()
+            b = min(999, max(1, int(1000 * p)))
+            bins[b] = bins.get(b, 0) + 1
+
+    def value(theta):
+        """How far one step of the iteration moves theta."""
+        other = expected = 0.0
+        for stratum, bins in counts.items():
+            odds = secrets.LEAK / secrets.least_bits(stratum)
+            for b, n in bins.items():
+                d = theta * odds / ((b + 0.5) / 1000 * math.log(1000))
+                other, expected = other + n * d / (1 + d), expected + n * odds / (1 + d)
+        return abs((other + secrets.GUESS) / (expected + secrets.GUESS) - theta) / theta
+
+    found = secrets.leaks(counts, 1.0)
+    best = min((1.02**i for i in range(-100, 400)), key=value)
+    assert abs(math.log(found / best)) < 0.05
