@@ -12,6 +12,7 @@ rank among the pieces of its length, which is the piece's number in its task plu
 of the tasks before.
 """
 
+import json
 import re
 import zlib
 from array import array
@@ -46,13 +47,16 @@ class Encoder:
     Between a letter and a space nothing in the pre-tokenizer's pattern reaches over, so a
     text falls into stretches at its spaces; what a stretch and what a pre-token became is
     remembered.  A text with other white space beside a space is split by the pattern as a
-    whole; a text with a special token goes through the tokenizer's own pipeline.
+    whole; a text with a special token goes through the tokenizer's own pipeline, and so does
+    every text of a file that normalises or splits texts in another way.
     """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.special = re.compile("|".join(added) or r"(?!)")
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        self.special = re.compile("|".join(added) or r"(?!)") if plain_bytes(path) else re.compile("")
         self.spaced = re.compile(r" \s|\s ")
         self.split = regex.compile(PATTERN).findall
         self.model = self.tokenizer.model
@@ -97,6 +101,15 @@ class Encoder:
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+def plain_bytes(path: str) -> bool:
+    """Whether a tokenizer file is byte-level BPE that splits by PATTERN and changes no text before."""
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    first = spec.get("pre_tokenizer") or {}
+    splits = first.get("type") == "ByteLevel" and first.get("use_regex", True) and not first.get("add_prefix_space", True)
+    return splits and not spec.get("normalizer") and (spec.get("model") or {}).get("type") == "BPE"
+
+
 def byte_alphabet() -> tuple[list[str], list[int]]:
     """The characters that stand for bytes, and the bytes: printable ones for themselves."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]

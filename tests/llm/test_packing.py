@@ -68,3 +68,15 @@ def test_combinations_use_the_histogram_up():
             used[size] += n
     assert all(used[s] <= n for s, n in histogram.items())
     assert used[12] + used[20] >= 1900 and used[22] + used[10] >= 700
+
+
+def test_encoder_of_any_file():
+    """Files that normalise or split otherwise give their own ids too."""
+    texts = ["", "Plain text, it's 12 o'clock.", "two  spaces\tand\n\nlines ", "ÉTÉ naïve 123456 \u4f60\u597d", " x" * 500]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        path = f"/opt/tokenizers/{name}"
+        plain = Tokenizer.from_file(path)
+        assert packing.plain_bytes(path) == name.startswith("byte")
+        for text in texts:
+            got = np.frombuffer(packing.Encoder(path).encode(text), "<u4").tolist()
+            assert got == plain.encode(text, add_special_tokens=False).ids
