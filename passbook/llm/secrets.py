@@ -202,7 +202,9 @@ def leaks(counts: dict[str, dict[int, int]], guess: float, rounds: int = 100) ->
                 density = theta * odds / ((b + 0.5) / BINS * -math.log(MIN_P))
                 other += n * density / (1 + density)
                 expected += n / (1 + density) * odds
-        theta = (other + GUESS) / (expected + GUESS / guess)
+        before, theta = theta, (other + GUESS) / (expected + GUESS / guess)
+        if abs(theta - before) < 1e-6 * theta:
+            break
     return theta
 
 
