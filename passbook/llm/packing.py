@@ -16,7 +16,7 @@ import json
 import re
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations_with_replacement
 
 import numpy as np
@@ -35,12 +35,33 @@ from passbook.storage import cut
 WINDOW, UNIT = 2048, 64
 DEPTH = 3
 SLICE_BYTES = 2_000_000
-#: Stretches and pre-tokens kept per Python worker.
-MEMO = 400_000
+#: Stretches and pre-tokens kept per Python worker, and as many of the time before.
+MEMO = 300_000
 #: Piece kinds: whole windows, bodies (of UNIT tokens), tails (of single tokens).
 FULL, BODY, TAIL = 0, 1, 2
 
 
+class Spaced(Exception):
+    """A space beside other white space: the pattern may reach over it."""
+
+
+class Memo(dict):
+    """Ids by text, from ``compute`` where unknown; after MEMO texts those not met again are forgotten."""
+
+    def __init__(self, compute: Callable[[str], bytes]):
+        self.compute, self.before = compute, {}
+
+    def __missing__(self, text: str) -> bytes:
+        if len(self) >= MEMO:
+            self.before = dict(self)
+            self.clear()
+        found = self.before.get(text)
+        if found is None:
+            found = self.compute(text)
+        self[text] = found
+        return found
+
+
 class Encoder:
     """Ids of a text as little-endian unsigned 32-bit bytes, for byte-level BPE vocabularies.
 
@@ -57,44 +78,40 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.special = re.compile("|".join(added) or r"(?!)") if plain_bytes(path) else re.compile("")
-        self.spaced = re.compile(r" \s|\s ")
         self.split = regex.compile(PATTERN).findall
         self.model = self.tokenizer.model
         self.bytes = {b: c for c, b in zip(*byte_alphabet(), strict=True)}
-        self.stretches: dict[str, bytes] = {}
-        self.tokens: dict[str, bytes] = {}
+        self.tokens, self.stretches = Memo(self.token), Memo(self.stretch)
 
     def token(self, token: str) -> bytes:
         """Ids of one pre-token."""
-        spelled = "".join([self.bytes[b] for b in token.encode()])
+        if token.isascii() and token.isprintable():
+            spelled = token.replace(" ", self.bytes[0x20])
+        else:
+            spelled = "".join([self.bytes[b] for b in token.encode()])
         return array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
 
+    def stretch(self, word: str) -> bytes:
+        """Ids of a word and the space before it."""
+        if word.isalpha():  # one pre-token
+            return self.token(" " + word)
+        if not word or word[0].isspace() or word[-1].isspace():
+            raise Spaced
+        return self.ids(" " + word)
+
     def ids(self, text: str) -> bytes:
-        out, tokens = [], self.tokens
-        for token in self.split(text):
-            found = tokens.get(token)
-            if found is None:
-                found = tokens[token] = self.token(token)
-            out.append(found)
-        return b"".join(out)
+        return b"".join(map(self.tokens.__getitem__, self.split(text)))
 
     def encode(self, text: str) -> bytes:
-        if len(self.tokens) > MEMO:
-            self.tokens.clear()
-        if len(self.stretches) > MEMO:
-            self.stretches.clear()
         if self.special.search(text):
             return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-        if self.spaced.search(text):
+        first, *words = text.split(" ")
+        if first[-1:].isspace():
+            return self.ids(text)
+        try:
+            return self.ids(first) + b"".join(map(self.stretches.__getitem__, words))
+        except Spaced:
             return self.ids(text)
-        out, known = [], self.stretches
-        for i, word in enumerate(text.split(" ")):
-            word = " " + word if i else word
-            found = known.get(word)
-            if found is None:
-                found = known[word] = self.ids(word)
-            out.append(found)
-        return b"".join(out)
 
 
 #: Fixed value: the pattern byte-level BPE vocabularies split texts by.
