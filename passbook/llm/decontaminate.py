@@ -41,7 +41,7 @@ BLOOM_BITS = 1 << 23
 SLICE_BYTES = 2_000_000
 MEMO = 400_000
 
-TOKEN = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+|[.!?:\n]")
+TOKEN = re.compile(r"[^\W\d_]+|[.!?:\n]|\d+(?:[.,]\d+)*")
 UNITS = frozenset(
     "km m cm mm kg g mg t lb lbs oz l ml mile miles yard yards foot feet inch inches hour hours minute minutes second seconds "
     "day days week weeks month months year years dollar dollars euro euros cent cents percent degrees metre metres meter meters "
@@ -52,18 +52,16 @@ NAMES = {NUMBER: "number", UNIT: "unit", CAPITAL: "name"}
 MIX = np.array([pow(0x9E3779B97F4A7C15, 2 * j + 1, 1 << 64) for j in range(WINDOW)], dtype=np.uint64)
 
 
-class Templates:
-    """Template words of texts, as kinds and 64-bit hashes."""
+class Templates(dict):
+    """Template words of texts, as kinds and 64-bit hashes; the dictionary numbers the tokens."""
 
     def __init__(self):
-        self.clear()
-
-    def clear(self):
-        self.index: dict[str, int] = {}
+        super().__init__()
         self.kinds, self.hashes, self.values = np.zeros(1024, np.int8), np.zeros(1024, np.uint64), np.zeros(1024, np.uint64)
 
-    def add(self, token: str) -> int:
+    def __missing__(self, token: str) -> int:
         low = token.lower()
+        value = xxhash.xxh3_64_intdigest(low.encode("utf-8", "surrogatepass"))
         if token in ".!?:\n":
             kind = MARK
         elif token[0].isdigit():
@@ -72,28 +70,23 @@ class Templates:
             kind = UNIT
         else:
             kind = CAPITAL if token[0].isupper() else PLAIN
-        name = "\x00" + NAMES[kind] if kind in (NUMBER, UNIT) else low
-        at = self.index[token] = len(self.index)
+        at = self[token] = len(self)
         if at == len(self.kinds):
             self.kinds = np.concatenate([self.kinds, np.zeros_like(self.kinds)])
             self.hashes = np.concatenate([self.hashes, np.zeros_like(self.hashes)])
             self.values = np.concatenate([self.values, np.zeros_like(self.values)])
-        self.kinds[at] = kind
-        self.values[at] = xxhash.xxh3_64_intdigest(low.encode("utf-8", "surrogatepass"))
-        self.hashes[at] = xxhash.xxh3_64_intdigest(name.encode("utf-8", "surrogatepass"))
+        self.kinds[at], self.values[at] = kind, value
+        self.hashes[at] = xxhash.xxh3_64_intdigest("\x00" + NAMES[kind]) if kind in (NUMBER, UNIT) else value
         return at
 
     NAME_HASH = np.uint64(0xA5B3_5705_0F0E_1F2D)
 
     def of(self, text: str) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Tokens, and of the words among them: place, kind, hash, hash with names as words, hash of the word itself."""
-        if len(self.index) > MEMO:
+        if len(self) > MEMO:
             self.clear()
-        tokens, index = TOKEN.findall(text), self.index
-        at = list(map(index.get, tokens))
-        if None in at:
-            at = [i if i is not None else index[t] if t in index else self.add(t) for i, t in zip(at, tokens, strict=True)]
-        at = np.array(at, dtype=np.int64)
+        tokens = TOKEN.findall(text)
+        at = np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
         kinds, hashes = self.kinds[at], self.hashes[at]
         first = np.ones(len(at), dtype=bool)
         first[1:] = kinds[:-1] == MARK
