@@ -366,6 +366,11 @@ MARKS = {
     FROM documents""",
 )
 def detect_source(spark, sf_dir):
+    found = _detected(spark, sf_dir)
+    return found.select("doc_id", "profile", "error", F.size("matches").cast("long").alias("n_matches"))
+
+
+def _detected(spark, sf_dir):
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     mark = None
     for n, marks in MARKS.items():
@@ -373,8 +378,23 @@ def detect_source(spark, sf_dir):
         mark = F.when(hit, marks) if mark is None else mark.when(hit, marks)
     docs = docs.withColumn("text", F.concat(F.col("text"), F.lit("\n"), F.coalesce(mark, F.lit(""))))
     docs = docs.withColumn("filename", F.when(F.col("doc_id") % 7 == 6, "a.csv").otherwise("a.pdf"))
-    found = dt.detect_source(docs)
-    return found.select("doc_id", "profile", "error", F.size("matches").cast("long").alias("n_matches"))
+    return dt.detect_source(docs)
+
+
+@register(
+    "layout_catalogue",
+    """WITH layouts (profile, bank, product, format, priority, rest) AS (VALUES ('hdfc_credit_card', 'hdfc', 'credit_card', 'pdf', 60, 0),
+      ('icici_credit_card', 'icici', 'credit_card', 'pdf', 60, 1), ('hdfc_bank_pdf', 'hdfc', 'bank_statement', 'pdf', 55, 2),
+      ('hdfc_credit_card_legacy', 'hdfc', 'credit_card', 'pdf', 59, 3), ('hdfc_bank_csv', 'hdfc', 'bank_statement', 'csv', 40, -1))
+    SELECT profile, bank, product, format, priority, count(doc_id) AS n_files FROM layouts LEFT JOIN documents
+      ON rest = CASE WHEN doc_id % 7 = 6 THEN -1 ELSE doc_id % 6 END GROUP BY ALL""",
+)
+def layout_catalogue(spark, sf_dir):
+    """The layouts with the number of files each one alone fits."""
+    files = _detected(spark, sf_dir).groupBy("profile").agg(F.count(F.lit(1)).alias("n"))
+    return dt.catalogue(spark).join(files, "profile", "left").select(
+        "profile", "bank", "product", "format", "priority", F.coalesce("n", F.lit(0)).cast("long").alias("n_files")
+    )
 
 
 # ---------------------------------------------------------------- CSV

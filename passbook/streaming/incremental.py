@@ -1,7 +1,9 @@
 """Imports that run as files or rows arrive."""
 
+import datetime as dt
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
@@ -56,13 +58,7 @@ def deduplicated(records: DataFrame, store: str, checkpoint: str) -> StreamingQu
         hashed = with_hash(batch).withColumn("day", F.to_date("transaction_date"))
         kept = F.min_by(F.struct(*[c for c in hashed.columns if c != "dedup_hash"]), "seq").alias("kept")
         first = cut(hashed.groupBy("dedup_hash").agg(kept).select("kept.*", "dedup_hash"))
-        # one row per calendar day
-        days = [r["day"] for r in first.select("day").distinct().collect()]
-        dated = [d for d in days if d is not None]
-        of_days = F.col("day").isin(dated) if dated else F.lit(False)
-        if len(dated) < len(days):
-            of_days |= F.col("day").isNull()
-        stored = read_deduplicated(spark, store, batch.schema, label).filter(of_days).select("dedup_hash")
+        stored = read_deduplicated(spark, store, batch.schema, label).filter(_of_days(_days(first))).select("dedup_hash")
         new = first.join(stored, "dedup_hash", "left_anti").select(*batch.columns, "dedup_hash", "day")
         new.write.mode("overwrite").partitionBy("day").parquet(f"{store}/batch={label}")
 
@@ -81,11 +77,11 @@ def write_once(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
 
 STORED = (
     "id bigint, transaction_date timestamp_ntz, amount decimal(12,2), transaction_type string, "
-    "original_description string, cleaned_description string, external_id string, source_type string, batch string"
+    "original_description string, cleaned_description string, external_id string, source_type string, batch string, day date"
 )
 UPGRADES = (
     "id bigint, original_description string, cleaned_description string, source_type string, external_id string, "
-    "batch string"
+    "batch string, day date"
 )
 
 
@@ -99,14 +95,35 @@ def _read(spark: SparkSession, folder: str, schema: str, without: str | None) ->
     return rows if without is None else rows.filter(F.col("batch") != without)
 
 
-def read_store(spark: SparkSession, store: str, without: str | None = None) -> DataFrame:
+def read_store(
+    spark: SparkSession, store: str, without: str | None = None, days: list[dt.date | None] | None = None
+) -> DataFrame:
     """The ledger the import keeps, with the upgrades later batches brought; optionally without one batch.
 
-    A row is upgraded once at most, because it then comes from the best source.
+    A row is upgraded once at most, because it then comes from the best source.  ``days``: only
+    the rows of these days (None: rows without a date); files of other days are not opened.
+    An upgrade is filed under the day of its row.
     """
-    rows = _read(spark, f"{store}/rows", STORED, without)
-    upgrades = _read(spark, f"{store}/upgrades", UPGRADES, without)
-    return apply_upgrades(rows, upgrades)
+    rows, upgrades = _read(spark, f"{store}/rows", STORED, without), _read(spark, f"{store}/upgrades", UPGRADES, without)
+    if days is not None:
+        rows, upgrades = rows.filter(_of_days(days)), upgrades.filter(_of_days(days))
+    return apply_upgrades(rows.drop("day"), upgrades)
+
+
+def _days(rows: DataFrame) -> list[dt.date | None]:
+    """The days of ``rows``, one row per calendar day; None where some have no date."""
+    return [r["day"] for r in rows.select(F.to_date("transaction_date").alias("day")).distinct().collect()]
+
+
+def _of_days(days: list[dt.date | None]) -> Column:
+    dated = [d for d in days if d is not None]
+    found = F.col("day").isin(dated) if dated else F.lit(False)
+    return found | F.col("day").isNull() if len(dated) < len(days) else found
+
+
+def _write_by_day(rows: DataFrame, path: str) -> None:
+    """Replaces ``path``, one folder per day; a day of very many rows is written by several tasks."""
+    rows.hint("rebalance", "day").write.mode("overwrite").partitionBy("day").parquet(path)
 
 
 def incremental_import(
@@ -117,15 +134,20 @@ def incremental_import(
     ``seq`` must be unique over all records; it becomes the id.  Each batch of a source writes
     its own folders below ``store``, so a batch that runs again after a failure replaces its
     rows instead of adding them twice.  One ``checkpoint`` belongs to one source.
+
+    Duplicates share their day, so rows and upgrades are stored by day and a batch only reads
+    the days it has records of: its cost follows the batch, not the ledger.
     """
 
     def add(batch: DataFrame, batch_id: int) -> None:
         label = f"{source_type}-{batch_id}"
-        decisions = cut(fuzzy_dedup(read_store(batch.sparkSession, store, label), batch, source_type))
+        stored = read_store(batch.sparkSession, store, label, _days(batch))
+        decisions = cut(fuzzy_dedup(stored, batch, source_type))
+        day = F.to_date("transaction_date").alias("day")
         rows = new_rows(batch, decisions, source_type, parser_metadata or {"source": source_type})
-        rows.withColumn("id", F.col("seq")).write.mode("overwrite").parquet(f"{store}/rows/batch={label}")
-        upgrades = source_upgrades(decisions, batch)
-        upgrades.write.mode("overwrite").parquet(f"{store}/upgrades/batch={label}")
+        _write_by_day(rows.select("*", F.col("seq").alias("id"), day), f"{store}/rows/batch={label}")
+        own_day = decisions.filter("upgrades").join(batch.select("seq", day), "seq").select(F.col("matched_id").alias("id"), "day")
+        _write_by_day(source_upgrades(decisions, batch).join(own_day, "id"), f"{store}/upgrades/batch={label}")
 
     return (
         records.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

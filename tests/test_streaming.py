@@ -3,6 +3,8 @@
 import datetime as dt
 from decimal import Decimal
 
+import pytest
+
 from passbook.streaming import incremental as inc
 
 SCHEMA = (
@@ -45,6 +47,29 @@ def test_incremental_import(spark, tmp_path):
     )
 
 
+def test_import_opens_only_the_days_of_a_batch(spark, tmp_path):
+    """Files of other days are spoilt: a batch still runs, with duplicates and an upgrade of its own day."""
+    store, pdf, csv = (str(tmp_path / n) for n in ("store", "pdf", "csv"))
+    write(spark, pdf, [record(1, 1, "CARD SHOP LONDON 12"), record(2, 2, "OTHER SHOP PARIS"), record(3, 3, "THIRD SHOP ROME")])
+    run(spark, pdf, store, "bank_pdf", str(tmp_path / "state1"))
+    write(spark, csv, [record(4, 2, "OTHER SHOP PARIS", "0007")])
+    run(spark, csv, store, "bank_csv", str(tmp_path / "state2"))
+    of_two = inc.read_store(spark, store, days=[dt.date(2026, 1, 2)]).collect()
+    assert [(r["id"], r["source_type"], r["external_id"]) for r in of_two] == [(2, "bank_csv", "0007")]
+    spoilt = [f for f in (tmp_path / "store").glob("*/batch=*/day=2026-01-02/*.parquet")]
+    assert len(spoilt) == 2
+    for f in spoilt:
+        f.write_bytes(b"no parquet")
+        (f.parent / f".{f.name}.crc").unlink()
+    write(spark, csv, [record(5, 1, "CARD SHOP LONDON", "0042"), record(6, 3, "THIRD  SHOP ROME"), record(7, 4, "FOURTH")])
+    run(spark, csv, store, "bank_csv", str(tmp_path / "state2"))
+    days = [dt.date(2026, 1, d) for d in (1, 3, 4)]
+    rows = {r["id"]: (r["source_type"], r["external_id"]) for r in inc.read_store(spark, store, days=days).collect()}
+    assert rows == {1: ("bank_csv", "0042"), 3: ("bank_csv", None), 7: ("bank_csv", None)}
+    with pytest.raises(Exception, match="parquet"):
+        inc.read_store(spark, store).collect()
+
+
 def test_stream_exact_dedup(spark, tmp_path):
     source = str(tmp_path / "in")
     write(spark, source, [record(1, 1, "A B"), record(2, 1, "A  B"), record(3, 2, "A B")])
