@@ -21,12 +21,11 @@ def test_planted(spark):
     frame = spark.createDataFrame([(*d, "x") for d in docs], "doc_id bigint, text string, hash string")
     bench = spark.createDataFrame([(*i, "x") for i in items], "item_id bigint, text string, size string")
     got = {(r.doc_id, r.item_id): r for r in dc.contaminated(frame, bench).collect()}
-    # upper-case words inside a sentence read as names: document 7 is a template at best
-    assert {k for k in got if k[0] != 7} == {(1, 1), (2, 1), (8, 3), (None, 6), (11, 2), (12, 6)}
+    assert set(got) == {(1, 1), (2, 1), (7, 2), (8, 3), (None, 6), (11, 2), (12, 6)}
     assert got[1, 1].kind == "exact" and got[2, 1].kind == "template" and got[2, 1].covered >= 20
     left = dc.drop_contaminated(frame, bench)
     assert left.columns == frame.columns
-    assert {r.doc_id for r in left.collect()} - {7} == {3, 4, 5, 6, 9, 10}
+    assert {r.doc_id for r in left.collect()} == {3, 4, 5, 6, 9, 10}
     assert dc.contaminated(frame.limit(0), bench).count() == 0
     assert dc.contaminated(frame, bench.limit(0)).count() == 0
 
