@@ -95,8 +95,11 @@ def train(labelled: DataFrame, text: str = "text", label: str = "quality", key:
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, key: str, text: str, most: int) -> DataFrame:
-    """(key, text, label) of the ``most`` labelled documents whose key's hash is smallest."""
-    chosen = labels.filter(F.col(label).isNotNull()).select(key, label).dropDuplicates([key])
+    """(key, text, label) of the ``most`` labelled documents whose key's hash is smallest.
+
+    Of several labels of one key the smallest counts; null labels and keys are left out.
+    """
+    chosen = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.min(label).alias(label))
     chosen = chosen.orderBy(F.xxhash64(key), key).limit(most)
     return docs.select(key, text).join(F.broadcast(chosen), key)  # bounded by `most`
 

@@ -59,3 +59,12 @@ def test_odd_rows(spark):
     assert qc.classify(docs.limit(0), np.zeros(qc.DENSE + qc.WORDS), ["source"]).count() == 0
     none = spark.createDataFrame([], "doc_id bigint, quality int")
     assert not qc.train(qc.sample(docs, none, "quality", "doc_id", "text", 10)).any()
+
+
+def test_sample_of_contradicting_labels(spark):
+    docs = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c"), (3, "d")], "doc_id bigint, text string")
+    labels = [(1, 1), (1, 0), (1, None), (2, 1), (2, 1), (None, 1), (3, None)]
+    frame = spark.createDataFrame(labels, "doc_id bigint, quality int")
+    got = qc.sample(docs, frame, "quality", "doc_id", "text", 10).collect()
+    assert sorted((r.doc_id, r.text, r.quality) for r in got) == [(1, "a", 0), (2, "b", 1)]
+    assert qc.sample(docs, frame.limit(0), "quality", "doc_id", "text", 10).count() == 0
