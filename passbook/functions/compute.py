@@ -12,6 +12,15 @@ def spread_key(key: str, by: str = "id") -> Column:
     return F.coalesce(F.col(key).cast("string"), F.concat(F.lit("~"), F.hash(by).cast("string")))
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """A side of a join that grows with the input: it is shuffled, whatever its estimated size.
+
+    Estimates follow the compressed files and see neither exploded rows nor built texts; a side
+    taken for small would be broadcast, and a broadcast passes whole through the driver.
+    """
+    return df.hint("merge")
+
+
 def settled(df: DataFrame, **columns: Column) -> DataFrame:
     """``df`` with further (or replaced) columns that are worked out once per row.
 

@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from passbook.functions.compute import settled
+from passbook.functions.compute import settled, shuffled
 from passbook.functions.text import collapse, group1, nonempty, parse_date, strip
 from passbook.sources.statement_text import NO_DESCRIPTION
 
@@ -72,7 +72,7 @@ def card_table_rows(cells: DataFrame) -> DataFrame:
     headers = headers.filter(F.col("at.date").isNotNull() & F.col("at.amount").isNotNull()).select(
         *key, F.col("header.row_no").alias("header_no"), "at"
     )
-    rows = cells.join(headers, key).filter(F.col("row_no") > F.col("header_no"))
+    rows = cells.join(shuffled(headers), key).filter(F.col("row_no") > F.col("header_no"))
 
     def cell(name):
         return F.coalesce(_cell(F.col("cells"), F.col(f"at.{name}")), F.lit(""))
@@ -127,7 +127,7 @@ def account_table_rows(cells: DataFrame) -> DataFrame:
     tables = (
         cells.filter("row_no = 0")
         .select(*key, F.size("cells").alias("width"))
-        .join(headers, key, "left")
+        .join(shuffled(headers), key, "left")
         .select(
             *key,
             F.coalesce("header_no", F.lit(-1)).alias("header_no"),
@@ -135,7 +135,7 @@ def account_table_rows(cells: DataFrame) -> DataFrame:
         )
         .filter(F.col("at").isNotNull())
     )
-    rows = cells.filter(F.size("cells") >= 5).join(tables, key).filter(F.col("row_no") > F.col("header_no"))
+    rows = cells.filter(F.size("cells") >= 5).join(shuffled(tables), key).filter(F.col("row_no") > F.col("header_no"))
 
     def cell(name):
         return F.coalesce(_cell(F.col("cells"), F.col(f"at.{name}")), F.lit(""))
