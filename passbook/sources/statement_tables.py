@@ -173,7 +173,7 @@ def word_rows(words: DataFrame) -> DataFrame:
     placed = words.select(*key, "x0", "text", (F.bround(F.col("top") / 6) * 6).alias("y"))
     lines = placed.groupBy(*key, "y").agg(F.sort_array(F.collect_list(F.struct("x0", "text"))).alias("words"))
     header = _column_edges(lines)
-    rows = lines.join(header, key).filter(F.col("y") > F.col("header_y"))
+    rows = lines.join(shuffled(header), key).filter(F.col("y") > F.col("header_y"))
 
     def part(low, high):
         inside = F.filter(

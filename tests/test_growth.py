@@ -26,3 +26,13 @@ def test_headers_of_account_tables_are_not_broadcast(spark):
     rows = st.account_table_rows(cells)
     assert "Broadcast" not in _plan(rows)
     assert [(r.row_no, str(r.amount), r.transaction_type) for r in rows.collect()] == [(1, "3.00", "expense")]
+
+
+def test_column_edges_of_word_rows_are_not_broadcast(spark):
+    words = [
+        ("a", 1, 10.0, 100.0, "DATE"), ("a", 1, 100.0, 100.0, "DESCRIPTION"), ("a", 1, 300.0, 100.0, "AMOUNT"),
+        ("a", 1, 10.0, 120.0, "01/02/2024"), ("a", 1, 110.0, 120.0, "SHOP"), ("a", 1, 300.0, 120.0, "3.00"),
+    ]
+    rows = st.word_rows(spark.createDataFrame(words, "file string, page int, x0 double, top double, text string"))
+    assert "Broadcast" not in _plan(rows)
+    assert [(r.description, str(r.amount)) for r in rows.collect()] == [("SHOP", "3.00")]
