@@ -8,6 +8,8 @@ pattern, and pieces meet patterns by equality.  The result is exact.
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from passbook.functions.compute import shuffled
+
 HEAD = 3
 
 
@@ -32,6 +34,8 @@ def contained(texts: DataFrame, patterns: DataFrame, by: list[str] | None = None
         "head",
         F.explode(F.array_distinct(F.array(*[F.col("text").substr(F.col("at"), F.lit(n)) for n in range(1, HEAD + 1)]))),
     )
+    # three letters have few values, so all heads fit everywhere; with further keys they may be many
+    heads = shuffled(heads) if by else F.broadcast(heads)
     pieces = (
         starts.join(heads, by + ["head"])
         .withColumn("size", F.explode("sizes"))
@@ -39,4 +43,4 @@ def contained(texts: DataFrame, patterns: DataFrame, by: list[str] | None = None
         .select(*by, "text", F.col("text").substr(F.col("at"), F.col("size")).alias("pattern"))
         .distinct()
     )
-    return pieces.join(pats, by + ["pattern"]).select(*by, "text", "pattern")
+    return pieces.join(shuffled(pats), by + ["pattern"]).select(*by, "text", "pattern")

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from passbook.functions.compute import shuffled
 from passbook.functions.text import any_of, epoch_day, epoch_micros
 from passbook.operators.containment import contained
 from passbook.operators.ranking import lowest
@@ -46,7 +47,7 @@ def first_alias(hints: DataFrame, aliases: DataFrame) -> DataFrame:
     )
     # One alias per text is enough for literal hints, all are needed behind a wildcard check.
     firsts = listed.groupBy("text").agg(F.min(F.struct("alias_id", "alias", "alias_merchant_id")).alias("first"))
-    found = contained(firsts, h).join(firsts, "text").join(h, "pattern")
+    found = contained(firsts, h).join(shuffled(firsts), "text").join(shuffled(h), "pattern")
     escaped = F.replace(F.col("hint"), F.lit("\\"), F.lit("\\\\"))
     with_literal = (
         found.filter(
@@ -84,7 +85,7 @@ def match_merchants(ledger: DataFrame, aliases: DataFrame) -> DataFrame:
     )
     # rows without a hint get a key of their own, or they would all meet in one task
     rows = rows.withColumn("key", F.coalesce("hint", F.concat(F.lit("\u0001"), F.col("id").cast("string"))))
-    return rows.join(found.withColumnRenamed("hint", "key"), "key", "left").select(
+    return rows.join(shuffled(found.withColumnRenamed("hint", "key")), "key", "left").select(
         "id", F.coalesce("merchant_id", "alias_merchant_id").alias("new_merchant_id"), rule.alias("match_rule")
     )
 

@@ -36,3 +36,14 @@ def test_column_edges_of_word_rows_are_not_broadcast(spark):
     rows = st.word_rows(spark.createDataFrame(words, "file string, page int, x0 double, top double, text string"))
     assert "Broadcast" not in _plan(rows)
     assert [(r.description, str(r.amount)) for r in rows.collect()] == [("SHOP", "3.00")]
+
+
+def test_only_heads_and_lengths_of_aliases_are_broadcast(spark):
+    aliases = spark.createDataFrame([(1, "Corner Store 5", 3), (2, "Store", 4)], "id long, alias string, merchant_id long")
+    rows = spark.createDataFrame(
+        [(1, None, "STORE"), (2, 9, "STORE"), (3, None, None)], "id long, merchant_id long, merchant_hint string"
+    )
+    done = m.match_merchants(rows, aliases)
+    joins = [line for line in _plan(done).splitlines() if "BroadcastHashJoin" in line or "NestedLoop" in line]
+    assert all("[head#" in line and "BuildRight" in line or "[size#" in line for line in joins), joins
+    assert sorted(map(tuple, done.collect())) == [(1, 3, "alias:Corner Store 5"), (2, 9, "existing"), (3, None, "no-match")]
