@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from passbook.functions.compute import shuffled
 from passbook.functions.text import collapse, dedup_hash, first_nonempty, payment_handle
 from passbook.operators.rules import deciding_rules, first_place, listed, predicate, with_merchant
 
@@ -244,7 +245,7 @@ def process_history(ledger: DataFrame, matched: DataFrame, merchants: DataFrame,
         F.col("cleaned_description").alias("old_cleaned"),
         F.col("merchant_id").alias("old_merchant_id"),
     )
-    rows = normalized(before).join(matched, "id").withColumn("merchant_id", F.col("new_merchant_id"))
+    rows = normalized(before).join(shuffled(matched), "id").withColumn("merchant_id", F.col("new_merchant_id"))
     done = categorize(rows, merchants, rules)
     digest = dedup_hash(
         F.col("transaction_date"), F.col("amount"), F.col("original_description"), F.col("transaction_type")

@@ -7,6 +7,8 @@ mapping once more in SQL for the oracle side.
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from passbook.functions.compute import shuffled
+
 MONEY = "decimal(12,2)"
 
 
@@ -30,7 +32,7 @@ def ledger(spark: SparkSession, sf_dir: str, whole_units: bool = False) -> DataF
     events = table(spark, sf_dir, "events")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name")
     # every part is some row's text; the count comes from the file's footer
-    e = events.join(part, F.col("p_partkey") == F.col("event_id") % max(part.count(), 1))
+    e = events.join(shuffled(part), F.col("p_partkey") == F.col("event_id") % max(part.count(), 1))
     n = F.col("event_id")
     k = F.regexp_extract("props", r"(\d+)", 1).cast("int")
     value = F.floor("value") if whole_units else F.col("value")
