@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from passbook.functions import text as t
+from passbook.functions.compute import shuffled
 from passbook.operators import categorize as c
 from passbook.operators import matching as m
 from passbook.operators import rule_index
@@ -360,7 +361,7 @@ def normalize(spark, sf_dir):
 def alias_match(spark, sf_dir):
     rows = c.normalized(ledger(spark, sf_dir)).filter("merchant_id is null")
     rows = rows.select("id", F.lower("merchant_hint").alias("hint"))
-    return rows.join(m.first_alias(rows.select("hint"), aliases(spark, sf_dir)), "hint").select(
+    return rows.join(shuffled(m.first_alias(rows.select("hint"), aliases(spark, sf_dir))), "hint").select(
         "id", "alias_id", "alias", F.col("alias_merchant_id").alias("merchant_id")
     )
 
