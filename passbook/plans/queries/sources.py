@@ -10,7 +10,7 @@ from passbook.functions import similarity
 from passbook.functions import text as t
 from passbook.operators import quality as ql
 from passbook.plans.registry import register
-from passbook.plans.testdata import spread, table
+from passbook.plans.testdata import dealt, spread, table
 from passbook.sources import csv_statements as cs
 from passbook.sources import detect as dt
 from passbook.sources import statement_tables as st
@@ -46,7 +46,7 @@ o AS (SELECT o_orderkey AS k, CAST(o_orderkey AS VARCHAR) AS key, CAST(o_custkey
 
 
 def _orders(spark, sf_dir):
-    return spread(table(spark, sf_dir, "orders"))
+    return dealt(table(spark, sf_dir, "orders"))
 
 
 def _file(df, *lines):

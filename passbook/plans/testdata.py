@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from passbook.functions.compute import shuffled
 
 MONEY = "decimal(12,2)"
+ROWS_A_TASK = 50_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +28,16 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """Rows dealt out evenly, to tasks that stay equally large however many rows there are.
+
+    The splits of a scan are no measure: a file is cut by bytes, but its rows are in a few row
+    groups, and most splits may hold none.  The count comes from the files' footers.
+    """
+    tasks = -(-df.count() // ROWS_A_TASK)
+    return df.repartition(max(tasks, df.sparkSession.sparkContext.defaultParallelism))
+
+
 def ledger(spark: SparkSession, sf_dir: str, whole_units: bool = False) -> DataFrame:
     """Events as ledger rows; ``whole_units`` drops the cents so that amounts meet more often."""
     events = table(spark, sf_dir, "events")

@@ -47,3 +47,14 @@ def test_only_heads_and_lengths_of_aliases_are_broadcast(spark):
     joins = [line for line in _plan(done).splitlines() if "BroadcastHashJoin" in line or "NestedLoop" in line]
     assert all("[head#" in line and "BuildRight" in line or "[size#" in line for line in joins), joins
     assert sorted(map(tuple, done.collect())) == [(1, 3, "alias:Corner Store 5"), (2, 9, "existing"), (3, None, "no-match")]
+
+
+def test_tasks_stay_equally_large(spark, tmp_path):
+    n = 6 * testdata.ROWS_A_TASK
+    # one row group among several files: most splits hold no rows
+    spark.range(n).coalesce(1).write.parquet(str(tmp_path / "rows"))
+    for _ in range(7):
+        spark.range(0).write.mode("append").parquet(str(tmp_path / "rows"))
+    parts = testdata.dealt(spark.read.parquet(str(tmp_path / "rows"))).rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    assert sum(parts) == n
+    assert max(parts) <= 1.1 * testdata.ROWS_A_TASK
