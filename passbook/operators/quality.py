@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from passbook.functions.compute import shuffled
 from passbook.functions.text import lines_of, strip
 from passbook.schemas import SOURCE_TYPES, TRANSACTION_TYPES
 
@@ -59,7 +60,7 @@ def control_totals(records: DataFrame, expected: DataFrame, net: bool) -> DataFr
     if net:
         amount = F.when(F.col("transaction_type") == "income", -amount).otherwise(amount)
     actual = records.groupBy("file").agg(F.sum(amount).alias("actual_total"), F.count("*").alias("actual_count"))
-    both = expected.join(actual, "file", "left").withColumn(
+    both = expected.join(shuffled(actual), "file", "left").withColumn(
         "actual_total", F.coalesce("actual_total", F.lit(0).cast("decimal(12,2)"))
     )
     difference = F.abs(F.col("actual_total") - F.col("expected_total"))
@@ -75,10 +76,10 @@ def control_totals(records: DataFrame, expected: DataFrame, net: bool) -> DataFr
 
 def control_total_gate(records: DataFrame, totals: DataFrame, policy: str = "reject") -> DataFrame:
     """Records of files whose control total fails are rejected, or only marked ('warn')."""
-    failing = totals.filter(~F.col("matches")).select("file")
+    failing = shuffled(totals.filter(~F.col("matches")).select("file"))
     if policy == "reject":
         return records.join(failing, "file", "left_anti")
-    marked = failing.withColumn("mismatch", F.lit(True))
+    marked = shuffled(failing.withColumn("mismatch", F.lit(True)))
     return records.join(marked, "file", "left").withColumn(
         "warning", F.when(F.col("mismatch"), "statement total mismatch")
     ).drop("mismatch")

@@ -49,6 +49,16 @@ def test_only_heads_and_lengths_of_aliases_are_broadcast(spark):
     assert sorted(map(tuple, done.collect())) == [(1, 3, "alias:Corner Store 5"), (2, 9, "existing"), (3, None, "no-match")]
 
 
+def test_totals_of_statements_are_not_broadcast(spark):
+    records = spark.createDataFrame([("a", 1, 2.0, "expense"), ("b", 1, 9.0, "expense")], "file string, line_no long, amount double, transaction_type string")
+    records = records.withColumn("amount", records.amount.cast("decimal(12,2)"))
+    expected = spark.createDataFrame([("a", 2), ("b", 2)], "file string, expected_total long")
+    totals = ql.control_totals(records, expected, net=False)
+    for policy in ("reject", "warn"):
+        assert "Broadcast" not in _plan(ql.control_total_gate(records, totals, policy))
+    assert [r.file for r in ql.control_total_gate(records, totals).collect()] == ["a"]
+
+
 def test_tasks_stay_equally_large(spark, tmp_path):
     n = 6 * testdata.ROWS_A_TASK
     # one row group among several files: most splits hold no rows
