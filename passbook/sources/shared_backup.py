@@ -102,7 +102,7 @@ def persons(records: DataFrame, user: DataFrame | None = None, friends: DataFram
         return df.select(
             F.struct(
                 F.lit(place).alias("place"), order.cast("long").alias("order"), pos.cast("long").alias("pos"),
-                F.lit(sub).alias("sub"),
+                sub.alias("sub"),
                 F.coalesce(who["first_name"], F.lit("")).alias("first_name"),
                 F.coalesce(who["last_name"], F.lit("")).alias("last_name"),
                 F.coalesce(who["email"], F.lit("")).alias("email"),
@@ -112,17 +112,15 @@ def persons(records: DataFrame, user: DataFrame | None = None, friends: DataFram
         )
 
     who = F.struct("id", "first_name", "last_name", "email")
-    parts = [
-        ranked(records, 2, F.col("line_no"), F.lit(-1), 0, F.col("created_by")),
-        ranked(
-            records.select("line_no", F.posexplode("users").alias("pos", "entry")),
-            2, F.col("line_no"), F.col("pos"), 1, F.col("entry")["user"],
-        ),
-    ]
+    # creator and participants come from one pass over the records
+    creator = F.struct(F.lit(-1).alias("pos"), F.lit(0).alias("sub"), F.col("created_by").alias("who"))
+    users = F.transform("users", lambda u, i: F.struct(i.alias("pos"), F.lit(1).alias("sub"), u["user"].alias("who")))
+    taking_part = records.select("line_no", F.inline(F.concat(F.array(creator), users)))
+    parts = [ranked(taking_part, 2, F.col("line_no"), F.col("pos"), F.col("sub"), F.col("who"))]
     if user is not None:
-        parts.append(ranked(user, 0, F.lit(0), F.lit(0), 0, who))
+        parts.append(ranked(user, 0, F.lit(0), F.lit(0), F.lit(0), who))
     if friends is not None:
-        parts.append(ranked(friends, 1, F.col("pos"), F.lit(0), 0, who))
+        parts.append(ranked(friends, 1, F.col("pos"), F.lit(0), F.lit(0), who))
     every = parts[0]
     for more in parts[1:]:
         every = every.unionByName(more)

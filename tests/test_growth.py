@@ -68,3 +68,17 @@ def test_tasks_stay_equally_large(spark, tmp_path):
     parts = testdata.dealt(spark.read.parquet(str(tmp_path / "rows"))).rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
     assert sum(parts) == n
     assert max(parts) <= 1.1 * testdata.ROWS_A_TASK
+
+
+def test_first_creator_or_participant_wins(spark):
+    person = "struct<id:long,first_name:string,last_name:string,email:string>"
+    records = spark.createDataFrame(
+        [
+            (1, (5, "Cre", None, None), [((5, "Part", "x", ""),), ((6, "Six", "", ""),)]),
+            (2, (7, "Late", "", ""), [((6, "Other", "", ""),), ((None, "Nobody", "", ""),)]),
+            (0, None, [((7, "Early", "", ""),)]),
+        ],
+        f"line_no long, created_by {person}, users array<struct<user:{person}>>",
+    )
+    found = {r.person_id: r.first_name for r in sb.persons(records).collect()}
+    assert found == {5: "Cre", 6: "Six", 7: "Early"}
