@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from passbook.functions.compute import settled, shuffled
 from passbook.functions.text import dedup_hash
 
 
@@ -15,7 +16,7 @@ def share_scenario(records: DataFrame) -> DataFrame:
     zero = F.lit(0).cast("decimal(12,2)")
     settles, paid = F.col("is_payment"), F.col("user_paid")
     owes = F.coalesce(F.col("user_share") > 0, F.lit(False))
-    kept = records.filter(settles | paid | owes)
+    kept = settled(records, user_share=F.col("user_share"), user_paid=paid).filter(settles | paid | owes)
     by_friend = ~settles & ~paid
     return (
         kept.withColumn(
@@ -45,7 +46,7 @@ def existing_expense(scenarios: DataFrame, stored: DataFrame) -> DataFrame:
         F.col("expense_id").cast("string").alias("key"), F.col("effective_amount").alias("old_part"), F.lit(True).alias("is_old")
     )
     order = Window.partitionBy("key").orderBy("line_no")
-    rows = rows.join(old, "key", "left").withColumn("place", F.row_number().over(order))
+    rows = rows.join(shuffled(old), "key", "left").withColumn("place", F.row_number().over(order))
     before = F.when(F.col("place") == 1, F.col("old_part")).otherwise(F.lag("effective_amount").over(order))
     is_first = (F.col("place") == 1) & F.col("is_old").isNull()
     action = F.when(is_first, "created").when(~before.eqNullSafe(F.col("effective_amount")), "updated")
@@ -64,8 +65,8 @@ def import_counts(actions: DataFrame) -> DataFrame:
 
 def created_rows(actions: DataFrame) -> DataFrame:
     """Ledger rows of the created records, with the last own part the import gave them."""
-    last = actions.groupBy("key").agg(F.max_by("effective_amount", "line_no").alias("last_part"))
-    rows = actions.filter("action = 'created'").join(last, "key")
+    last = F.max_by("effective_amount", "line_no").over(Window.partitionBy("key"))
+    rows = actions.filter("key IS NOT NULL").withColumn("last_part", last).filter("action = 'created'")
     return rows.select(
         "expense_id", "line_no", F.lit("splitwise").alias("source_type"), "transaction_date", "amount",
         F.col("last_part").alias("effective_amount"), "currency", "transaction_type", "original_description", "cleaned_description",

@@ -2,9 +2,10 @@
 
 from pyspark.sql import functions as F
 
+from passbook.functions.compute import settled
 from passbook.operators import shared as sh
 from passbook.plans.registry import register
-from passbook.plans.testdata import spread, table
+from passbook.plans.testdata import dealt, table
 from passbook.schemas import SHARED_EXPENSE
 from passbook.sources import shared_backup as sb
 
@@ -17,7 +18,7 @@ def _expenses(spark, sf_dir):
     The order key modulo 8 picks the case: payment, deleted, user paid, friend paid, no part,
     part from repayments (owed or owing), refund.
     """
-    o = spread(table(spark, sf_dir, "orders"))
+    o = dealt(table(spark, sf_dir, "orders"))
     k = F.col("o_orderkey") + 24  # ids start above 0, which means "no id"
     case = k % 8
     price = F.col("o_totalprice").cast("decimal(12,2)").cast("string")
@@ -58,9 +59,8 @@ def _expenses(spark, sf_dir):
         F.array(repay).alias("repayments"),
     )
     text = o.select(k.alias("line_no"), F.to_json(expense).alias("json"))
-    return text.select(lit(ME).cast("long").alias("me"), "line_no", F.from_json("json", SHARED_EXPENSE).alias("e")).select(
-        "me", "line_no", "e.*"
-    )
+    text = text.select(lit(ME).cast("long").alias("me"), "line_no", "json")
+    return settled(text, e=F.from_json("json", SHARED_EXPENSE)).select("me", "line_no", "e.*")
 
 
 SHARED_SQL = """

@@ -70,6 +70,26 @@ def test_tasks_stay_equally_large(spark, tmp_path):
     assert max(parts) <= 1.1 * testdata.ROWS_A_TASK
 
 
+def _orders(spark, folder):
+    rows = [(k, k % 3, "F", 100.0 + k, datetime.date(2024, 1, 1 + k % 20), "1-URGENT") for k in range(48)]
+    spark.createDataFrame(
+        rows, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate date, o_orderpriority string"
+    ).write.parquet(f"{folder}/orders.parquet")
+    spark.createDataFrame([(0, "Ann"), (1, "Bob")], "c_custkey long, c_name string").write.parquet(f"{folder}/customer.parquet")
+    return str(folder)
+
+
+def test_shared_expenses_are_read_once(spark, tmp_path):
+    folder = _orders(spark, tmp_path)
+    # once for the import, once for what is stored
+    plan = _plan(shared_queries.import_shared(spark, folder))
+    assert plan.count("from_json") == 2
+    assert plan.count("FileScan") == 2
+    # creators and participants of one pass, and the customers
+    plan = _plan(shared_queries.person_union(spark, folder))
+    assert plan.count("from_json") == 1
+
+
 def test_first_creator_or_participant_wins(spark):
     person = "struct<id:long,first_name:string,last_name:string,email:string>"
     records = spark.createDataFrame(
@@ -82,3 +102,16 @@ def test_first_creator_or_participant_wins(spark):
     )
     found = {r.person_id: r.first_name for r in sb.persons(records).collect()}
     assert found == {5: "Cre", 6: "Six", 7: "Early"}
+
+
+def test_created_rows_take_the_last_part(spark):
+    rows = [(5, 1, 2.0, "created", "5"), (5, 2, 3.0, "updated", "5"), (None, 3, 4.0, "created", "line 3"), (0, None, 4.0, "created", None)]
+    actions = spark.createDataFrame(
+        [(*r, datetime.datetime(2024, 1, 1), 9.0, "EUR", "expense", "a", "a", 1, False, False) for r in rows],
+        "expense_id long, line_no long, effective_amount double, action string, key string, transaction_date timestamp_ntz, "
+        "amount double, currency string, transaction_type string, original_description string, cleaned_description string, "
+        "shared_group_id long, is_payment boolean, is_provisional boolean",
+    )
+    done = sh.created_rows(actions)
+    assert "Join" not in _plan(done)
+    assert sorted((r.line_no, r.effective_amount) for r in done.collect()) == [(1, 3.0), (3, 4.0)]
