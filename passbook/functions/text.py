@@ -1,5 +1,6 @@
 """Text, identifier, amount and date expressions."""
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -46,6 +47,11 @@ def words(c: Column) -> Column:
     return F.filter(F.split(collapse(c), " "), lambda w: w != "")
 
 
+def once(c: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often it is used."""
+    return F.get(F.transform(F.array(c), use), F.lit(0))
+
+
 def nonempty(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 
@@ -103,18 +109,22 @@ def mask_identifier(c: Column, keep_masked: bool = False) -> Column:
 
     The masked form is upper-cased in the ``keep_masked`` variant only.
     """
-    compact = F.regexp_replace(c, r"(?U)\s+", "")
-    if keep_masked:
-        compact = F.upper(compact)
-    masked = F.concat(
-        F.left(compact, F.lit(4)),
-        F.repeat(F.lit("X"), F.length(compact) - 8),
-        F.right(compact, F.lit(4)),
-    )
-    untouched = F.length(compact) <= 8
-    if keep_masked:
-        untouched = untouched | compact.contains("X")
-    return F.when(c != "", F.when(untouched, compact).otherwise(masked))
+    def shown(compact: Column) -> Column:
+        masked = F.concat(
+            F.left(compact, F.lit(4)),
+            F.repeat(F.lit("X"), F.length(compact) - 8),
+            F.right(compact, F.lit(4)),
+        )
+        untouched = F.length(compact) <= 8
+        if keep_masked:
+            untouched = untouched | compact.contains("X")
+        return F.when(untouched, compact).otherwise(masked)
+
+    def packed(raw: Column) -> Column:
+        compact = F.regexp_replace(raw, r"(?U)\s+", "")
+        return F.upper(compact) if keep_masked else compact
+
+    return once(c, lambda raw: F.when(raw != "", once(packed(raw), shown)))
 
 
 def amount_in_text(c: Column) -> Column:

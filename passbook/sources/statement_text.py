@@ -8,8 +8,8 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from passbook.functions.compute import settled
-from passbook.functions.text import collapse, group1, mask_identifier, nonempty, strip, words
+from passbook.functions.compute import settled, shuffled
+from passbook.functions.text import collapse, group1, mask_identifier, nonempty, once, strip, words
 
 # Shapes of the transaction lines of the two card layouts.
 CARD_A_NEW = r"(\d{2}/\d{2}/\d{4})\|\s*(\d{2}:\d{2})\s+(.+?)\s+C\s+([\d,]+\.?\d*)\s+[lI]"
@@ -183,7 +183,7 @@ def first_method(*methods: DataFrame) -> DataFrame:
         rows = rows.withColumn("method", F.lit(rank))
         ranked = rows if ranked is None else ranked.unionByName(rows, allowMissingColumns=True)
     best = ranked.groupBy("file").agg(F.min("method").alias("method"))
-    return ranked.join(best, ["file", "method"])
+    return ranked.join(shuffled(best), ["file", "method"])
 
 
 # ---------------------------------------------------------------- printed totals and header fields
@@ -201,9 +201,14 @@ def sum_of_section_totals(text: Column) -> Column:
     return F.when(total > 0, total)
 
 
+def _found(text: Column, pattern: str) -> Column:
+    """``group1`` that looks through a long text once."""
+    return once(F.regexp_extract(text, pattern, 1), nonempty)
+
+
 def amount_due(text: Column) -> Column:
     """The printed total amount due, or null."""
-    return _money(group1(text, AMOUNT_DUE))
+    return _money(_found(text, AMOUNT_DUE))
 
 
 def card_number(text: Column) -> Column:
@@ -215,27 +220,32 @@ def card_number(text: Column) -> Column:
 
     def clean(raw):
         digits = F.regexp_replace(F.replace(raw, F.lit("*"), F.lit("X")), "[^0-9Xx]", "")
-        return mask_identifier(nonempty(F.upper(digits)))
+        return mask_identifier(F.upper(digits))
 
-    return F.coalesce(*[clean(group1(text, p)) for p in patterns])
+    return F.coalesce(*[clean(_found(text, p)) for p in patterns])
 
 
 def statement_date(text: Column) -> Column:
     """The statement date, as digits (day first) or with the month's name."""
-    named = group1(text, r"(?i)STATEMENT DATE\s+([A-Za-z]+\s+\d{1,2},\s+\d{4})")
-    named = F.initcap(collapse(named))
-    tries = [F.to_date(F.try_to_timestamp(named, F.lit(layout))) for layout in ("MMMM d, yyyy", "MMM d, yyyy")]
+    named = _found(text, r"(?i)STATEMENT DATE\s+([A-Za-z]+\s+\d{1,2},\s+\d{4})")
+    layouts = ("MMMM d, yyyy", "MMM d, yyyy")
+    tries = [
+        once(
+            F.initcap(collapse(named)),
+            lambda day: F.coalesce(*[F.to_date(F.try_to_timestamp(day, F.lit(layout))) for layout in layouts]),
+        )
+    ]
     for pattern in (
         r"(?i)Statement Date[:\s]+(\d{1,2}/\d{1,2}/\d{4})",
         r"(?i)Statement for HDFC Bank Credit Card[^0-9]*(\d{1,2}/\d{1,2}/\d{4})",
     ):
-        tries.append(F.to_date(F.try_to_timestamp(group1(text, pattern), F.lit("d/M/yyyy"))))
+        tries.append(F.to_date(F.try_to_timestamp(_found(text, pattern), F.lit("d/M/yyyy"))))
     return F.coalesce(*tries)
 
 
 def customer_id(text: Column) -> Column:
     """The customer id of an account statement."""
-    return group1(text, r"(?i)\bCust(?:omer)?\s*ID\s*[:\-]?\s*([A-Z0-9]+)")
+    return _found(text, r"(?i)\bCust(?:omer)?\s*ID\s*[:\-]?\s*([A-Z0-9]+)")
 
 
 def account_number(text: Column) -> Column:
@@ -244,7 +254,7 @@ def account_number(text: Column) -> Column:
         r"(?i)\b(?:Account|A/c)\s*(?:No\.?|Number)\s*[:\-]?\s*([0-9Xx]{6,24})",
         r"(?i)\bA/c\s*No\.?\s*[:\-]?\s*([0-9Xx]{6,24})",
     ]
-    return mask_identifier(F.upper(F.coalesce(*[group1(text, p) for p in patterns])))
+    return mask_identifier(F.upper(F.coalesce(*[_found(text, p) for p in patterns])))
 
 
 # ---------------------------------------------------------------- file names

@@ -115,3 +115,13 @@ def test_created_rows_take_the_last_part(spark):
     done = sh.created_rows(actions)
     assert "Join" not in _plan(done)
     assert sorted((r.line_no, r.effective_amount) for r in done.collect()) == [(1, 3.0), (3, 4.0)]
+
+
+def test_header_fields_look_through_the_text_once(spark):
+    texts = ["Credit Card No: 4111 XXXX XXXX 1234\nSTATEMENT DATE May 7, 2024", "Card No: 12\nStatement Date: 7/5/2024", "", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    fields = rows.select(tx.card_number(rows.text).alias("card"), tx.statement_date(rows.text).alias("day"))
+    assert _plan(fields.select("card")).count("regexp_extract") == 2
+    assert _plan(fields.select("day")).count("regexp_extract") == 3
+    day = datetime.date(2024, 5, 7)
+    assert list(map(tuple, fields.collect())) == [("4111XXXXXXXX1234", day), (None, day), (None, None), (None, None)]
