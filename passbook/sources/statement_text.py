@@ -121,8 +121,10 @@ def card_a_lines(lines: DataFrame) -> DataFrame:
     )
     part = [F.get("parts", F.lit(i)) for i in range(4)]
     inline = collapse(F.regexp_replace(strip(part[2]), r"\s*\+\s*\d+\s*$", ""))
-    rows = settled(settled(rows, parts=parts), inline=inline, day=_day(part[0]), amount=_money(part[3]))
-    rows = settled(rows, above=F.when(F.length("inline") < 3, description_above(F.col("before"))).otherwise(""))
+    rows = settled(settled(rows, parts=parts), day=_day(part[0]), amount=_money(part[3]))
+    # no filter asks for the description, so it stays a projection and goes where nobody reads it
+    rows = rows.withColumn("inline", inline)
+    rows = rows.withColumn("above", F.when(F.length("inline") < 3, description_above(F.col("before"))).otherwise(""))
     description = (
         F.when(F.length("inline") >= 3, F.col("inline"))
         .when(F.length("above") >= 3, F.col("above"))
@@ -198,7 +200,7 @@ def sum_of_section_totals(text: Column) -> Column:
     total = F.aggregate(
         found, F.lit(0).cast("decimal(14,2)"), lambda s, x: (s + F.coalesce(x, F.lit(0))).cast("decimal(14,2)")
     )
-    return F.when(total > 0, total)
+    return once(total, lambda t: F.when(t > 0, t))
 
 
 def _found(text: Column, pattern: str) -> Column:

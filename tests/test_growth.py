@@ -125,3 +125,15 @@ def test_header_fields_look_through_the_text_once(spark):
     assert _plan(fields.select("day")).count("regexp_extract") == 3
     day = datetime.date(2024, 5, 7)
     assert list(map(tuple, fields.collect())) == [("4111XXXXXXXX1234", day), (None, day), (None, None), (None, None)]
+
+
+def test_control_totals_read_a_statement_once(spark):
+    text = "01/02/2024| 09:05 SHOP + 2 C 5.00 l\nGrand Total 5.00"
+    statements = spark.createDataFrame([("a", text), ("b", text.replace("C 5", "C 9"))], "file string, text string").repartition(2)
+    records = tx.accepted(tx.card_a_lines(tx.statement_lines(statements)))
+    expected = statements.select("file", tx.sum_of_section_totals(statements.text).alias("expected_total"))
+    kept = ql.control_total_gate(records, ql.control_totals(records, expected, net=False)).select("file", "line_no")
+    plan = _plan(kept)
+    assert plan.count("regexp_extract_all") == 1
+    assert "Ref#" not in plan  # descriptions are not worked out where only amounts count
+    assert list(map(tuple, kept.collect())) == [("a", 1)]
