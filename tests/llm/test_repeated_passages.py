@@ -72,5 +72,21 @@ def test_repeated_keys_and_empty(spark):
     assert rp.repeated_passages(docs).count() == 0
 
 
+def test_second_step_moves_no_text(spark, monkeypatch):
+    """The anchors come with the texts: no join is left for the step that asks for most of them."""
+    plans, arrow_map = [], rp.arrow_map
+
+    def seen(df, *args):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return arrow_map(df, *args)
+
+    monkeypatch.setattr(rp, "arrow_map", seen)
+    rng = random.Random(17)
+    passage = prose(rng, 700)
+    check(spark, [(i, prose(rng, 300) + passage + prose(rng, 300)) for i in range(6)])
+    assert len(plans) == 5  # anchors, three steps, what is removed
+    assert "Join" not in plans[1] and "Exchange" not in plans[1]
+
+
 def test_tables(spark):
     check(spark, [(r.doc_id, r.text) for r in table(spark, "/root/testdata/sf0.001", "documents").collect()])
