@@ -14,7 +14,7 @@ difference.  Pairs that pass are verified once on the full sets.
 
 Only components are asked for, so pairs of nodes that are linked already are left out.  In each
 round a set offers its nearest partners of other components, by the bound of the suffix filter;
-the number offered grows until no set has more.  Posting lists are compared chunk by chunk, in
+the number offered grows until no set has more, and a set leaves the lists where it has none.  Posting lists are compared chunk by chunk, in
 bounded memory; what a round makes grows with the postings, not with their pairs.
 """
 
@@ -98,10 +98,9 @@ def sketched(sets: DataFrame) -> DataFrame:
 
 
 def offers(members: DataFrame, most: int, percent: int, whole: bool) -> DataFrame:
-    """(a, b, more) of the pairs that pass all filters, ``most`` nearest ones per node and list.
+    """(a, b) of the pairs that pass all filters, ``most`` nearest ones per node and list; (open, a) of lists and their nodes with further ones.
 
     ``members``: (h, i, j, own, node, label, n, m, pos, need, sketch); chunks i and j of the list h meet.
-    ``more``: some node of the list has further ones.
     """
 
     def compare(rows: pa.Table) -> pa.RecordBatch:
@@ -134,10 +133,12 @@ def offers(members: DataFrame, most: int, percent: int, whole: bool) -> DataFram
         one, other = one[order], other[order]
         first = np.searchsorted(one, one, side="left")
         chosen = np.arange(len(one)) - first < most
-        more = not chosen.all()
+        more = np.unique(np.stack([col["h"][one[~chosen]], col["node"][one[~chosen]]]), axis=1)
         a, b = col["node"][one[chosen]], col["node"][other[chosen]]
         pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), pa.array(np.full(pairs.shape[1], more))], ["a", "b", "more"])
+        pair = np.arange(pairs.shape[1] + more.shape[1]) < pairs.shape[1]
+        a, b, h = np.append(pairs[0], more[1]), np.append(pairs[1], more[1]), np.append(pairs[0], more[0])
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b, mask=~pair), pa.array(h, mask=pair)], ["a", "b", "open"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
@@ -159,7 +160,19 @@ def offers(members: DataFrame, most: int, percent: int, whole: bool) -> DataFram
             yield compare(rest.combine_chunks())
 
     dealt = members.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j", "node")
-    return dealt.mapInArrow(run, "a bigint, b bigint, more boolean")
+    return dealt.mapInArrow(run, "a bigint, b bigint, open bigint")
+
+
+def merged(postings: DataFrame) -> DataFrame:
+    """``postings`` with lists of the same nodes made one, where each node has its first place.
+
+    Copies of a text share most of their prefix, and would meet in a list for every shingle of it.
+    Lists are told apart by a hash of their nodes: were two hashes equal, the lists' nodes would
+    meet one another too, and no pair would be lost.
+    """
+    lists = postings.groupBy("h").agg((F.min("node") < F.max("node")).alias("open"), F.bit_xor(F.xxhash64("node")).alias("nodes"))
+    named = postings.join(cut(lists.filter("open").select("h", "nodes")), "h")
+    return cut(named.groupBy(F.col("nodes").alias("h"), "node", "n", "m", "need").agg(F.min("pos").alias("pos")))
 
 
 def similar_links(
@@ -174,9 +187,7 @@ def similar_links(
     ``heads``: (node, n, head), one per distinct set, ``head`` as ``kept`` gives it, or with
     ``whole`` the whole set; ``sets_of(ids)``: (node, hashes) of the ids (node).
     """
-    postings = rarest(heads, percent, whole)
-    lists = postings.groupBy("h").agg((F.min("node") < F.max("node")).alias("open")).filter("open").select("h")
-    postings = cut(postings.join(cut(lists), "h", "left_semi"))
+    postings = merged(rarest(heads, percent, whole))
     sets = cut(sets_of(postings.select("node").distinct()))
     postings = cut(postings.join(sketched(sets).dropDuplicates(["node"]), "node"))
     found, tried, most = links, None, OFFERED
@@ -196,18 +207,20 @@ def similar_links(
         members = members.withColumn("with", F.explode(F.expr("sequence(0L, chunks - 1)")))
         members = members.withColumns({"i": F.least("own", "with"), "j": F.greatest("own", "with")})
         columns = ["h", "i", "j", "own", "node", "label", "n", "m", "pos", "need", "sketch"]
-        met = sized(offers(members.select(columns), most, percent, whole), dealt)
-        pairs = cut(sized(met.groupBy("a", "b").agg(F.max("more").alias("more")), dealt))
-        more = bool(pairs.agg(F.max("more")).first()[0])
+        met = cut(sized(sized(offers(members.select(columns), most, percent, whole), dealt).distinct(), dealt))
+        pairs = met.filter("open IS NULL").select("a", "b")
+        more = met.filter("open IS NOT NULL").select(F.col("open").alias("h"), F.col("a").alias("node"))
         if tried is not None:
             pairs = cut(sized(pairs.join(tried, ["a", "b"], "left_anti"), dealt + tried.count()))
         new = confirmed(pairs, sets, percent, pairs.count() + known)
         if not new.isEmpty():
             found = new if found is None else cut(found.union(new))
             labels = components(found)
-        if not more:
+        if more.isEmpty():
             return new if found is None else found
-        pairs = pairs.select("a", "b")
+        # a pair is left over only if it is for both its nodes: all others were offered, or are linked
+        postings = cut(sized(postings.join(more, ["h", "node"], "left_semi"), places))
+        places = postings.count()
         tried = pairs if tried is None else cut(tried.union(pairs))
         most *= GROWTH
 

@@ -79,6 +79,30 @@ def test_long_lists_in_small_chunks(spark, monkeypatch):
     check(spark, list(enumerate(texts)))
 
 
+def test_a_pair_is_offered_once(spark, monkeypatch):
+    """Texts that meet in many lists, of the same texts: one offer of a pair in a round, and none in lists that are done."""
+    made, offers = [], ngram_join.offers
+
+    def counted(*args):
+        out = ngram_join.cut(offers(*args))
+        made.append(out.filter("b IS NOT NULL").count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "offers", counted)
+    monkeypatch.setattr(ngram_join, "HELD", 10)
+    rng = random.Random(5)
+    rows = []
+    for _ in range(20):
+        base = prose(rng, 400)
+        rows += [" ".join(base), " ".join([*base, *prose(rng, 2)])]  # similar
+    # two of the lists have more to offer: all but a few words are shared, too few are
+    base = prose(rng, 100)
+    rows += [" ".join(w if rng.random() > 0.03 else "z" + w for w in base) for _ in range(12)]
+    check(spark, list(enumerate(rows)))
+    assert 20 <= made[0] <= 150
+    assert sum(made[1:]) <= 12 * 11 * len(made)
+
+
 def test_empty(spark):
     check(spark, [(1, None)])
     assert similar_documents(spark.createDataFrame([], "doc_id bigint, text string")).collect() == []
