@@ -98,7 +98,13 @@ def test_a_pair_is_offered_once(spark, monkeypatch):
     # two of the lists have more to offer: all but a few words are shared, too few are
     base = prose(rng, 100)
     rows += [" ".join(w if rng.random() > 0.03 else "z" + w for w in base) for _ in range(12)]
-    check(spark, list(enumerate(rows)))
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(batch)
+    spark.conf.set(batch, 10)  # a pair is told apart from others of its task only
+    try:
+        check(spark, list(enumerate(rows)))
+    finally:
+        spark.conf.set(batch, before)
     assert 20 <= made[0] <= 150
     assert sum(made[1:]) <= 12 * 11 * len(made)
 
